@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .exact_dedup import exact_dedup
+from .lm_scoring import lm_score
 from .mixing import mix_sources
+from .ngram_join import ngram_join
+from .suffix_dedup import suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    rows = suffix_dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_mix_sources(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -20,6 +29,14 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op8_ngram_join(spark, sf_dir):
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
+def op9_lm_score(spark, sf_dir):
+    return lm_score(table(spark, sf_dir, "documents"))
+
+
 OP7_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
@@ -48,8 +65,11 @@ SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE
 """
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_ngram_join": op8_ngram_join,
+    "op9_lm_score": op9_lm_score,
 }
 
 ORACLE_SQL = {
