@@ -22,6 +22,8 @@ from .common import NULL_ID, drop_path, new_path, whole_text
 
 BLOCK_SCHEMA = "block long, n_docs int, n_bytes long, ids binary, lens binary, body binary"
 RUN_SCHEMA = "shard int, block long, body binary"
+#: Documents of a block at most.
+MOST_DOCS = 1 << 13
 ANSWER_SCHEMA = "block long, kind int, shard int, body binary"
 
 
@@ -62,8 +64,9 @@ def packer(target: int):
                 continue
             body, off = text_of(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            parts = max(1, -(-int(off[-1]) // target))
+            parts = max(1, -(-int(off[-1]) // target), -(-len(ids) // MOST_DOCS))
             cuts = np.unique(np.searchsorted(off, np.arange(1, parts) * (off[-1] / parts)).clip(1, len(ids)))
+            cuts = np.unique(np.concatenate([cuts, np.arange(MOST_DOCS, len(ids), MOST_DOCS)])).astype(int)
             for a, b in zip([0, *cuts], [*cuts, len(ids)]):
                 if a < b:
                     yield pa.RecordBatch.from_pydict(

@@ -11,12 +11,14 @@ A document is the set of its distinct word shingles. Two documents link when
 2. Orders. Under each of several global orders (rare classes first, inside a
    class by one of several hash permutations), linked sets must share a member
    of their prefixes, the first n - ceil(percent * n / 100) + 1 members.
-3. Stars. Per prefix member the smallest and the largest document are compared
-   with all others: as many pairs as entries. What is linked so far forms
-   groups.
+3. Stars. A prefix member's list of documents has a first and a last one. Each
+   document is compared with two of those that it meets in its lists: twice as
+   many pairs as documents. What links forms groups, and a second round compares
+   documents of different groups likewise.
 4. Rest. Only pairs from different groups can still matter for the components.
-   Those that share a prefix member under the first order are intersected with
-   those that do under each other order, and are verified exactly.
+   A pair is made at its first common prefix member under the first order, if
+   enough members follow it in both sets and if the two share a prefix member
+   under each other order, too. All such pairs are verified exactly.
 
 Lists of one group, as those of thousands of near copies, never become pairs.
 
@@ -34,29 +36,14 @@ from pyspark.sql import DataFrame, functions as F
 from .blocks import Blocks, pack, shard_slices, unpack
 from .common import NULL_ID, materialize, mix, scramble
 from .components import components
+from .words import words_of
 
-#: Lower-cases A-Z and leaves every other byte.
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-
-
-def word_hashes(raw: bytes, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of every word, and how many words each document has."""
-    import xxhash
-
-    seen: dict = {}
-    words, counts = [], []
-    for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
-        own = raw[a:b].translate(LOWER).split()
-        counts.append(len(own))
-        words += own
-    for w in set(words):
-        seen[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words)), np.array(counts, np.int64)
-
+#: Bits of a shingle's hash.
+SHINGLE_BITS = 50
 
 def shingle_sets(body: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The documents' distinct shingles, sorted inside each, and their numbers."""
-    words, counts = word_hashes(body.tobytes(), off)
+    """The documents' distinct shingles (50-bit hashes), sorted inside each, and the documents' numbers."""
+    words, counts = words_of(body, off)
     start = np.concatenate([[0], np.cumsum(counts)])
     n = len(words)
     h = scramble(words, 1)
@@ -67,21 +54,20 @@ def shingle_sets(body: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndar
     doc = np.repeat(np.arange(len(counts)), counts)
     full = np.arange(n) + width <= start[1:][doc] if n else np.zeros(0, bool)
     short = np.flatnonzero((counts > 0) & (counts < width))
-    alone = np.zeros(len(short), np.uint64)
-    for k, d in enumerate(short.tolist()):
-        x = np.uint64(int(counts[d]))
-        for w in words[start[d] : start[d + 1]]:
-            x = mix(np.array([x]), np.array([w]))[0]
-        alone[k] = x ^ np.uint64(0x5BD1E995)
-    h, doc = np.concatenate([h[full], alone]), np.concatenate([doc[full], short])
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return h[new], doc[new]
+    alone = scramble(words[start[short]], 2) if n else np.zeros(0, np.uint64)
+    for i in range(1, width - 1):
+        longer = counts[short] > i
+        at = np.minimum(start[short] + i, n - 1)
+        alone = np.where(longer, mix(alone, words[at]), alone) if n else alone
+    h, doc = np.concatenate([h[full], alone]), np.concatenate([doc[full], short]).astype(np.uint64)
+    # Documents of a block number under 2**14; the rest of the key is the shingle.
+    key = np.sort((doc << np.uint64(SHINGLE_BITS)) | (h >> np.uint64(64 - SHINGLE_BITS)))
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+    return key & np.uint64((1 << SHINGLE_BITS) - 1), (key >> np.uint64(SHINGLE_BITS)).astype(np.int64)
 
 
 def keyed(h: np.ndarray, shards: int) -> np.ndarray:
+    h = scramble(h, 3)
     return (((h >> np.uint64(32)) % np.uint64(shards)) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
 
 
@@ -122,7 +108,7 @@ def sets_maker(width: int, percent: int, orders: int):
         shared = np.bincount(doc, kind > 0, minlength=len(ids))[: len(ids)]
         start = np.concatenate([[0], np.cumsum(size)])
         live = (size > 0) & (shared * 100 >= percent * size)
-        print_, members, prefixes = [None] * len(ids), [None] * len(ids), [[None] * len(ids) for _ in range(orders)]
+        print_, members, places, prefixes = [None] * len(ids), [None] * len(ids), [None] * len(ids), [[None] * len(ids) for _ in range(orders)]
         ranks = [scramble(h, 100 + k) for k in range(orders)]
         for d in np.flatnonzero(live).tolist():
             a, b = start[d], start[d + 1]
@@ -133,10 +119,12 @@ def sets_maker(width: int, percent: int, orders: int):
             p = n - -(-percent * n // 100) + 1
             for k in range(orders):
                 first = np.lexsort((ranks[k][a:b], kind[a:b]))[:p]
-                first = first[kind[a:b][first] > 0]
-                prefixes[k][d] = own[first].view(np.int64)
+                shared_too = kind[a:b][first] > 0
+                prefixes[k][d] = own[first[shared_too]].view(np.int64)
+                if not k:
+                    places[d] = np.flatnonzero(shared_too)
         i64, many = pa.int64(), pa.list_(pa.int64())
-        out = {"key": pa.array((np.int64(block) << np.int64(20)) + np.arange(len(ids)), i64), "doc_id": pa.array(ids), "n_shingles": pa.array(size, i64), "print": pa.array(print_, pa.binary()), "members": pa.array(members, many)}
+        out = {"key": pa.array((np.int64(block) << np.int64(20)) + np.arange(len(ids)), i64), "doc_id": pa.array(ids), "n_shingles": pa.array(size, i64), "print": pa.array(print_, pa.binary()), "members": pa.array(members, many), "i0": pa.array(places, many)}
         return out | {f"p{k}": pa.array(prefixes[k], many) for k in range(orders)}
 
     return make
@@ -154,31 +142,52 @@ def similar_sizes(percent: int):
     return (F.least("_n", "_o") * 100 >= F.greatest("_n", "_o") * percent)
 
 
-def link_groups(sets: DataFrame, percent: int, orders: int) -> DataFrame:
-    """(node, component) of the sets (key, n_shingles, members, p0, p1, ...)."""
-    posts = [sets.select("key", F.col("n_shingles").alias("_n"), F.explode(f"p{k}").alias("t")) for k in range(orders)]
-    ends = posts[0].groupBy("t").agg(F.min(F.struct("key", "_n")).alias("_lo"), F.max(F.struct("key", "_n")).alias("_hi")).where("_lo.key != _hi.key")
-    stars = posts[0].join(ends, "t").select("key", "_n", F.explode(F.array("_lo", "_hi")).alias("_c"))
-    stars = stars.select("key", "_n", F.col("_c.key").alias("_k"), F.col("_c._n").alias("_o")).where((F.col("key") != F.col("_k")) & similar_sizes(percent))
-    stars = stars.select(F.least("key", "_k").alias("a"), F.greatest("key", "_k").alias("b")).distinct()
-    first = materialize(verified(stars, sets, percent), "star-links")
-    group = components(first)
-    labels = sets.select("key").join(group.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("g"))
-    labels = materialize(labels, "groups")
-
-    def cross(post: DataFrame) -> DataFrame:
-        own = post.join(labels, "key")
-        mixed = own.groupBy("t").agg(F.min("g").alias("_a"), F.max("g").alias("_b")).where("_a != _b").select("t")
-        own = own.join(mixed, "t")
-        other = own.select("t", F.col("key").alias("_k"), F.col("_n").alias("_o"), F.col("g").alias("_g"))
-        found = own.join(other, "t").where((F.col("key") < F.col("_k")) & (F.col("g") != F.col("_g")) & similar_sizes(percent))
-        return found.select(F.col("key").alias("a"), F.col("_k").alias("b")).distinct()
-
-    rest = cross(posts[0])
-    for post in posts[1:]:
-        rest = rest.join(cross(post), ["a", "b"], "left_semi")
-    second = materialize(verified(rest, sets, percent), "rest-links")
-    return components(first.unionByName(second))
+def star_pairs(post: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """For each document two others at most, of other groups: of the ends of its
+    prefix members' lists the one that it meets most often, and the smallest."""
+    own = post.join(labels, "key")
+    ends = own.groupBy("t").agg(F.min(F.struct("g", "key", "_n")).alias("_lo"), F.max(F.struct("g", "key", "_n")).alias("_hi")).where("_lo.g != _hi.g")
+    met = own.join(ends, "t").select("key", "_n", "g", F.explode(F.array("_lo", "_hi")).alias("_c"))
+    met = met.select("key", "_n", "g", F.col("_c.key").alias("_k"), F.col("_c._n").alias("_o"), F.col("_c.g").alias("_g"))
+    met = met.where((F.col("g") != F.col("_g")) & similar_sizes(percent)).groupBy("key", "_k").count()
+    best = met.groupBy("key").agg(F.max(F.struct("count", "_k"))["_k"].alias("_m"), F.min("_k").alias("_l"))
+    pairs = best.select("key", F.explode(F.array("_m", "_l")).alias("_k"))
+    return pairs.select(F.least("key", "_k").alias("a"), F.greatest("key", "_k").alias("b")).distinct()
+
+
+def rest_pairs(post: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:
+    """Pairs of different groups that share a prefix member under every order.
+
+    A pair is found at its first common member under the first order, once. From
+    there on, no more can be common than members are left in either set.
+    """
+    prefixes = [f"p{k}" for k in range(orders)]
+    own = post.join(labels, "key")
+    mixed = own.groupBy("t").agg(F.min("g").alias("_a"), F.max("g").alias("_b")).where("_a != _b").select("t")
+    own = own.join(mixed, "t").join(sets.select("key", *prefixes), "key")
+    other = own.select(F.col("t").alias("_t"), F.col("key").alias("_k"), F.col("_n").alias("_o"), F.col("g").alias("_g"), F.col("_i").alias("_j"), *[F.col(p).alias("_" + p) for p in prefixes])
+    left = F.least(F.col("_n") - F.col("_i"), F.col("_o") - F.col("_j"))
+    enough = left * (100 + percent) >= percent * (F.col("_n") + F.col("_o"))
+    first = F.element_at(F.array_intersect("p0", "_p0"), 1) == F.col("t")
+    every = [F.arrays_overlap(p, "_" + p) for p in prefixes[1:]]
+    meets = (F.col("key") < F.col("_k")) & (F.col("g") != F.col("_g")) & similar_sizes(percent) & enough
+    for c in [*every, first]:
+        meets = meets & c
+    return own.join(other, (F.col("t") == F.col("_t")) & meets).select(F.col("key").alias("a"), F.col("_k").alias("b"))
+
+
+def link_groups(sets: DataFrame, percent: int, orders: int, rounds: int = 2) -> DataFrame:
+    """(node, component) of the sets (key, n_shingles, members, p0, p1, ..., i0)."""
+    post = sets.select("key", F.col("n_shingles").alias("_n"), F.explode(F.arrays_zip("p0", "i0")).alias("x")).select("key", "_n", F.col("x.p0").alias("t"), F.col("x.i0").alias("_i"))
+    labels, links, group = sets.select("key", F.col("key").alias("g")), None, None
+    for _ in range(rounds):
+        found = verified(star_pairs(post.drop("_i"), labels, percent), sets, percent)
+        links = materialize(found if links is None else links.unionByName(found), "star-links")
+        group = components(links)
+        labels = sets.select("key").join(group.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("g"))
+        labels = materialize(labels, "groups")
+    rest = verified(rest_pairs(post, labels, sets, percent, orders), sets, percent)
+    return components(links.unionByName(rest))
 
 
 def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, orders: int = 2) -> DataFrame:
@@ -186,14 +195,14 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, orders: int =
     identifier that links reach) and kept (true for one row of each component)."""
     blocks = Blocks(docs)
     classes = blocks.answers(blocks.runs(shingle_runs(width)), frequency_classes, 1)
-    schema = "key long, doc_id long, n_shingles long, print binary, members array<long>" + "".join(f", p{k} array<long>" for k in range(orders))
+    schema = "key long, doc_id long, n_shingles long, print binary, members array<long>, i0 array<long>" + "".join(f", p{k} array<long>" for k in range(orders))
     rows = materialize(blocks.finish(classes, sets_maker(width, percent, orders), schema), "sets")
     blocks.drop()
     live = rows.where("print IS NOT NULL")
     # Equal sets go on as one; a first sum over parts keeps a hot set out of one task.
     part = live.groupBy("print", F.pmod(F.xxhash64("key"), F.lit(64)).alias("_part")).agg(F.min("key").alias("rep"), F.min("doc_id").alias("least"))
     reps = materialize(part.groupBy("print").agg(F.min("rep").alias("rep"), F.min("least").alias("least")), "reps")
-    sets = live.join(reps.select(F.col("rep").alias("key")), "key", "left_semi")
+    sets = materialize(live.join(reps.select(F.col("rep").alias("key")), "key", "left_semi"), "distinct-sets")
     group = materialize(link_groups(sets, percent, orders), "components")
     named = reps.join(group.withColumnRenamed("node", "rep"), "rep", "left").withColumn("_g", F.coalesce("component", "rep"))
     lowest = named.groupBy("_g").agg(F.min("least").alias("_id"))
