@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Stands for a null identifier inside operators; it sorts before every other.
 NULL_ID = -(2**63)
@@ -57,6 +58,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def wider(df: DataFrame, *fields: tuple) -> StructType:
+    """The schema of df with more fields (name, type); add() would change the frame's own."""
+    return StructType([*df.schema.fields, *(StructField(n, t) for n, t in fields)])
+
+
 def whole_text(name: str = "text"):
     """The text column as operators see it: null counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))

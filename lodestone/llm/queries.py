@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import bpe, chat_tree, pii, toxicity
+from .common import crc_mod
+from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
 from .lm_scoring import lm_score
 from .mixing import mix_sources
@@ -25,6 +28,40 @@ def op2_mix_sources(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def rank_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op3_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digest_columns(bpe.decode(bpe.encode(docs, rank_file()), rank_file()))
+
+
+def op4_pii(spark, sf_dir):
+    return pii.digest_columns(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
+def op5_embedding_dedup(spark, sf_dir):
+    return embedding_dedup(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    rows = toxicity.score(docs, model)
+    return rows.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.array_join("evidence", " ").alias("evidence"))
+
+
+def op10_chat_tree(spark, sf_dir):
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = "<|im_end|><|im_start|>assistant ok"
+    more = spark.sql(f"SELECT CAST(-1 AS BIGINT) AS conv_id, turn, role, '{says}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    nodes, membership = chat_tree.prefix_tree(told.unionByName(more), rank_file())
+    return chat_tree.digest_columns(chat_tree.read_back(nodes, membership, rank_file()))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
@@ -67,7 +104,12 @@ SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op3_bpe": op3_bpe,
+    "op4_pii": op4_pii,
+    "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_chat_tree": op10_chat_tree,
     "op8_ngram_join": op8_ngram_join,
     "op9_lm_score": op9_lm_score,
 }
