@@ -64,7 +64,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and what they decode to, as a digest."""
-    rows = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), rank_file()), rank_file())
+    rows = bpe.encode(docs.select("doc_id", "source", "text"), rank_file(), decoded=True)
     return rows.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -5,10 +5,9 @@ documents are merged together: an inverted index leads from each possible
 merge to the places where its pair stands, and merges are applied in the order
 of their ranks to all their places, leftmost first. Each one only changes the
 links and the index entries of its two neighbours. If a merge makes a pair of
-lower rank, that one goes first, as it would in a piece on its own.
+lower rank, its piece is merged again alone, where that pair goes first.
 
-A task keeps the pieces that it has met (at most `memory` of them; then it
-starts anew), and memory holds one stretch of documents. Pieces are not
+Memory holds one stretch of documents and its distinct pieces. Pieces are not
 gathered over tasks: their number grows with the corpus, and a join of every
 piece with a table of them would shuffle the corpus itself.
 
@@ -23,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -45,128 +45,216 @@ class Replay:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.token = {v: k for k, v in ranks.items()}
-        self.byte = [ranks[bytes([i])] for i in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
-
-    def merge_of(self, a: int, b: int) -> int:
-        """The rank of the two tokens' merge, or -1."""
-        found = self.pairs.get((a, b))
-        if found is None:
-            found = self.pairs[a, b] = self.ranks.get(self.token[a] + self.token[b], -1)
-        return found
-
-    def encode(self, pieces: list[bytes]) -> list[list[int]]:
-        """Token ids of each piece. A piece that is a token itself needs no merges."""
-        whole = [self.ranks.get(p) for p in pieces]
-        symbol: list[int] = []
-        ends = []
-        for p, token in zip(pieces, whole):
-            if token is not None:
-                p = b""
-            symbol += map(self.byte.__getitem__, p)
-            symbol.append(-1)  # nothing merges across the end of a piece
-            ends.append(len(symbol))
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.span = max(ranks.values()) + 1
+        raw = [bytes([i]) for i in range(256)]
+        self.first = np.array([ranks.get(x + y, -1) for x in raw for y in raw], np.int64)
+        # Every pair that merges to a token, sorted.
+        get, found = ranks.get, []
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                x, y = get(token[:i]), get(token[i:])
+                if x is not None and y is not None:
+                    found.append((x * self.span + y, rank))
+        found.sort()
+        self.pair = np.array([k for k, _ in found] or [-1], np.int64)
+        self.rank = np.array([r for _, r in found] or [-1], np.int64)
+
+    def merges(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What pairs merge to, or -1."""
+        key = a.astype(np.int64) * self.span + b
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where((self.pair[at] == key) & (a >= 0) & (b >= 0), self.rank[at], -1)
+
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and len + 1 offsets into them. A piece that is a token itself needs no merges."""
+        whole = [self.ranks.get(p, -1) for p in pieces]
+        parts = [p if token < 0 else b"" for p, token in zip(pieces, whole)]
+        # Each piece is followed by a stop, with which nothing merges.
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+        n = int(ends[-1]) if len(parts) else 0
+        raw = np.frombuffer(b"\0".join([*parts, b""]), np.uint8)
+        stop = np.zeros(n, bool)
+        stop[ends - 1] = True
+        symbol = np.where(stop, -1, self.byte[raw]).astype(np.int32)
+        merge = np.full(n + 1, -1, np.int32)
+        if n > 1:
+            merge[: n - 1] = np.where(stop[:-1] | stop[1:], -1, self.first[raw[:-1].astype(np.int64) * 256 + raw[1:]])
+        again = self.replay(symbol, merge, ends)
+        symbol[stop] = whole
+        kept = symbol >= 0
+        off = np.concatenate([[0], np.cumsum(kept)[ends - 1]]).astype(np.int64)
+        ids = symbol[kept]
+        if len(again):
+            lists = np.split(ids, off[1:-1])
+            for i in again.tolist():
+                lists[i] = np.array(self.alone(pieces[i]), np.int64)
+            ids, off = np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+        return ids, off
+
+    def replay(self, symbol: np.ndarray, merge: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Merges in place. Returns the pieces whose merges would not go in the order of ranks."""
         n = len(symbol)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        merge_of = self.merge_of
-        for i in range(n - 1):
-            a, b = symbol[i], symbol[i + 1]
-            if a >= 0 and b >= 0 and (r := merge_of(a, b)) >= 0:
-                index.setdefault(r, []).append(i)
-        heap = list(index)
-        heapq.heapify(heap)
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        # The inverted index: from a merge to the places of its pair.
+        index: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def enter(places: np.ndarray, ranks: np.ndarray) -> None:
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            starts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist()]
+            for a, b, r in zip(starts, [*starts[1:], len(ranks)], ranks[starts].tolist()):
+                if r in index:
+                    index[r].append(places[a:b])
+                else:
+                    index[r] = [places[a:b]]
+                    heapq.heappush(heap, r)
+
+        live = np.flatnonzero(merge >= 0).astype(np.int32)
+        if len(live):
+            enter(live, merge[live])
+        again: list[np.ndarray] = []
         while heap:
             rank = heapq.heappop(heap)
-            places = index.pop(rank, None)
-            if places is None:
+            lists = index.pop(rank)
+            i = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+            i = i[merge[i] == rank]
+            if not len(i):
                 continue
-            places.sort()
-            for k, i in enumerate(places):
-                a = symbol[i]
-                if a < 0:
-                    continue
+            j = after[i]
+            if (merge[j] == rank).any():
+                # Places that overlap, as in a run of one letter: from the left, each takes its neighbour.
+                own, taken = [], set()
+                for a, b in zip(i.tolist(), j.tolist()):
+                    if a not in taken:
+                        own.append(a)
+                        taken.add(b)
+                i = np.array(own, np.int32)
                 j = after[i]
-                b = symbol[j]
-                if b < 0 or merge_of(a, b) != rank:
-                    continue
-                symbol[i], symbol[j] = rank, -2
-                j = after[i] = after[j]
-                before[j] = i
-                first = rank
-                for p, x, y in ((before[i], symbol[before[i]] if before[i] >= 0 else -1, rank), (i, rank, symbol[j])):
-                    if x >= 0 and y >= 0 and (r := merge_of(x, y)) >= 0:
-                        if r in index:
-                            index[r].append(p)
-                        else:
-                            index[r] = [p]
-                            heapq.heappush(heap, r)
-                        first = min(first, r)
-                if first < rank:
-                    if rank not in index:
-                        index[rank] = []
-                        heapq.heappush(heap, rank)
-                    index[rank] += places[k + 1 :]
-                    break
-        start, out = 0, []
-        for e, token in zip(ends, whole):
-            out.append([s for s in symbol[start : e - 1] if s >= 0] if token is None else [token])
-            start = e
-        return out
-
-
-def encoder(ranks, pattern: str, text_at: int, stretch: int, memory: int):
+            k = after[j]
+            # Where two such pairs adjoin, the first merge alone makes a pair that must not have a lower rank.
+            close = merge[k] == rank
+            if close.any():
+                between = self.merges(np.full(int(close.sum()), rank), symbol[k[close]])
+                if ((between >= 0) & (between < rank)).any():
+                    again.append(np.searchsorted(ends, i[close][(between >= 0) & (between < rank)], "right"))
+            symbol[i] = rank
+            symbol[j] = -2
+            merge[j] = -1
+            after[i] = k
+            before[k] = i
+            right = self.merges(symbol[i], symbol[np.minimum(k, n - 1)])
+            merge[i] = right
+            p = before[i]
+            left = self.merges(np.where(p >= 0, symbol[p], -1), symbol[i])
+            inside = (p >= 0) & (symbol[p] >= 0)
+            merge[p[inside]] = left[inside]
+            places, found = np.concatenate([i, p]), np.concatenate([right, left])
+            good = found >= 0
+            if good.any():
+                places, found = places[good], found[good]
+                low = found < rank
+                if low.any():
+                    again.append(np.searchsorted(ends, places[low], "right"))
+                enter(places, found)
+        return np.unique(np.concatenate(again)) if again else np.zeros(0, np.int64)
+
+    def alone(self, piece: bytes) -> list[int]:
+        """The ids of one piece: the merge of the lowest rank, leftmost first, by a heap of places."""
+        symbol = [int(self.byte[c]) for c in piece] + [-1]
+        after, before = list(range(1, len(symbol) + 1)), list(range(-1, len(symbol) - 1))
+
+        def rank_of(x: int, y: int) -> int:
+            at = int(np.searchsorted(self.pair, x * self.span + y))
+            return int(self.rank[at]) if x >= 0 and y >= 0 and at < len(self.pair) and self.pair[at] == x * self.span + y else -1
+
+        merge = [rank_of(x, y) for x, y in zip(symbol, symbol[1:])] + [-1]
+        heap = [(r, i) for i, r in enumerate(merge) if r >= 0]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            if merge[i] != r:
+                continue
+            j = after[i]
+            symbol[i], symbol[j], merge[j] = r, -2, -1
+            after[i] = after[j]
+            before[after[i]] = i
+            for p in (before[i], i):
+                if p >= 0 and symbol[p] >= 0:
+                    merge[p] = rank_of(symbol[p], symbol[after[p]])
+                    if merge[p] >= 0:
+                        heapq.heappush(heap, (merge[p], p))
+        return [s for s in symbol if s >= 0]
+
+
+def encoder(ranks, pattern: str, text_at: int, stretch: int, decoded: bool):
     def run(batches):
         import pyarrow as pa
         import regex
 
-        replay, cut, known = Replay(ranks.value), regex.compile(pattern).findall, {}
+        replay, cut = Replay(ranks.value), regex.compile(pattern).findall
+        token = token_table(ranks.value).__getitem__
         for batch in batches:
-            texts, ids, counts = batch.column(text_at), [], []
-            at = 0
+            texts, at = batch.column(text_at), 0
             while at < len(texts):
-                docs, size = [], 0
+                # The pieces of a stretch of documents are numbered as they come up.
+                number: dict = defaultdict()
+                number.default_factory = number.__len__
+                start, docs, size = at, [], 0
                 while at < len(texts) and (not docs or size < stretch):
                     text = texts[at].as_py() or ""
                     size += len(text)
-                    docs.append(cut(text))
+                    found = cut(text)
+                    docs.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
                     at += 1
-                new = set().union(*docs).difference(known)
-                if len(known) + len(new) > memory:
-                    known.clear()
-                    new = set().union(*docs)
-                new = list(new)
-                for piece, got in zip(new, replay.encode([p.encode() for p in new])):
-                    known[piece] = np.array(got, np.int32).tobytes()
+                known, off = replay.encode([p.encode() for p in number])
+                known, lens = known.astype(np.int32), np.diff(off)
+                del number
+                ids, counts, raw = [], [], []
                 for d in docs:
-                    got = b"".join(map(known.__getitem__, d))
+                    n = lens[d]
+                    total = int(n.sum())
+                    first = np.cumsum(n) - n
+                    got = known[np.repeat(off[d] - first, n) + np.arange(total)]
                     ids.append(got)
-                    counts.append(len(got) // 4)
-            flat = np.frombuffer(b"".join(ids), np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat))
-            kept = [c for i, c in enumerate(batch.columns) if i != text_at]
-            names = [c for i, c in enumerate(batch.schema.names) if i != text_at]
-            yield pa.RecordBatch.from_arrays([*kept, lists], [*names, "ids"])
+                    counts.append(total)
+                    if decoded:
+                        raw.append(b"".join(map(token, got.tolist())))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.concatenate(ids)))
+                part = batch.slice(start, at - start)
+                kept = [c for i, c in enumerate(part.columns) if i != text_at]
+                names = [c for i, c in enumerate(part.schema.names) if i != text_at]
+                more = [pa.array(raw, pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*kept, lists, *more], [*names, "ids", *["decoded"] * decoded])
 
     return run
 
 
-def encode(docs: DataFrame, path: str, pattern: str = PATTERN, stretch: int = 2 << 20, memory: int = 300_000) -> DataFrame:
-    """The rows of docs with `ids` (array of int) in the place of `text`."""
+def token_table(ranks: dict[bytes, int]) -> list[bytes | None]:
+    """The bytes of each id."""
+    known = {v: k for k, v in ranks.items()}
+    return [known.get(i) for i in range(max(known) + 1)]
+
+
+def encode(docs: DataFrame, path: str, pattern: str = PATTERN, stretch: int = 4 << 20, decoded: bool = False) -> DataFrame:
+    """The rows of docs with `ids` (array of int) in the place of `text`; with `decoded`, also the bytes that the ids decode to.
+
+    stretch: characters of the documents whose pieces are merged together.
+    """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(path))
-    names = [c for c in docs.columns if c not in ("text", "ids")]
+    names = [c for c in docs.columns if c not in ("text", "ids", "decoded")]
     rows = docs.select(*names, whole_text().alias("text"))
-    schema = wider(docs.select(*names), ("ids", ArrayType(IntegerType())))
-    return rows.mapInArrow(encoder(ranks, pattern, len(names), stretch, memory), schema)
+    schema = wider(docs.select(*names), ("ids", ArrayType(IntegerType())), *[("decoded", BinaryType())] * decoded)
+    return rows.mapInArrow(encoder(ranks, pattern, len(names), stretch, decoded), schema)
 
 
 def decoder(ranks, at: int):
     def run(batches):
         import pyarrow as pa
 
-        token = {v: k for k, v in ranks.value.items()}.__getitem__
+        token = token_table(ranks.value).__getitem__
         for batch in batches:
             lists = batch.column(at)
             raw = [b"".join(map(token, lists[i].values.to_numpy().tolist())) if lists[i].is_valid else None for i in range(len(lists))]

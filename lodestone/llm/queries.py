@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat_tree, pii, toxicity
+from . import bpe, chat_tree, oracles, pii, toxicity
 from .common import crc_mod
 from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
@@ -36,7 +36,7 @@ def rank_file() -> str:
 
 def op3_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digest_columns(bpe.decode(bpe.encode(docs, rank_file()), rank_file()))
+    return bpe.digest_columns(bpe.encode(docs, rank_file(), decoded=True))
 
 
 def op4_pii(spark, sf_dir):
@@ -56,7 +56,7 @@ def op6_toxicity(spark, sf_dir):
 
 def op10_chat_tree(spark, sf_dir):
     told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    says = "<|im_end|><|im_start|>assistant ok"
+    says = oracles.SAYS
     more = spark.sql(f"SELECT CAST(-1 AS BIGINT) AS conv_id, turn, role, '{says}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
     nodes, membership = chat_tree.prefix_tree(told.unionByName(more), rank_file())
     return chat_tree.digest_columns(chat_tree.read_back(nodes, membership, rank_file()))
@@ -115,6 +115,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_embedding_dedup": oracles.OP5_SQL,
+    "op8_ngram_join": oracles.OP8_SQL,
+    "op10_chat_tree": oracles.OP10_SQL,
     "op2_mix_sources": OP2_SQL,
     "op7_exact_dedup": OP7_SQL,
 }

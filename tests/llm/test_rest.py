@@ -75,7 +75,9 @@ def test_bpe_is_the_librarys(spark, documents):
     odd = [(10**7 + k, t) for k, t in enumerate(["aaaaaaaaaaa" * 40, "\x1c\x1d \x85 　 x", "áé ‍", "don't I'LL we've", "  \n\n  x", "٣٤ ½ Ⅷ", "<|endoftext|>"])]
     rows = documents + odd
     own = library()
-    coded = bpe.decode(bpe.encode(frame(spark, rows), RANKS, stretch=5_000, memory=3_000), RANKS).collect()
+    coded = bpe.decode(bpe.encode(frame(spark, rows), RANKS, stretch=5_000), RANKS).collect()
+    both = bpe.encode(frame(spark, rows), RANKS, decoded=True).collect()
+    assert Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in both) == Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in coded)
     assert Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in coded) == Counter((i, tuple(own.encode_ordinary(t or "")), (t or "").encode()) for i, t in rows)
 
 
@@ -86,7 +88,9 @@ def test_replay_takes_lower_ranks_first():
     own = tiktoken.Encoding("own", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})
     replay = bpe.Replay(ranks)
     for text in ("abab", "ababab", "babab", "aabbab", "abaabab"):
-        assert replay.encode([text.encode()])[0] == own.encode_ordinary(text)
+        assert replay.encode([text.encode()])[0].tolist() == own.encode_ordinary(text)
+    ids, off = replay.encode([b"abab", b"ab", b"", b"ba"])
+    assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == [own.encode_ordinary(x) for x in ("abab", "ab", "", "ba")]
 
 
 BASE = {
