@@ -216,3 +216,52 @@ def may_recover(p: Column) -> Column:
     """Is a second, wider search worth a try after an abstention?"""
     kind = p["query_type"]
     return ~kind.isin("summary_lookup", "comparison_lookup", "cross_cutting_lookup") & (kind.isin(*C.RECOVERY_QUERY_TYPES) | (p["evidence_spread"] == "atomic"))
+
+
+# What an answer should dwell on, by phrases, in the order of the result.
+FOCUS_CUES = (
+    ("summary", ("summary", "summarize", "overview")),
+    ("conclusions", ("conclusion", "conclusions", "takeaway", "takeaways")),
+    ("findings", ("finding", "findings")),
+    ("results", ("result", "results", "outcome", "outcomes")),
+    ("limitations", ("challenge", "challenges", "limitation", "limitations", "constraint", "constraints")),
+    ("methodology", ("methodology", "method", "methods")),
+    ("implementation", ("implementation", "implemented")),
+    ("recommendations", ("recommendation", "recommendations")),
+)
+# First questions by a document's style.
+STARTERS = {
+    "policy_document": (
+        "What are the main exclusions or waiting periods in this policy?",
+        "What obligations or deadlines should the insured person be aware of?",
+        "How does the policy define key terms like grace period, cashless facility, or network provider?",
+    ),
+    "thesis_document": (
+        "What is the main research aim of this thesis?",
+        "What are the strongest findings or conclusions from this thesis?",
+        "What future work or next steps does this thesis recommend?",
+    ),
+    "research_paper": (
+        "What is the main focus of this paper?",
+        "What are the most important findings or claims in this paper?",
+        "What limitations, challenges, or future directions does this paper discuss?",
+    ),
+    "generic_longform": (
+        "What are the key ideas or themes in this document?",
+        "What important obligations, constraints, or conclusions does the document contain?",
+        "What sections should I read first to understand the document quickly?",
+    ),
+}
+
+
+def answer_focus(question) -> Column:
+    q = F.lower(col(question))
+    return F.filter(F.array(*[F.when(contains_any(q, phrases), name) for name, phrases in FOCUS_CUES]), lambda x: x.isNotNull())
+
+
+def starters(style) -> Column:
+    """First questions for a document; an unknown style gets the general ones."""
+    out = F.lit(None).cast("array<string>")
+    for name, asked in STARTERS.items():
+        out = F.when(col(style) == name, F.array(*[F.lit(a) for a in asked])).otherwise(out)
+    return F.coalesce(out, F.array(*[F.lit(a) for a in STARTERS["generic_longform"]]))

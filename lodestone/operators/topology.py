@@ -150,3 +150,19 @@ def synopsis_quality(text, title) -> Column:
 
 def scope_labels(*items) -> Column:
     return first_distinct(F.array(*[col(i) for i in items]), 24)
+
+
+def joined_text(*parts) -> Column:
+    """The parts that aren't blank, with an empty line between."""
+    return F.trim(F.concat_ws("\n\n", *[F.nullif(col(p), F.lit("")) for p in parts]))
+
+
+def section_search_text() -> Column:
+    """What a section is searched by: its names, its summary, and both ends of its text."""
+    tail = F.when(F.length("text") > 700, F.trim(F.right("text", F.lit(350))))
+    return joined_text("title", F.array_join("section_path", " > "), F.array_join("aliases", " | "), F.array_join("scope_labels", " | "), "section_role", "chapter_title", "summary", F.trim(F.left("text", F.lit(700))), F.coalesce(tail, F.lit("")))
+
+
+def synopsis_search_text() -> Column:
+    """What a synopsis is searched by."""
+    return joined_text("title", F.array_join("section_path", " > "), "region_kind", F.array_join(F.slice("key_terms", 1, 8), ", "), "synopsis", F.array_join("page_labels", " | "))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import constants as C
-from lodestone.operators import answers, chunking, evaluate, retention, search, structure, topology
+from lodestone.operators import answers, chunking, evaluate, retention, routes, search, structure, topology
 from lodestone.sources import files
 from lodestone.sources.tables import written
 from lodestone.streaming import retention as streaming
@@ -259,3 +259,25 @@ def test_metrics(spark):
     assert {r.question_id: (r.precision, r.compliant) for r in evaluate.scope_compliance(scope).collect()} == {1: (0.5, False), 2: (1.0, True), 3: (0.0, False)}
     before, after = spark.createDataFrame([(1, 0.1), (2, 0.5)], "q int, m double"), spark.createDataFrame([(1, 0.2), (2, 0.5)], "q int, m double")
     assert tuple(evaluate.changes(before, after, ["q"], "m").first())[:3] == (1, 0, 1)
+
+
+def test_routes(spark, enriched):
+    sections = written(structure.build_sections(enriched), "sections")
+    synopses = written(topology.build_synopses(written(structure.profile_sections(sections), "profiles")), "synopses")
+    edges = written(topology.build_edges(synopses), "edges")
+    chunks = chunking.chunk_pages(enriched, 200, 40).drop("section_kind", "content_type", "section_path")
+    chunks = written(structure.join_section_metadata(chunks, sections), "chunks")
+    asked = [(1, "d", "How long is the waiting period on page 2?"), (2, "d", "What is this paper about?"), (3, "d", "How many years do rates rise?"), (4, "e", "Compare the rates of both years")]
+    questions = spark.createDataFrame(asked, "question_id int, document_id string, question string")
+    plans, final, grades = routes.route_all(questions, chunks, synopses, edges)
+    used = {r.question_id: r.route_used for r in plans.collect()}
+    assert used == {1: "chunk_first", 2: "global_summary_first", 3: "synopsis_first", 4: "synopsis_first"}
+    rows = final.collect()
+    assert grades.count() == 4 and len({(r.question_id, r.record_id) for r in rows}) == len(rows)
+    assert next(r for r in rows if r.question_id == 1 and r.final_rank == 1).text.find("waiting period") >= 0
+    assert {r.record_id[0] for r in rows if r.question_id == 4} == {"e"}
+    from lodestone.functions import questions as Q
+
+    row = questions.select(Q.answer_focus("question").alias("f"), Q.starters(F.lit("thesis_document")).alias("s")).first()
+    assert row.f == [] and row.s[0].endswith("this thesis?")
+    assert sections.join(synopses.select("section_id", topology.synopsis_search_text().alias("t")), "section_id").where("t = ''").count() == 0
