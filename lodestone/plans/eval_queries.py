@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as T
 from ..operators import evaluate, retention, search
-from .search_queries import lexical_hits, questions_of
+from .search_queries import TFIDF_CTES, lexical_hits, questions_of
 from .text_queries import DOCS, documents, table
 
 
@@ -30,6 +30,15 @@ def passage_hits(spark, sf_dir):
     return per.select("question_id", F.col("hit").cast("long").alias("hit"), F.round("reciprocal_rank", 9).alias("reciprocal_rank"), F.round("fragment_recall", 9).alias("fragment_recall"), F.round(evaluate.objective_a("hit", "fragment_recall", "reciprocal_rank"), 9).alias("objective"))
 
 
+PASSAGE_SQL = f"""
+WITH {TFIDF_CTES}, x AS (SELECT question_id, rank, coalesce(b.text, '') AS question, d.text FROM top t JOIN benchmark b ON b.item_id = question_id JOIN d ON d.doc_id = t.doc_id WHERE rank <= 4),
+y AS (SELECT question_id, rank, contains(text, question) AND question <> '' AS whole, text, list_filter(list_transform(string_split_regex(question, '[.!?]'), lambda z: trim(z)), lambda z: z <> '') AS f FROM x),
+z AS (SELECT question_id, rank, whole, len(list_filter(f, lambda g: contains(lower(text), lower(g)))) / greatest(len(f), 1) AS r FROM y),
+a AS (SELECT question_id, max(whole::INT)::BIGINT AS hit, coalesce(1.0::DOUBLE / min(CASE WHEN whole THEN rank END), 0) AS reciprocal_rank, max(r) AS fragment_recall FROM z GROUP BY question_id)
+SELECT question_id, hit, round(reciprocal_rank, 9) AS reciprocal_rank, round(fragment_recall, 9) AS fragment_recall, round(0.45::DOUBLE * hit + 0.35::DOUBLE * fragment_recall + 0.20::DOUBLE * reciprocal_rank, 9) AS objective FROM a
+"""
+
+
 def dataset_averages(spark, sf_dir):
     """Quality and toxicity: every source counting the same, and by its size."""
     rows = labelled(spark, sf_dir).withColumn("quality", F.col("quality").cast("double")).withColumn("toxic", F.col("toxic").cast("double")).withColumn("source", F.coalesce("source", F.lit("")))
@@ -231,6 +240,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "passage_hits": PASSAGE_SQL,
     "dataset_averages": AVERAGES_SQL, "suite_summary": SUITE_SQL, "latency_summary": LATENCY_SQL, "abstention": ABSTENTION_SQL, "threshold_sweep": SWEEP_SQL, "sessions_24h": SESSIONS_SQL,
     "active_workspaces": ACTIVE_SQL, "sweep_counts": SWEEP_COUNTS_SQL, "type_deltas": DELTAS_SQL, "pricing_summary": PRICING_SQL, "region_revenue": REGION_SQL,
     "props_json": "SELECT try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY 1",
