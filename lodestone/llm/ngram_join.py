@@ -13,12 +13,13 @@ A document is the set of its distinct word shingles. Two documents link when
    of their prefixes, the first n - ceil(percent * n / 100) + 1 members.
 3. Stars. A prefix member's list of documents has a first and a last one. Each
    document is compared with two of those that it meets in its lists: twice as
-   many pairs as documents. What links forms groups, and a second round compares
-   documents of different groups likewise.
+   many pairs as documents. What links forms groups; further rounds compare
+   documents of different groups likewise, with other ends, until nothing links.
 4. Rest. Only pairs from different groups can still matter for the components.
    A pair is made at its first common prefix member under the first order, if
-   enough members follow it in both sets and if the two share a prefix member
-   under each other order, too. All such pairs are verified exactly.
+   enough members follow it in both sets, if the two share a prefix member under
+   each other order, too, and if their bit signatures leave room for the overlap.
+   All such pairs are verified exactly.
 
 Lists of one group, as those of thousands of near copies, never become pairs.
 
@@ -40,6 +41,8 @@ from .words import words_of
 
 #: Bits of a shingle's hash.
 SHINGLE_BITS = 50
+#: Bits of a set's signature: those that its members' hashes name are set.
+SIGNATURE_BITS = 4096
 
 def shingle_sets(body: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The documents' distinct shingles (50-bit hashes), sorted inside each, and the documents' numbers."""
@@ -108,7 +111,7 @@ def sets_maker(width: int, percent: int, orders: int):
         shared = np.bincount(doc, kind > 0, minlength=len(ids))[: len(ids)]
         start = np.concatenate([[0], np.cumsum(size)])
         live = (size > 0) & (shared * 100 >= percent * size)
-        print_, members, places, prefixes = [None] * len(ids), [None] * len(ids), [None] * len(ids), [[None] * len(ids) for _ in range(orders)]
+        print_, members, places, signs, prefixes = [None] * len(ids), [None] * len(ids), [None] * len(ids), [None] * len(ids), [[None] * len(ids) for _ in range(orders)]
         ranks = [scramble(h, 100 + k) for k in range(orders)]
         for d in np.flatnonzero(live).tolist():
             a, b = start[d], start[d + 1]
@@ -123,8 +126,11 @@ def sets_maker(width: int, percent: int, orders: int):
                 prefixes[k][d] = own[first[shared_too]].view(np.int64)
                 if not k:
                     places[d] = np.flatnonzero(shared_too)
+            bits = np.zeros(SIGNATURE_BITS, bool)
+            bits[(own % np.uint64(SIGNATURE_BITS)).astype(np.int64)] = True
+            signs[d] = np.packbits(bits).view(np.int64)
         i64, many = pa.int64(), pa.list_(pa.int64())
-        out = {"key": pa.array((np.int64(block) << np.int64(20)) + np.arange(len(ids)), i64), "doc_id": pa.array(ids), "n_shingles": pa.array(size, i64), "print": pa.array(print_, pa.binary()), "members": pa.array(members, many), "i0": pa.array(places, many)}
+        out = {"key": pa.array((np.int64(block) << np.int64(20)) + np.arange(len(ids)), i64), "doc_id": pa.array(ids), "n_shingles": pa.array(size, i64), "print": pa.array(print_, pa.binary()), "members": pa.array(members, many), "i0": pa.array(places, many), "sign": pa.array(signs, many)}
         return out | {f"p{k}": pa.array(prefixes[k], many) for k in range(orders)}
 
     return make
@@ -142,11 +148,17 @@ def similar_sizes(percent: int):
     return (F.least("_n", "_o") * 100 >= F.greatest("_n", "_o") * percent)
 
 
-def star_pairs(post: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def star_pairs(post: DataFrame, labels: DataFrame, percent: int, turn: int) -> DataFrame:
     """For each document two others at most, of other groups: of the ends of its
-    prefix members' lists the one that it meets most often, and the smallest."""
-    own = post.join(labels, "key")
-    ends = own.groupBy("t").agg(F.min(F.struct("g", "key", "_n")).alias("_lo"), F.max(F.struct("g", "key", "_n")).alias("_hi")).where("_lo.g != _hi.g")
+    prefix members' lists the one that it meets most often, and the smallest.
+
+    The first turn takes a list's smallest and largest document as its ends, and
+    later turns two by a hash, others for each list and turn, so that documents
+    that are unlike the rest do not keep groups apart.
+    """
+    own = post.join(labels, "key").withColumn("_h", F.lit(0).cast("long") if not turn else F.xxhash64("key", "t", F.lit(turn)))
+    end = F.struct("_h", "key", "g", "_n")
+    ends = own.groupBy("t").agg(F.min(end).alias("_lo"), F.max(end).alias("_hi"), F.min("g").alias("_a"), F.max("g").alias("_b")).where("_a != _b").drop("_a", "_b")
     met = own.join(ends, "t").select("key", "_n", "g", F.explode(F.array("_lo", "_hi")).alias("_c"))
     met = met.select("key", "_n", "g", F.col("_c.key").alias("_k"), F.col("_c._n").alias("_o"), F.col("_c.g").alias("_g"))
     met = met.where((F.col("g") != F.col("_g")) & similar_sizes(percent)).groupBy("key", "_k").count()
@@ -159,9 +171,10 @@ def rest_pairs(post: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
     """Pairs of different groups that share a prefix member under every order.
 
     A pair is found at its first common member under the first order, once. From
-    there on, no more can be common than members are left in either set.
+    there on, no more can be common than members are left in either set, and the
+    signatures must leave room for enough common members.
     """
-    prefixes = [f"p{k}" for k in range(orders)]
+    prefixes = [*[f"p{k}" for k in range(orders)], "sign"]
     own = post.join(labels, "key")
     mixed = own.groupBy("t").agg(F.min("g").alias("_a"), F.max("g").alias("_b")).where("_a != _b").select("t")
     own = own.join(mixed, "t").join(sets.select("key", *prefixes), "key")
@@ -169,20 +182,26 @@ def rest_pairs(post: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
     left = F.least(F.col("_n") - F.col("_i"), F.col("_o") - F.col("_j"))
     enough = left * (100 + percent) >= percent * (F.col("_n") + F.col("_o"))
     first = F.element_at(F.array_intersect("p0", "_p0"), 1) == F.col("t")
-    every = [F.arrays_overlap(p, "_" + p) for p in prefixes[1:]]
+    every = [F.arrays_overlap(p, "_" + p) for p in prefixes[1:orders]]
     meets = (F.col("key") < F.col("_k")) & (F.col("g") != F.col("_g")) & similar_sizes(percent) & enough
-    for c in [*every, first]:
+    # Each bit that only one set has stands for a member at least that the other lacks.
+    lacks = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda n, x: n + x)
+    most = F.least(F.col("_n") - lacks("sign", "_sign"), F.col("_o") - lacks("_sign", "sign"))
+    close = most * (100 + percent) >= percent * (F.col("_n") + F.col("_o"))
+    for c in [first, *every, close]:
         meets = meets & c
     return own.join(other, (F.col("t") == F.col("_t")) & meets).select(F.col("key").alias("a"), F.col("_k").alias("b"))
 
 
-def link_groups(sets: DataFrame, percent: int, orders: int, rounds: int = 2) -> DataFrame:
+def link_groups(sets: DataFrame, percent: int, orders: int, rounds: int = 3) -> DataFrame:
     """(node, component) of the sets (key, n_shingles, members, p0, p1, ..., i0)."""
     post = sets.select("key", F.col("n_shingles").alias("_n"), F.explode(F.arrays_zip("p0", "i0")).alias("x")).select("key", "_n", F.col("x.p0").alias("t"), F.col("x.i0").alias("_i"))
     labels, links, group = sets.select("key", F.col("key").alias("g")), None, None
-    for _ in range(rounds):
-        found = verified(star_pairs(post.drop("_i"), labels, percent), sets, percent)
-        links = materialize(found if links is None else links.unionByName(found), "star-links")
+    for turn in range(rounds):
+        found = materialize(verified(star_pairs(post.drop("_i"), labels, percent, turn), sets, percent), "star-links")
+        if links is not None and found.isEmpty():
+            break
+        links = found if links is None else links.unionByName(found)
         group = components(links)
         labels = sets.select("key").join(group.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("g"))
         labels = materialize(labels, "groups")
@@ -195,7 +214,7 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, orders: int =
     identifier that links reach) and kept (true for one row of each component)."""
     blocks = Blocks(docs)
     classes = blocks.answers(blocks.runs(shingle_runs(width)), frequency_classes, 1)
-    schema = "key long, doc_id long, n_shingles long, print binary, members array<long>, i0 array<long>" + "".join(f", p{k} array<long>" for k in range(orders))
+    schema = "key long, doc_id long, n_shingles long, print binary, members array<long>, i0 array<long>, sign array<long>" + "".join(f", p{k} array<long>" for k in range(orders))
     rows = materialize(blocks.finish(classes, sets_maker(width, percent, orders), schema), "sets")
     blocks.drop()
     live = rows.where("print IS NOT NULL")
