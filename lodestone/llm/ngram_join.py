@@ -193,6 +193,10 @@ def rest_pairs(post: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
     return own.join(other, (F.col("t") == F.col("_t")) & meets).select(F.col("key").alias("a"), F.col("_k").alias("b"))
 
 
+def stars_of(group: DataFrame) -> DataFrame:
+    return group.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def link_groups(sets: DataFrame, percent: int, orders: int, rounds: int = 3) -> DataFrame:
     """(node, component) of the sets (key, n_shingles, members, p0, p1, ..., i0)."""
     post = sets.select("key", F.col("n_shingles").alias("_n"), F.explode(F.arrays_zip("p0", "i0")).alias("x")).select("key", "_n", F.col("x.p0").alias("t"), F.col("x.i0").alias("_i"))
@@ -201,12 +205,13 @@ def link_groups(sets: DataFrame, percent: int, orders: int, rounds: int = 3) ->
         found = materialize(verified(star_pairs(post.drop("_i"), labels, percent, turn), sets, percent), "star-links")
         if links is not None and found.isEmpty():
             break
-        links = found if links is None else links.unionByName(found)
-        group = components(links)
+        # What is grouped so far counts as one link for each document, to the first of its group.
+        links = found if group is None else stars_of(group).unionByName(found)
+        group = materialize(components(links), "star-groups")
         labels = sets.select("key").join(group.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("g"))
         labels = materialize(labels, "groups")
     rest = verified(rest_pairs(post, labels, sets, percent, orders), sets, percent)
-    return components(links.unionByName(rest))
+    return components(stars_of(group).unionByName(rest))
 
 
 def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, orders: int = 2) -> DataFrame:
