@@ -261,3 +261,20 @@ def test_elias_fano():
     assert (level.look_up(np.array([1, 0, 2]), np.array([5, 1, 6], np.uint64)) == 0).all()
     assert level.pointers.values().tolist() == [0, 2, 2, 5]
     assert np.abs(np.log10(restore(quantise(p))) - np.log10(p)).max() < 0.02
+
+
+def test_toxicity_learns_from_all_but_copies(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 9))
+    shared = [word() for _ in range(100)]
+    texts = [" ".join([*shared, *(word() for _ in range(30)), *(["zorgle"] if k % 4 == 0 else [])]) for k in range(160)]
+    rows = [(k, t, int(k % 4 == 0)) for k, t in enumerate(texts)]
+    copies = [(1000, texts[0] + " more", 1), (1001, " ".join(reversed(texts[1].split())), 0), (1002, texts[4], 0), (1003, texts[5] + " zorgle", 1)]
+    schema = "doc_id long, text string, toxic int"
+    got = toxicity.without_copies(frame(spark, rows + copies, schema)).collect()
+    assert Counter((r.doc_id, r.text, r.toxic) for r in got) == Counter(rows + copies[2:])
+    # Rows that only share their word of the smallest hash are rows of their own.
+    model = toxicity.learn(frame(spark, [r[:2] for r in rows]), spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int"))
+    learnt = [x for i, _, x in rows if zlib.crc32(str(i).encode()) % 5]
+    t, c = sum(learnt), len(learnt) - sum(learnt)
+    assert abs(model["weights"]["=zorgle"] - np.log((t + 0.5) / (t + 1)) + np.log(0.5 / (c + 1))) < 1e-9
