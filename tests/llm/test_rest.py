@@ -278,3 +278,16 @@ def test_toxicity_learns_from_all_but_copies(spark):
     learnt = [x for i, _, x in rows if zlib.crc32(str(i).encode()) % 5]
     t, c = sum(learnt), len(learnt) - sum(learnt)
     assert abs(model["weights"]["=zorgle"] - np.log((t + 0.5) / (t + 1)) + np.log(0.5 / (c + 1))) < 1e-9
+
+
+WORDS = ["stupid", "idiot", "worthless", "moron"]
+READER = toxicity.Reader({"=" + w: 5.0 for w in WORDS} | {"moro": 4.6}, {w: 50 for w in WORDS} | {"thing": 20, "other": 20, "with": 30})
+
+
+def test_toxicity_reads_from_any_place_of_a_token():
+    for text in ("you,1d10t", "#1d10t", "\u201c1d10t\u201d", "well\u20141d10t\u2014you", "you-1d10t", "1d10t-really", "you1d10t", "y@u.1d10t", "1d10t's", "so" * 60 + ",1d10t", "xyz" * 40 + "1d10t" + "abc" * 40):
+        assert READER.evidence(text) == {"=idiot"}, text
+    assert READER.evidence("st" + "u" * 200 + "p1d") == {"=stupid"}
+    assert READER.evidence("idiot,$tupid") == {"=idiot", "=stupid"}
+    for text in ("hum0rous", "that***thing", "with,0ther", "1l" * 50_000, "a.b@thing.example"):
+        assert not READER.evidence(text), text
