@@ -291,3 +291,11 @@ def test_toxicity_reads_from_any_place_of_a_token():
     assert READER.evidence("idiot,$tupid") == {"=idiot", "=stupid"}
     for text in ("hum0rous", "that***thing", "with,0ther", "1l" * 50_000, "a.b@thing.example"):
         assert not READER.evidence(text), text
+
+
+def test_toxicity_reads_spaced_look_alikes():
+    spaced = {"i d ! o t": "idiot", "! d 1 o t": "idiot", "such an i d i o t!!!": "idiot", "i - d\u00a0\u00a0i\t\to\r\nt": "idiot", "s t u p ! d": "stupid", "$ t u p i d": "stupid", "s\nt\nu\np\ni\nd\n": "stupid", "$ t uu p ! d": "stupid", " ".join("s" + "t" * 20 + "u" * 40 + "p" * 30 + "1d"): "stupid"}
+    for text, word in spaced.items():
+        assert READER.evidence(text) == {"=" + word}, text
+    for text in ("1 | 2 | 3 | 4", "a ! b ! c ! d", "$ 5 + $ 7 + 1 = 13", "a " * 1000):
+        assert not READER.evidence(text), text
