@@ -299,3 +299,17 @@ def test_toxicity_reads_spaced_look_alikes():
         assert READER.evidence(text) == {"=" + word}, text
     for text in ("1 | 2 | 3 | 4", "a ! b ! c ! d", "$ 5 + $ 7 + 1 = 13", "a " * 1000):
         assert not READER.evidence(text), text
+
+
+def test_toxicity_keeps_rare_evidence_of_many_rows(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 9))
+    rows = [(k, " ".join([*(word() for _ in range(8)), *(["grobian"] if k < 1200 and k % 400 < 3 else ["zorgle"] if k < 1200 else [])]), int(k < 1200)) for k in range(12_000)]
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    model = toxicity.learn(frame(spark, [r[:2] for r in rows]), labels)
+    t = [i for i, text, x in rows if "grobian" in text and zlib.crc32(str(i).encode()) % 5]
+    assert len(t) < sum(x for i, _, x in rows if zlib.crc32(str(i).encode()) % 5) // 80
+    assert {"=grobian", "=zorgle"} <= model["weights"].keys()
+    # Every word counts for the letters, also one of a single row.
+    once = next(text for i, text, _ in rows if zlib.crc32(str(i).encode()) % 5).split()[0]
+    assert all(f"^^{once}$"[i : i + 3] in model["trigrams"] for i in range(len(once)))
