@@ -35,10 +35,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    kept = only(docs, exact_dedup(docs, keep="max").where("kept"))
+    # A row stays by its identifier and text: others of its identifier may be copies that go.
+    stay = exact_dedup(docs, keep="max").where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_stays"))
+    rows = docs.withColumn("_digest", F.sha2(whole_text().cast("binary"), 256))
+    kept = rows.join(stay, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_stays")), "left_semi")
     # Rows that repeat both identifier and text are one.
-    same = W.partitionBy("doc_id", F.sha2(whole_text().cast("binary"), 256)).orderBy(F.lit(0))
-    return kept.withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
+    same = W.partitionBy("doc_id", "_digest").orderBy(F.lit(0))
+    return kept.withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n", "_digest")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

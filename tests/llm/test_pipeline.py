@@ -66,3 +66,13 @@ def test_stages(spark):
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(P.rank_file()), special_tokens={})
     assert Counter((r.doc_id, tuple(r.ids)) for r in last) == Counter((i, tuple(own.encode_ordinary(t))) for i, t, _ in rows_of(mixed))
     assert P.run(spark, DATA).count() > 0
+
+
+def test_copies_go_where_identifiers_repeat(spark):
+    import corpus_pipeline as P
+
+    rows = [(5, "A"), (9, "A"), (5, "B"), (None, "A"), (None, "C"), (None, "C"), (None, "B"), (7, ""), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "x", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.drop_copies(spark, docs, DATA)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text or "") for r in got.collect()) == Counter([(9, "A"), (5, "B"), (None, "C"), (7, "")])
