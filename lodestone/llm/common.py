@@ -49,7 +49,9 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     and a lost executor costs no more than the stage that it was running."""
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_at = path
+    return back
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -58,6 +60,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def drop_frame(df: DataFrame) -> None:
+    """Delete what materialize() wrote for df, once nothing reads it any more."""
+    drop_path(df.sparkSession, df.written_at)
+
+
 def wider(df: DataFrame, *fields: tuple) -> StructType:
     """The schema of df with more fields (name, type); add() would change the frame's own."""
     return StructType([*df.schema.fields, *(StructField(n, t) for n, t in fields)])

@@ -13,13 +13,15 @@ A document is the set of its distinct word shingles. Two documents link when
    of their prefixes, the first n - ceil(percent * n / 100) + 1 members.
 3. Stars. A prefix member's list of documents has a first and a last one. Each
    document is compared with two of those that it meets in its lists: twice as
-   many pairs as documents. What links forms groups; further rounds compare
-   documents of different groups likewise, with other ends, until nothing links.
+   many pairs as documents. Those that share a prefix member under each other
+   order, too, are verified exactly. What links forms groups, which go on as one
+   node; further rounds compare documents of different groups likewise, with
+   other ends, until nothing links.
 4. Rest. Only pairs from different groups can still matter for the components.
    A pair is made at its first common prefix member under the first order, if
    enough members follow it in both sets, if the two share a prefix member under
    each other order, too, and if their bit signatures leave room for the overlap.
-   All such pairs are verified exactly.
+   All such pairs are verified exactly. Long lists are cut in blocks.
 
 Lists of one group, as those of thousands of near copies, never become pairs.
 
@@ -136,12 +138,15 @@ def sets_maker(width: int, percent: int, orders: int):
     return make
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    one = sets.select(F.col("key").alias("a"), F.col("members").alias("_x"))
-    two = sets.select(F.col("key").alias("b"), F.col("members").alias("_y"))
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:
+    """The pairs (a, b, and their groups) that share a prefix member under each order and link."""
+    one = sets.select(F.col("key").alias("a"), F.col("members").alias("_x"), *[F.col(f"p{k}").alias(f"_x{k}") for k in range(1, orders)])
+    two = sets.select(F.col("key").alias("b"), F.col("members").alias("_y"), *[F.col(f"p{k}").alias(f"_y{k}") for k in range(1, orders)])
     both = F.size(F.array_intersect("_x", "_y"))
-    return pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select("a", "b")
+    links = 100 * both >= percent * (F.size("_x") + F.size("_y") - both)
+    for k in reversed(range(1, orders)):
+        links = F.arrays_overlap(f"_x{k}", f"_y{k}") & links
+    return pairs.join(one, "a").join(two, "b").where(links).select("a", "b", "ga", "gb")
 
 
 def similar_sizes(percent: int):
@@ -161,57 +166,75 @@ def star_pairs(post: DataFrame, labels: DataFrame, percent: int, turn: int) -> D
     ends = own.groupBy("t").agg(F.min(end).alias("_lo"), F.max(end).alias("_hi"), F.min("g").alias("_a"), F.max("g").alias("_b")).where("_a != _b").drop("_a", "_b")
     met = own.join(ends, "t").select("key", "_n", "g", F.explode(F.array("_lo", "_hi")).alias("_c"))
     met = met.select("key", "_n", "g", F.col("_c.key").alias("_k"), F.col("_c._n").alias("_o"), F.col("_c.g").alias("_g"))
-    met = met.where((F.col("g") != F.col("_g")) & similar_sizes(percent)).groupBy("key", "_k").count()
-    best = met.groupBy("key").agg(F.max(F.struct("count", "_k"))["_k"].alias("_m"), F.min("_k").alias("_l"))
-    pairs = best.select("key", F.explode(F.array("_m", "_l")).alias("_k"))
-    return pairs.select(F.least("key", "_k").alias("a"), F.greatest("key", "_k").alias("b")).distinct()
+    met = met.where((F.col("g") != F.col("_g")) & similar_sizes(percent)).groupBy("key", "g", "_k", "_g").count()
+    other = F.struct("_k", "_g")
+    best = met.groupBy("key", "g").agg(F.max(F.struct("count", other.alias("_c")))["_c"].alias("_m"), F.min(other).alias("_l"))
+    pairs = best.select(F.struct("key", "g").alias("_c"), F.explode(F.array("_m", "_l")).alias("_d"))
+    pairs = pairs.select(F.least("_c", F.col("_d").cast("struct<key:bigint,g:bigint>")).alias("x"), F.greatest("_c", F.col("_d").cast("struct<key:bigint,g:bigint>")).alias("y")).distinct()
+    return pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.g").alias("ga"), F.col("y.g").alias("gb"))
 
 
-def rest_pairs(post: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:
+def rest_pairs(post: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, orders: int, block: int = 1024) -> DataFrame:
     """Pairs of different groups that share a prefix member under every order.
 
     A pair is found at its first common member under the first order, once. From
     there on, no more can be common than members are left in either set, and the
     signatures must leave room for enough common members.
+
+    A set is early in a list if enough members follow there for a partner of its
+    own size. Of two sets that link, the smaller one is: so only early sets
+    look for partners, and a list of none, as one of a common template, makes no
+    pairs. A long list is cut in blocks by a hash, which meet in as many tasks.
     """
     prefixes = [*[f"p{k}" for k in range(orders)], "sign"]
-    own = post.join(labels, "key")
-    mixed = own.groupBy("t").agg(F.min("g").alias("_a"), F.max("g").alias("_b")).where("_a != _b").select("t")
-    own = own.join(mixed, "t").join(sets.select("key", *prefixes), "key")
-    other = own.select(F.col("t").alias("_t"), F.col("key").alias("_k"), F.col("_n").alias("_o"), F.col("g").alias("_g"), F.col("_i").alias("_j"), *[F.col(p).alias("_" + p) for p in prefixes])
-    left = F.least(F.col("_n") - F.col("_i"), F.col("_o") - F.col("_j"))
-    enough = left * (100 + percent) >= percent * (F.col("_n") + F.col("_o"))
-    first = F.element_at(F.array_intersect("p0", "_p0"), 1) == F.col("t")
-    every = [F.arrays_overlap(p, "_" + p) for p in prefixes[1:orders]]
-    meets = (F.col("key") < F.col("_k")) & (F.col("g") != F.col("_g")) & similar_sizes(percent) & enough
+    early = (F.col("_n") - F.col("_i")) * (100 + percent) >= 2 * percent * F.col("_n")
+    own = post.join(labels, "key").withColumn("_early", early)
+    lists = own.groupBy("t").agg(F.min("g").alias("_a"), F.max("g").alias("_b"), F.count_if("_early").alias("_f"), F.count(F.lit(1)).alias("_all")).where("_a != _b AND _f > 0")
+    lists = lists.select("t", F.ceil(F.col("_f") / block).alias("_rows"), F.ceil(F.col("_all") / block).alias("_cols"))
+    own = own.join(lists, "t").join(sets.select("key", *prefixes), "key")
+    part = lambda n: F.pmod(F.xxhash64("key"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    left = own.where("_early").withColumn("_r", part(F.col("_rows"))).withColumn("_s", every(F.col("_cols")))
+    right = own.withColumn("_s", part(F.col("_cols"))).withColumn("_r", every(F.col("_rows")))
+    right = right.select("t", "_r", "_s", F.col("key").alias("_k"), F.col("_n").alias("_o"), F.col("g").alias("_g"), F.col("_i").alias("_j"), F.col("_early").alias("_too"), *[F.col(p).alias("_" + p) for p in prefixes])
+    rest = F.least(F.col("_n") - F.col("_i"), F.col("_o") - F.col("_j"))
+    enough = rest * (100 + percent) >= percent * (F.col("_n") + F.col("_o"))
+    first = F.element_at(F.array_intersect("p0", "_p0"), 1) == F.col("l.t")
+    shared = [F.arrays_overlap(p, "_" + p) for p in prefixes[1:orders]]
+    # Two early sets find each other, which counts once.
+    meets = (F.col("g") != F.col("_g")) & (~F.col("_too") | (F.col("key") < F.col("_k"))) & similar_sizes(percent) & enough
     # Each bit that only one set has stands for a member at least that the other lacks.
     lacks = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda n, x: n + x)
     most = F.least(F.col("_n") - lacks("sign", "_sign"), F.col("_o") - lacks("_sign", "sign"))
     close = most * (100 + percent) >= percent * (F.col("_n") + F.col("_o"))
-    for c in [first, *every, close]:
+    for c in [first, *shared, close]:
         meets = meets & c
-    return own.join(other, (F.col("t") == F.col("_t")) & meets).select(F.col("key").alias("a"), F.col("_k").alias("b"))
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("t", "_r", "_s")]
+    for c in same:
+        meets = c & meets
+    return left.alias("l").join(right.alias("r"), meets).select(F.col("key").alias("a"), F.col("_k").alias("b"), F.col("g").alias("ga"), F.col("_g").alias("gb"))
+
 
+def contracted(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """The labels (key, g), where links between groups have made one of them.
 
-def stars_of(group: DataFrame) -> DataFrame:
-    return group.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    Only the groups' own links go through the rounds of components(): one node
+    for each group, however large it is.
+    """
+    group = components(found.select(F.col("ga").alias("a"), F.col("gb").alias("b"))).withColumnRenamed("node", "g")
+    return materialize(labels.join(group, "g", "left").select("key", F.coalesce("component", "g").alias("g")), "groups")
 
 
 def link_groups(sets: DataFrame, percent: int, orders: int, rounds: int = 3) -> DataFrame:
-    """(node, component) of the sets (key, n_shingles, members, p0, p1, ..., i0)."""
+    """(key, g) of the sets (key, n_shingles, members, p0, p1, ..., i0): g is the smallest key that links reach."""
     post = sets.select("key", F.col("n_shingles").alias("_n"), F.explode(F.arrays_zip("p0", "i0")).alias("x")).select("key", "_n", F.col("x.p0").alias("t"), F.col("x.i0").alias("_i"))
-    labels, links, group = sets.select("key", F.col("key").alias("g")), None, None
+    labels = sets.select("key", F.col("key").alias("g"))
     for turn in range(rounds):
-        found = materialize(verified(star_pairs(post.drop("_i"), labels, percent, turn), sets, percent), "star-links")
-        if links is not None and found.isEmpty():
+        found = materialize(verified(star_pairs(post.drop("_i"), labels, percent, turn), sets, percent, orders), "star-links")
+        if found.isEmpty():
             break
-        # What is grouped so far counts as one link for each document, to the first of its group.
-        links = found if group is None else stars_of(group).unionByName(found)
-        group = materialize(components(links), "star-groups")
-        labels = sets.select("key").join(group.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("g"))
-        labels = materialize(labels, "groups")
-    rest = verified(rest_pairs(post, labels, sets, percent, orders), sets, percent)
-    return components(stars_of(group).unionByName(rest))
+        labels = contracted(labels, found)
+    return contracted(labels, verified(rest_pairs(post, labels, sets, percent, orders), sets, percent, orders))
 
 
 def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, orders: int = 2) -> DataFrame:
@@ -227,8 +250,8 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, orders: int =
     part = live.groupBy("print", F.pmod(F.xxhash64("key"), F.lit(64)).alias("_part")).agg(F.min("key").alias("rep"), F.min("doc_id").alias("least"))
     reps = materialize(part.groupBy("print").agg(F.min("rep").alias("rep"), F.min("least").alias("least")), "reps")
     sets = materialize(live.join(reps.select(F.col("rep").alias("key")), "key", "left_semi"), "distinct-sets")
-    group = materialize(link_groups(sets, percent, orders), "components")
-    named = reps.join(group.withColumnRenamed("node", "rep"), "rep", "left").withColumn("_g", F.coalesce("component", "rep"))
+    group = link_groups(sets, percent, orders)
+    named = reps.join(group.select(F.col("key").alias("rep"), F.col("g").alias("_g")), "rep")
     lowest = named.groupBy("_g").agg(F.min("least").alias("_id"))
     # Only sets of several rows, or in groups of several sets, need an answer.
     answer = named.join(lowest, "_g").select("print", "_id")
