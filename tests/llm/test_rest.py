@@ -184,13 +184,14 @@ def test_toxicity_restores_words(spark):
     words = ["stupid", "idiot", "worthless"]
     letters = {w: 50 for w in words} | {"thing": 20, "other": 20, "with": 30}
     reader = toxicity.Reader({"=" + w: 5.0 for w in words}, letters)
-    for text in ("st00pid is not", "you 1d10t!", "such an i d i o t, really", "w.o.r.t.h.l.e.s.s", "stuuuupiiid", "$tup1d***", "W0rthl3$$"):
-        assert reader.evidence(text) or text == "st00pid is not", text
-    for text in ("that*** thing", "a a a a a a a a", "with 1 other thing", "x@idiot.example.com 4111", "", "a$$$"):
-        assert not reader.evidence(text) or "idiot" in text
-    assert reader.restored("an 1d10t here") == "an idiot here"
+    for text in ("you 1d10t!", "such an i d i o t, really", "w.o.r.t.h.l.e.s.s", "stuuuupiiid", "$tup1d***", "W0rthl3$$", "x@idiot.example.com 4111"):
+        assert sum(reader.evidence(text)[1].values()) == 1, text
+    for text in ("st00pid is not", "that*** thing", "a a a a a a a a", "with 1 other thing", "x@thing.example.com 4111", "", "a$$$"):
+        assert not reader.evidence(text)[1], text
+    assert reader.restored("An 1d10t here").split() == ["an", "idiot", "here"]
+    assert reader.restored("you1d10t, s t u p ! d").split() == ["you", "idiot", ",", "stupid"]
     rows = [(None, None), (1, ""), (2, "1d10t " * 50_000)]
-    model = {"weights": {"=idiot": 5.0}, "letters": letters, "slope": 1.0, "base": -3.0}
+    model = {"weights": {"=idiot": 5.0}, "rates": {"=idiot": 1e-6}, "letters": letters, "slope": 1.0, "base": -3.0}
     got = {r.doc_id: r.score for r in toxicity.score(frame(spark, rows), model).collect()}
     assert got[None] == got[1] < 0.5 < got[2]
     assert [r.doc_id for r in toxicity.without_toxic(frame(spark, rows), model).collect()].count(2) == 0
@@ -263,6 +264,63 @@ def test_elias_fano():
     assert np.abs(np.log10(restore(quantise(p))) - np.log10(p)).max() < 0.02
 
 
+def readings(written):
+    """All paths through the lattice of some written characters: (letters, log10 of the channel)."""
+    paths = [("", "", 0.0)]
+    for c in written:
+        more = []
+        for text, last, cost in paths:
+            if c in toxicity.SEPARATORS or c.isspace():
+                more.append((text, last, cost + toxicity.COST["nothing"]))
+                continue
+            letters = toxicity.LOOKS_LIKE.get(c, "") + (c if c.isalpha() else "")
+            for x in letters:
+                more.append((text + x, x, cost + toxicity.COST["same" if x == c else "look"]))
+                if x == last:
+                    more.append((text, last, cost + toxicity.COST["again"]))
+            if not letters:
+                more.append((text, last, cost + toxicity.COST["look"]))
+        paths = more
+    return [(text, cost) for text, _, cost in paths]
+
+
+def test_viterbi_finds_the_best_path():
+    rng = np.random.default_rng(4)
+    model = toxicity.Letters({"stupid": 9, "idiot": 9, "illegal": 5, "ball": 3, "bell": 4, "tool": 2})
+    for _ in range(300):
+        written = "".join(rng.choice(list("sitlobe0135!|7$ .x"), int(rng.integers(1, 9))))
+        best = {}
+        for text, cost in readings(written):
+            w = f"^^{text}$"
+            best[text] = max(cost + sum(model.log_p(w[i : i + 2], w[i + 2]) for i in range(len(w) - 2)), best.get(text, -1e9))
+        got = toxicity.viterbi(written, model)
+        assert abs(best[got] - max(best.values())) < 1e-9, written
+
+
+def test_toxicity_scores_the_restored_text(spark, documents):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    hidden = [(10**7 + k, t) for k, t in enumerate(["what a p4thet1c cl0wn", "l o s e r and $cum, i.d.i.o.t", "tr4sh" * 3, "d i s g u s t i n g " * 400])]
+    docs = frame(spark, documents + hidden)
+    model = toxicity.learn(docs, labels)
+    reader, texts = toxicity.Reader(model["weights"], model["letters"], model["trigrams"]), dict(documents + hidden)
+
+    def plainly(text):
+        n, k = len(text.lower().split()), Counter()
+        for word in re.findall(r"[^\W\d_]+", reader.restored(text)):
+            known = [f for f in ["=" + word, *(word[:m] for m in range(4, 9) if len(word) >= m)] if f in model["weights"]]
+            if known:
+                k[max(known, key=lambda f: (model["weights"][f], f))] += 1
+        over = [(c, n * model["rates"][f]) for f, c in k.items() if c > n * model["rates"][f]]
+        return 1 / (1 + np.exp(-(model["slope"] * sum(c * np.log(c / u) - c + u for c, u in over) + model["base"])))
+
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == len(documents) + len(hidden)
+    for r in got:
+        if r.doc_id is not None and r.doc_id != 10**6 + 1:
+            assert abs(r.score - plainly(texts[r.doc_id] or "")) < 1e-9
+    assert toxicity.score(frame(spark, []), model).collect() == []
+
+
 def test_toxicity_learns_from_all_but_copies(spark):
     rng = np.random.default_rng(5)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 9))
@@ -277,28 +335,35 @@ def test_toxicity_learns_from_all_but_copies(spark):
     model = toxicity.learn(frame(spark, [r[:2] for r in rows]), spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int"))
     learnt = [x for i, _, x in rows if zlib.crc32(str(i).encode()) % 5]
     t, c = sum(learnt), len(learnt) - sum(learnt)
-    assert abs(model["weights"]["=zorgle"] - np.log((t + 0.5) / (t + 1)) + np.log(0.5 / (c + 1))) < 1e-9
+    many, few = t * 131, c * 130
+    assert abs(model["weights"]["=zorgle"] - np.log((t + 0.5) / (many + 1)) + np.log(0.5 / (few + 1))) < 1e-9
+    assert abs(model["rates"]["=zorgle"] - 0.5 / (few + 1)) < 1e-12
 
 
 WORDS = ["stupid", "idiot", "worthless", "moron"]
 READER = toxicity.Reader({"=" + w: 5.0 for w in WORDS} | {"moro": 4.6}, {w: 50 for w in WORDS} | {"thing": 20, "other": 20, "with": 30})
 
 
+def found(text):
+    return set(READER.evidence(text)[1])
+
+
 def test_toxicity_reads_from_any_place_of_a_token():
     for text in ("you,1d10t", "#1d10t", "\u201c1d10t\u201d", "well\u20141d10t\u2014you", "you-1d10t", "1d10t-really", "you1d10t", "y@u.1d10t", "1d10t's", "so" * 60 + ",1d10t", "xyz" * 40 + "1d10t" + "abc" * 40):
-        assert READER.evidence(text) == {"=idiot"}, text
-    assert READER.evidence("st" + "u" * 200 + "p1d") == {"=stupid"}
-    assert READER.evidence("idiot,$tupid") == {"=idiot", "=stupid"}
+        assert found(text) == {"=idiot"}, text
+    assert found("st" + "u" * 200 + "p1d") == {"=stupid"}
+    assert found("i" * 97 + "d10t") == found("i" * 5000 + "d10t") == {"=idiot"}
+    assert found("idiot,$tupid") == {"=idiot", "=stupid"}
     for text in ("hum0rous", "that***thing", "with,0ther", "1l" * 50_000, "a.b@thing.example"):
-        assert not READER.evidence(text), text
+        assert not found(text), text
 
 
 def test_toxicity_reads_spaced_look_alikes():
     spaced = {"i d ! o t": "idiot", "! d 1 o t": "idiot", "such an i d i o t!!!": "idiot", "i - d\u00a0\u00a0i\t\to\r\nt": "idiot", "s t u p ! d": "stupid", "$ t u p i d": "stupid", "s\nt\nu\np\ni\nd\n": "stupid", "$ t uu p ! d": "stupid", " ".join("s" + "t" * 20 + "u" * 40 + "p" * 30 + "1d"): "stupid"}
     for text, word in spaced.items():
-        assert READER.evidence(text) == {"=" + word}, text
+        assert found(text) == {"=" + word}, text
     for text in ("1 | 2 | 3 | 4", "a ! b ! c ! d", "$ 5 + $ 7 + 1 = 13", "a " * 1000):
-        assert not READER.evidence(text), text
+        assert not found(text), text
 
 
 def test_toxicity_keeps_rare_evidence_of_many_rows(spark):
