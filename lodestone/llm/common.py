@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType
 
-#: Stands for a null identifier inside operators; it sorts before every other.
+#: Stands for a null identifier inside operators; it sorts before every other. As an identifier of its own it counts as null.
 NULL_ID = -(2**63)
 
 _own_dirs: dict[str, str] = {}

@@ -28,7 +28,8 @@ Lists of one group, as those of thousands of near copies, never become pairs.
 Defined results: a null or wordless text has no shingles and links with
 nothing; a text with fewer words than `width` has all of them as one shingle;
 rows with equal identifiers are separate documents; a null identifier counts
-as the smallest; an empty table gives an empty result.
+as the smallest; very long texts count whole; an empty table gives an empty
+result; other columns, whatever their names, are not touched.
 """
 
 from __future__ import annotations
@@ -133,6 +134,7 @@ def sets_maker(width: int, percent: int, orders: int):
             signs[d] = np.packbits(bits).view(np.int64)
         i64, many = pa.int64(), pa.list_(pa.int64())
         out = {"key": pa.array((np.int64(block) << np.int64(20)) + np.arange(len(ids)), i64), "doc_id": pa.array(ids), "n_shingles": pa.array(size, i64), "print": pa.array(print_, pa.binary()), "members": pa.array(members, many), "i0": pa.array(places, many), "sign": pa.array(signs, many)}
+        out["text_sha256"] = pa.array([hashlib.sha256(body[a:b]).hexdigest() for a, b in zip(off[:-1].tolist(), off[1:].tolist())], pa.string())
         return out | {f"p{k}": pa.array(prefixes[k], many) for k in range(orders)}
 
     return make
@@ -239,24 +241,26 @@ def link_groups(sets: DataFrame, percent: int, orders: int, rounds: int = 3) ->
 
 def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, orders: int = 2) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (smallest
-    identifier that links reach) and kept (true for one row of each component)."""
+    identifier that links reach), kept (true for one row of each component, which
+    has the smallest identifier) and text_sha256."""
     blocks = Blocks(docs)
     classes = blocks.answers(blocks.runs(shingle_runs(width)), frequency_classes, 1)
-    schema = "key long, doc_id long, n_shingles long, print binary, members array<long>, i0 array<long>, sign array<long>" + "".join(f", p{k} array<long>" for k in range(orders))
+    schema = "key long, doc_id long, n_shingles long, text_sha256 string, print binary, members array<long>, i0 array<long>, sign array<long>" + "".join(f", p{k} array<long>" for k in range(orders))
     rows = materialize(blocks.finish(classes, sets_maker(width, percent, orders), schema), "sets")
     blocks.drop()
     live = rows.where("print IS NOT NULL")
     # Equal sets go on as one; a first sum over parts keeps a hot set out of one task.
-    part = live.groupBy("print", F.pmod(F.xxhash64("key"), F.lit(64)).alias("_part")).agg(F.min("key").alias("rep"), F.min("doc_id").alias("least"))
+    part = live.groupBy("print", F.pmod(F.xxhash64("key"), F.lit(64)).alias("_part")).agg(F.min("key").alias("rep"), F.min(F.struct("doc_id", "key")).alias("least"))
     reps = materialize(part.groupBy("print").agg(F.min("rep").alias("rep"), F.min("least").alias("least")), "reps")
     sets = materialize(live.join(reps.select(F.col("rep").alias("key")), "key", "left_semi"), "distinct-sets")
     group = link_groups(sets, percent, orders)
     named = reps.join(group.select(F.col("key").alias("rep"), F.col("g").alias("_g")), "rep")
-    lowest = named.groupBy("_g").agg(F.min("least").alias("_id"))
+    lowest = named.groupBy("_g").agg(F.min("least").alias("_best"))
     # Only sets of several rows, or in groups of several sets, need an answer.
-    answer = named.join(lowest, "_g").select("print", "_id")
+    answer = named.join(lowest, "_g").select("print", "_best")
     salted = part.select("print", "_part").join(answer, "print")
-    out = rows.select("key", "doc_id", "n_shingles", "print", F.when(F.col("print").isNotNull(), F.pmod(F.xxhash64("key"), F.lit(64))).alias("_part"))
-    out = out.join(salted, ["print", "_part"], "left").withColumn("_c", F.coalesce("_id", "doc_id"))
+    out = rows.select("key", "doc_id", "n_shingles", "text_sha256", "print", F.when(F.col("print").isNotNull(), F.pmod(F.xxhash64("key"), F.lit(64))).alias("_part"))
+    out = out.join(salted, ["print", "_part"], "left").withColumn("_c", F.coalesce("_best.doc_id", "doc_id"))
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(back("doc_id").alias("doc_id"), "n_shingles", back("_c").alias("component_id"), (F.col("doc_id") == F.col("_c")).alias("kept"))
+    kept = F.coalesce("_best.key", "key") == F.col("key")
+    return out.select(back("doc_id").alias("doc_id"), "n_shingles", back("_c").alias("component_id"), kept.alias("kept"), "text_sha256")

@@ -67,7 +67,7 @@ def op7_exact_dedup(spark, sf_dir):
 
 
 def op8_ngram_join(spark, sf_dir):
-    return ngram_join(table(spark, sf_dir, "documents"))
+    return ngram_join(table(spark, sf_dir, "documents")).drop("text_sha256")
 
 
 def op9_lm_score(spark, sf_dir):

@@ -76,3 +76,31 @@ def test_copies_go_where_identifiers_repeat(spark):
     got = P.drop_copies(spark, docs, DATA)
     assert got.columns == docs.columns
     assert Counter((r.doc_id, r.text or "") for r in got.collect()) == Counter([(9, "A"), (5, "B"), (None, "C"), (7, "")])
+
+
+def test_near_copies_go_where_identifiers_repeat(spark):
+    import corpus_pipeline as P
+
+    words = [f"w{k}" for k in range(60)]
+    a, b, c = " ".join(words), " ".join([*words, "more"]), " ".join(f"v{k}" for k in range(60))
+    rows = [(5, a), (9, b), (5, c), (None, a), (None, b), (None, c), (None, c), (5, c), (7, ""), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "x", 1, "k", 2, 3) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _id string, number int, row int")
+    got = P.drop_near_copies(spark, docs, DATA)
+    assert got.columns == docs.columns
+    # Of each component the smallest identifier (null) stays, as one row; wordless texts link with nothing.
+    kept = Counter((r.doc_id, r.text or "") for r in got.collect())
+    assert kept[None, c] == 1 and kept[None, a] + kept[None, b] == 1 and kept[7, ""] == kept[8, ""] == 1 and sum(kept.values()) == 4
+
+
+def test_stages_on_empty_and_clashing_tables(spark):
+    import corpus_pipeline as P
+
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    for rows, more in (([], ""), ([], ", _id int, row int"), ([(1, "one two three", "en", "x", 13, 5, 6, 7, 8), (2, "one two three", "en", "x", 13, 5, 6, 7, 8)], ", _id int, _n int, size int, taken int")):
+        docs = spark.createDataFrame(rows, kinds + more)
+        for name, stage in P.STAGES:
+            out = stage(spark, docs, DATA)
+            left = out.collect()
+            if name != "byte-level BPE":
+                assert out.columns == docs.columns
+            assert bool(left) == bool(rows)
