@@ -6,8 +6,10 @@ reads them again as the next one's docs. All but the last return the columns
 of documents.
 
 Rows with a null identifier are kept like others. Rows that repeat an
-identifier with another text are documents of their own; in the n-gram stage
-they stay or go together.
+identifier with another text are documents of their own: rows are told apart
+by identifier and text, and of rows that repeat both, one stays after each of
+the two dedup stages. Further columns, whatever their names, are carried along
+up to the last stage.
 """
 
 from __future__ import annotations
@@ -15,16 +17,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from lodestone.llm import bpe, toxicity
-from lodestone.llm.common import materialize, whole_text
+from lodestone.llm.common import NULL_ID, materialize
 from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.mixing import mix_sources
 from lodestone.llm.ngram_join import ngram_join
 from lodestone.llm.queries import rank_file
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose identifier is among ids; null is one of them, too."""
-    return docs.join(ids.select(F.col("doc_id").alias("_id")), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+def chosen(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows of docs whose identifier and text are in stay (doc_id, text_sha256); of rows that are equal in both, one.
+
+    Texts move once: the choice of one row needs no other partitioning than the join.
+    """
+    ident = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NULL_ID))
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row")).select("row", ident("row.doc_id").alias("id"), F.sha2(text.cast("binary"), 256).alias("digest"))
+    rows = rows.join(stay.select(ident("doc_id").alias("id"), F.col("text_sha256").alias("digest")), ["id", "digest"], "left_semi")
+    same = W.partitionBy("id", "digest").orderBy(F.lit(0))
+    return rows.withColumn("number", F.row_number().over(same)).where("number = 1").select("row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,18 +45,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    # A row stays by its identifier and text: others of its identifier may be copies that go.
-    stay = exact_dedup(docs, keep="max").where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_stays"))
-    rows = docs.withColumn("_digest", F.sha2(whole_text().cast("binary"), 256))
-    kept = rows.join(stay, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_stays")), "left_semi")
-    # Rows that repeat both identifier and text are one.
-    same = W.partitionBy("doc_id", "_digest").orderBy(F.lit(0))
-    return kept.withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n", "_digest")
+    return chosen(docs, exact_dedup(docs, keep="max").where("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of five-word shingles join (similarity of 0.8 or more) the smallest doc_id stays."""
-    return only(docs, ngram_join(docs, width=5, percent=80).where("kept"))
+    """Of documents that links of five-word shingles join (similarity of 0.8 or more) the smallest doc_id stays, as one row."""
+    return chosen(docs, ngram_join(docs, width=5, percent=80).where("kept"))
 
 
 def first_words(text, n):
@@ -57,12 +61,12 @@ def first_words(text, n):
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document is repeated for each whole epoch, and cut where its source's budget ends."""
-    rows = mix_sources(docs.withColumn("_source", F.col("source")), keep=("text", "lang", "_source")).where("taken > 0")
-    rows = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")).cast("int"))))
-    rest = F.col("taken") - F.col("_epoch") * F.col("size")
-    rows = rows.withColumn("text", F.when(rest < F.col("size"), first_words(F.col("text"), rest)).otherwise(F.col("text")))
-    kinds = dict(docs.dtypes)
-    return rows.select("doc_id", "text", "lang", F.col("_source").alias("source"), F.length("text").cast(kinds["n_chars"]).alias("n_chars"))
+    rows = mix_sources(docs.select("doc_id", "source", "text", F.struct("*").alias("row")), keep=("row",)).where("taken > 0")
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")).cast("int"))))
+    rest = F.col("taken") - F.col("epoch") * F.col("size")
+    rows = rows.withColumn("cut", F.when(rest < F.col("size"), first_words(F.col("row.text"), rest)).otherwise(F.col("row.text")))
+    new = {"text": F.col("cut"), "n_chars": F.length("cut").cast(dict(docs.dtypes)["n_chars"])}
+    return rows.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
