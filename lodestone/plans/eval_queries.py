@@ -22,7 +22,7 @@ def passage_hits(spark, sf_dir):
     hits = lexical_hits(spark, sf_dir).select("question_id", F.col("record_id").alias("doc_id"), "rank")
     rows = hits.join(documents(spark, sf_dir), "doc_id").join(questions_of(spark, sf_dir), "question_id")
     rows = rows.withColumn("whole", F.contains("text", F.col("question")) & (F.col("question") != ""))
-    fragments = F.filter(F.transform(F.split("question", r"[.!?]", -1), F.trim), lambda x: x != "")
+    fragments = F.filter(F.transform(F.split("question", r"[.!?]", -1), lambda x: F.trim(x)), lambda x: x != "")
     found = F.size(F.filter(fragments, lambda x: F.contains(F.lower("text"), F.lower(x))))
     per = rows.groupBy("question_id").agg(
         F.max(F.col("whole").cast("int")).alias("hit"), F.coalesce(1.0 / F.min(F.when(F.col("whole"), F.col("rank"))), F.lit(0.0)).alias("reciprocal_rank"), F.max(found / F.greatest(F.size(fragments), F.lit(1))).alias("fragment_recall")
