@@ -13,6 +13,7 @@ block: the blocks pre-aggregate.
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 import numpy as np
@@ -94,6 +95,7 @@ class Blocks:
             .saveAsTable(self.name)
         )
         self.frame = spark.table(self.name)
+        atexit.register(self.drop)
         self.n_bytes = self.frame.agg(F.sum("n_bytes")).first()[0] or 0
         self.shards = max(least_shards, self.n_bytes // shard_bytes)
 
@@ -118,8 +120,11 @@ class Blocks:
         return self.frame.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finisher(make, arrow, self.shards), schema)
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        drop_path(self.spark, self.path)
+        """Drop the table and its files; at the driver's end at the latest."""
+        atexit.unregister(self.drop)
+        if self.spark.sparkContext._jsc is not None:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+            drop_path(self.spark, self.path)
 
 
 def opened(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -15,7 +15,9 @@ The rank file is a parameter. The driver reads it, and executors get its
 entries (their number is the vocabulary's, whatever the input) as a broadcast.
 
 Defined results: a null text is empty and has no tokens; rows with equal
-identifiers are encoded separately; other columns pass through unchanged.
+identifiers are encoded separately; very long texts are encoded whole; an empty
+table gives an empty result; other columns pass through unchanged, but for such
+as are called ids or decoded, whose place the results take.
 """
 
 from __future__ import annotations

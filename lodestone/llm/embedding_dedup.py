@@ -21,7 +21,8 @@ the threshold, whatever the input; only their counts go to the driver.
 Defined results: a vector that is null, empty or zero, or that holds a null or
 non-finite component, links with nothing; vectors of different lengths don't
 link; rows with equal identifiers are separate vectors; a null identifier
-counts as the smallest.
+counts as the smallest; an empty table gives an empty result; other columns,
+whatever their names, are not touched.
 """
 
 from __future__ import annotations

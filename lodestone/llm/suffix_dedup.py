@@ -23,7 +23,8 @@ in the suffix array of all texts. It is built one suffix bucket at a time:
 
 Defined results: null texts are empty; texts shorter than `length` keep
 everything; rows with equal identifiers do not remove from each other; a null
-identifier is smaller than all others; an empty table gives an empty result.
+identifier is smaller than all others; very long texts count whole; an empty
+table gives an empty result; other columns, whatever their names, are not touched.
 """
 
 from __future__ import annotations

@@ -25,47 +25,36 @@ def semantic_blocks(pages: DataFrame) -> DataFrame:
 def table_blocks(pages: DataFrame) -> DataFrame:
     """document_id, page_no, at, text: captioned tables, then runs of three or more tabular lines.
 
-    A caption opens a block, which a blank line or a heading closes once it has
-    three lines; a caption inside an open block belongs to it. Blocks are found
-    by groups of lines; which captions open one takes a fold over the lines.
+    A caption's table reaches to the first line after three of its lines that
+    closes one (a blank line, or a heading that isn't tabular). Captions inside
+    a table open none: a fold over a page's captions, of which there are few,
+    gives the spans; lines fall into spans, and what is left into runs.
     """
-    fact = lambda x: F.struct(R.is_table_caption(x).alias("c"), R.is_tabular_line(x).alias("t"), R.is_heading_line(x).alias("h"), x.alias("x"))
-    rows = pages.select("document_id", "page_no", F.transform(raw_lines("text"), fact).alias("facts"))
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            out = []
-            for doc, page, facts in zip(*(batch.column(c).to_pylist() for c in ("document_id", "page_no", "facts"))):
-                taken, found = set(), []
-                for i, f in enumerate(facts):
-                    if i in taken or not f["c"]:
-                        continue
-                    block = [f["x"]]
-                    taken.add(i)
-                    for j in range(i + 1, len(facts)):
-                        g = facts[j]
-                        if len(block) >= 3 and (not g["x"] or g["h"] and not g["t"]):
-                            break
-                        if g["x"]:
-                            block.append(g["x"])
-                            taken.add(j)
-                    if len(block) >= 2:
-                        found.append("\n".join(block).strip())
-                runs, now = [], []
-                for i, f in enumerate(facts):
-                    if i not in taken and f["t"]:
-                        now.append(f["x"].strip())
-                        continue
-                    runs.append(now)
-                    now = []
-                found += ["\n".join(r).strip() for r in [*runs, now] if len(r) >= 3]
-                out += [(doc, page, n, t) for n, t in enumerate(dict.fromkeys(t for t in found if t))]
-            cols = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())], ["document_id", "page_no", "at", "text"])
-
-    return rows.withColumn("document_id", F.col("document_id").cast("string")).withColumn("page_no", F.col("page_no").cast("int")).mapInArrow(run, "document_id string, page_no int, at int, text string")
+    page = ["document_id", "page_no"]
+    rows = pages.select(F.col("document_id").cast("string").alias("document_id"), F.col("page_no").cast("int").alias("page_no"), F.posexplode(raw_lines("text")).alias("i", "line"))
+    filled = F.col("line") != ""
+    before = W.partitionBy(*page).orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    facts = rows.select(*page, "i", "line", R.is_table_caption("line").alias("caption"), R.is_tabular_line("line").alias("tabular"), R.is_heading_line("line").alias("heading"))
+    facts = facts.withColumn("above", F.coalesce(F.count_if(filled).over(before), F.lit(0)))
+    spot = F.struct("i", "above")
+    closes = ~filled | (F.col("heading") & ~F.col("tabular"))
+    marks = facts.groupBy(*page).agg(F.array_sort(F.collect_list(F.when(F.col("caption"), spot))).alias("opens"), F.array_sort(F.collect_list(F.when(closes, spot))).alias("ends"), (F.max("i") + 1).alias("size"))
+
+    def reach(done, c):
+        end = F.get(F.filter("ends", lambda e: (e["i"] > c["i"]) & (e["above"] >= c["above"] + 3)), F.lit(0))["i"]
+        span = F.struct(c["i"].alias("start"), F.coalesce(end, F.col("size")).alias("end"))
+        return F.when((F.size(done) > 0) & (c["i"] < F.element_at(done, -1)["end"]), done).otherwise(F.concat(done, F.array(span)))
+
+    spans = marks.where(F.size("opens") > 0).select(*page, F.aggregate("opens", F.expr("CAST(array() AS array<struct<start:int,end:int>>)"), reach).alias("spans"))
+    placed = facts.join(spans, page, "left").withColumn("block", F.when(filled, F.get(F.filter("spans", lambda s: (s["start"] <= F.col("i")) & (F.col("i") < s["end"])), F.lit(0))["start"]))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("text")
+    tables = placed.where("block IS NOT NULL").groupBy(*page, "block").agg(text, F.count(F.lit(1)).alias("n")).where("n >= 2").select(*page, F.lit(0).alias("kind"), F.col("block").alias("start"), "text")
+    # Neighbouring lines have the same difference between their place and their number.
+    free = placed.where("block IS NULL AND tabular").withColumn("run", F.col("i") - F.row_number().over(W.partitionBy(*page).orderBy("i")))
+    runs = free.groupBy(*page, "run").agg(text, F.count(F.lit(1)).alias("n"), F.min("i").alias("start")).where("n >= 3").select(*page, F.lit(1).alias("kind"), "start", "text")
+    # Of equal texts of a page the first stays.
+    first = tables.unionByName(runs).groupBy(*page, "text").agg(F.min(F.struct("kind", "start")).alias("place"))
+    return first.select(*page, (F.row_number().over(W.partitionBy(*page).orderBy("place")) - 1).alias("at"), "text")
 
 
 def footnotes(text) -> Column:
@@ -145,14 +134,28 @@ def artifact_counts(chunks: DataFrame) -> DataFrame:
     return counted.groupBy("document_id", "page_no").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("artifact_type", "count")))).alias("counts"))
 
 
+def review_priority() -> Column:
+    """How much a chunk's role is in doubt: what it looks like, its front matter, its evidence, how short and broken it is."""
+    points = lambda test, n: F.when(test, n).otherwise(0.0)
+    body = F.coalesce(F.nullif(F.col("body_score"), F.lit(0.0)), F.lit(0.5))
+    role, matter = F.lower(F.coalesce("chunk_role", F.lit(""))), F.lower(F.coalesce("front_matter_kind", F.lit("")))
+    own = strip("text")
+    return (
+        points(role.isin("heading_stub", "navigation_like", "reference_like", "table_fragment"), 1.2)
+        + points(~matter.isin("", "body"), 1.0)
+        + points((body >= 0.15) & (body <= 0.85), 0.5)
+        + points(F.length(own) <= 220, 0.3)
+        + points((F.size(raw_lines(own)) >= 3) & (body <= 0.65), 0.2)
+    )
+
+
 def review_candidates(chunks: DataFrame, top: int = 12) -> DataFrame:
-    """Per document the chunks whose role a model should review first: short, low in evidence, or next to headings."""
-    doubt = 1.0 - F.abs(F.col("body_score") - 0.5) * 2
-    priority = doubt + F.when(F.col("heading_only"), 0.35).otherwise(0.0) + 0.25 * F.col("front_matter_score")
-    order = W.partitionBy("document_id").orderBy(F.desc("priority"), "chunk_index")
+    """Per document the chunks whose role a model should review first, with the text around them. Chunks without doubt stay out."""
     near = W.partitionBy("document_id").orderBy("chunk_index")
-    rows = chunks.withColumn("previous_text", F.right(F.lag("text").over(near), F.lit(180))).withColumn("next_text", F.left(F.lead("text").over(near), F.lit(180)))
-    return rows.withColumn("priority", priority).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    flat = lambda c: F.replace(F.left(c, F.lit(180)), F.lit("\n"), F.lit(" "))
+    rows = chunks.withColumn("previous_text", F.coalesce(flat(F.lag("text").over(near)), F.lit(""))).withColumn("next_text", F.coalesce(flat(F.lead("text").over(near)), F.lit("")))
+    order = W.partitionBy("document_id").orderBy(F.desc("priority"), "chunk_index")
+    return rows.withColumn("priority", F.round(review_priority(), 6)).where("priority > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
 def annotate(rows: DataFrame, annotations: DataFrame, key: str) -> DataFrame:

@@ -113,3 +113,75 @@ def scope_compliance(rows: DataFrame) -> DataFrame:
 def status_rates(rows: DataFrame, status: str, by: tuple[str, ...] = ()) -> DataFrame:
     of = lambda s: F.avg((F.col(status) == s).cast("double")).alias(s)
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), of("strong"), of("weak"), of("unsupported"))
+
+
+def plan_matches(hit, spread, mode, route, pages) -> Column:
+    """Did a plan's route suit what the question asked for, given that it found the page? pages: how many different ones it returned."""
+    fits = (
+        F.when(F.col(spread) == "atomic", F.col(route) == "chunk_first")
+        .when(F.col(spread) == "sectional", F.col(route).isin("synopsis_first", "section_first") & (F.col(pages) <= 3))
+        .when(F.col(spread) == "distributed", (F.col(mode) == "soft_multi_region") & F.col(route).isin("synopsis_first", "hybrid_both"))
+        .when(F.col(spread) == "global", F.col(route).isin("synopsis_first", "hybrid_both"))
+        .otherwise(True)
+    )
+    return F.col(hit).cast("boolean") & fits
+
+
+def retrieval_outcomes(results: DataFrame, labels: DataFrame, plans: DataFrame) -> DataFrame:
+    """One row for each label: hit, reciprocal_rank, section_hit, region_hit, plan_hit, and the share of expected pages found.
+
+    results: question_id, rank, page_label, section_id, region_kind; labels: question_id,
+    expected_pages; plans: question_id, spread, mode, route_used, kinds, fallback_used.
+    """
+    rows = labels.join(results, "question_id", "left").join(plans, "question_id", "left")
+    on_page = F.coalesce(F.array_contains("expected_pages", F.coalesce("page_label", F.lit("Document"))) & F.col("rank").isNotNull(), F.lit(False))
+    kind = F.coalesce("region_kind", F.lit(""))
+    region = F.when(F.size("kinds") > 0, F.array_contains("kinds", kind)).otherwise(kind != "")
+    out = rows.groupBy("question_id", "spread", "mode", "route_used", "fallback_used", "expected_pages").agg(
+        F.min(F.when(on_page, F.col("rank"))).alias("_first"),
+        F.bool_or(on_page & (F.coalesce("section_id", F.lit("")) != "")).alias("section_hit"),
+        F.bool_or(on_page & F.coalesce(region, F.lit(False))).alias("region_hit"),
+        F.collect_set("page_label").alias("_pages"),
+    )
+    out = out.withColumn("hit", F.col("_first").isNotNull()).withColumn("reciprocal_rank", F.coalesce(1.0 / F.col("_first"), F.lit(0.0))).withColumn("pages", F.size("_pages"))
+    share = F.size(F.array_intersect("_pages", "expected_pages")) / F.greatest(F.size("expected_pages"), F.lit(1))
+    return out.withColumn("plan_hit", plan_matches("hit", "spread", "mode", "route_used", "pages")).withColumn("pages_found", share).drop("_first", "_pages", "expected_pages")
+
+
+def retrieval_summary(outcomes: DataFrame) -> DataFrame:
+    """Rates over all questions, and over those that used the fallback or were distributed."""
+    rate = lambda c: F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)).alias(c + "_rate")
+    return outcomes.agg(
+        F.count(F.lit(1)).alias("questions"), rate("hit"), F.coalesce(F.avg("reciprocal_rank"), F.lit(0.0)).alias("mean_reciprocal_rank"), rate("section_hit"), rate("region_hit"), rate("plan_hit"),
+        F.coalesce(F.avg(F.when(F.col("fallback_used"), F.col("hit").cast("double"))), F.lit(0.0)).alias("fallback_recovery_rate"),
+        F.coalesce(F.avg(F.when(F.col("spread") == "distributed", F.col("pages_found"))), F.lit(0.0)).alias("multi_region_recall"),
+    )
+
+
+def category_counts(rows: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """counts: how often each value of a column occurs, as a map."""
+    per = rows.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("_v")).count()
+    return per.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_v", "count")))).alias("counts"))
+
+
+def scope_summary(rows: DataFrame) -> DataFrame:
+    """rows: page_hit, scope_hit, compliant, precision, mode, fallback_used. Rates over all of them."""
+    rate = lambda c, name: F.coalesce(F.avg(c.cast("double")), F.lit(0.0)).alias(name)
+    return rows.agg(
+        F.count(F.lit(1)).alias("questions"), rate(F.col("page_hit"), "page_hit_rate"), rate(F.col("scope_hit"), "scope_hit_rate"), rate(F.col("compliant"), "compliance_rate"), rate(F.col("precision"), "precision_mean"),
+        rate(F.col("mode") == "hard_region", "hard_scope_rate"), rate(F.col("fallback_used"), "fallback_rate"),
+    )
+
+
+def trigger_summary(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """rows: triggered, weak_trigger, spread_trigger, gap_trigger. How often each fires, and how often any does."""
+    count = lambda c: F.count_if(F.col(c)).alias(c.removesuffix("_trigger") + ("_triggered" if c != "triggered" else ""))
+    return rows.groupBy(*by).agg(count("triggered"), F.coalesce(F.avg(F.col("triggered").cast("double")), F.lit(0.0)).alias("trigger_rate"), *[count(c) for c in ("weak_trigger", "spread_trigger", "gap_trigger")])
+
+
+def margins(reports: DataFrame, system: str, local: str, metrics: list[str]) -> DataFrame:
+    """Each other system with the local one's lead in each metric: the difference of the means over all reports, null where one has none."""
+    means = reports.groupBy(system).agg(*[F.avg(m).alias(m) for m in metrics])
+    own = means.where(F.col(system) == local).select(*[F.col(m).alias("_" + m) for m in metrics])
+    # One row meets a row for each system.
+    return means.where(F.col(system) != local).join(own).select(system, *[(F.col("_" + m) - F.col(m)).alias(m) for m in metrics])

@@ -126,14 +126,16 @@ def section_seeds(plans: DataFrame, chunks: DataFrame, limit: int = 3) -> DataFr
     return search.score_chunks(plans.select("question_id", "question"), fused, chunks.drop("document_id"), scope)
 
 
-def route_all(questions: DataFrame, chunks: DataFrame, synopses: DataFrame, edges: DataFrame, dense: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def route_all(questions: DataFrame, chunks: DataFrame, synopses: DataFrame, edges: DataFrame, dense: DataFrame | None = None, plans: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Plans (with the route used), final candidates and grades of all questions.
 
     Direct search looks into the targets, or everywhere for the hybrid route;
     the synopsis routes look into chosen sections, add the best chunks from
     outside where the plan allows, and, for summaries, a chunk of each anchor.
+    The section route, which only a model names, looks into the best sections and
+    nowhere else. plans: those of plan() as planning.merged_plans() changes them.
     """
-    plans = plan(questions, synopses)
+    plans = plan(questions, synopses) if plans is None else written(plans, "merged")
     guided = plans.where("route != 'chunk_first'")
     ranked = ranked_synopses(guided, synopses)
     chosen = anchors(guided, ranked, synopses).unionByName(scoped_sections(guided, ranked, edges))
@@ -143,7 +145,7 @@ def route_all(questions: DataFrame, chunks: DataFrame, synopses: DataFrame, edge
     direct = chunk_candidates(plans.where("route = 'chunk_first'"), chunks, "targets", dense=dense).select(*keep)
     hybrid = chunk_candidates(plans.where("route = 'hybrid_both'"), chunks, "everywhere", dense=dense).select(*keep)
     local = chunk_candidates(plans.where("route != 'chunk_first'"), chunks, "chosen", dense=dense).select(*keep)
-    outside = chunk_candidates(plans.where("route != 'chunk_first' AND fallback"), chunks, "everywhere", k=max(FALLBACK_TOP_K + 2, 3), dense=dense)
+    outside = chunk_candidates(plans.where("route NOT IN ('chunk_first', 'section_first') AND fallback"), chunks, "everywhere", k=max(FALLBACK_TOP_K + 2, 3), dense=dense)
     outside = outside.join(plans.select("question_id", F.explode("chosen").alias("section_id")), ["question_id", "section_id"], "left_anti").select(*keep)
     outside = search.top(outside, "question_id", FALLBACK_TOP_K, F.desc("score"), "record_id").select(*keep)
     seeds = section_seeds(plans, chunks).select(*keep)

@@ -64,8 +64,9 @@ def lexical_search(questions: DataFrame, records: DataFrame, k: int, scope: tupl
     the question adds one to n, and to df of its own terms.
     """
     scope = list(scope)
-    counts = term_counts(records, [*scope, "record_id"], "text")
-    df = counts.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
+    # Texts are read once; frequencies, norms and hits come from the counted terms.
+    counts = written(term_counts(records, [*scope, "record_id"], "text"), "terms")
+    df = written(counts.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
     n = records.groupBy(*scope).agg(F.count(F.lit(1)).alias("n")) if scope else records.agg(F.count(F.lit(1)).alias("n"))
     weighted = counts.join(df, [*scope, "term"])
     weighted = weighted.join(n, scope) if scope else weighted.crossJoin(F.broadcast(n))
@@ -74,6 +75,7 @@ def lexical_search(questions: DataFrame, records: DataFrame, k: int, scope: tupl
     other = F.col("tf") * idf(0)
     norms = weighted.groupBy(*scope, "record_id").agg(F.sum(other * other).alias("norm2"))
     asked = term_counts(questions, ["question_id", *scope], "question").withColumnRenamed("tf", "qtf")
+    asked = written(asked, "asked")
     hits = asked.join(weighted, [*scope, "term"])
     mine = F.col("tf") * idf(1)
     dots = hits.groupBy("question_id", *scope, "record_id").agg(F.sum(F.col("qtf") * idf(1) * mine).alias("dot"), F.sum(mine * mine - other * other).alias("extra"))

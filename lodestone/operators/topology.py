@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import constants as C
 from ..functions import rules as R
-from ..functions.text import col, distinct_by_case, first_distinct, jaccard, key_tokens, keyword_overlap, let, page_number, sentences, shared
+from ..functions.text import col, contains_any, distinct_by_case, first_distinct, key_tokens, keyword_overlap, let, page_number, question_terms, sentences, shared
 
 
 def key_terms(rows: DataFrame, key: list[str], text: Column, top: int = 8) -> DataFrame:
@@ -32,6 +32,10 @@ def representative_sentences(summary, text, title, kind) -> Column:
     return let(unique, chosen)
 
 
+#: What synopses keep of their sections, if these have it.
+KEPT = ("aliases", "scope_labels", "section_role", "chapter_number", "chapter_title", "content_type")
+
+
 def build_synopses(sections: DataFrame) -> DataFrame:
     """sections as build_sections and profile_sections make them. One synopsis each."""
     key = ["document_id", "section_id"]
@@ -51,7 +55,7 @@ def build_synopses(sections: DataFrame) -> DataFrame:
         F.array_join(representative_sentences("summary", "text", "title", "region_kind"), " "),
     )
     low = F.col("low_value") | R.is_low_value_text(F.concat_ws(" ", "title", "summary", F.left("text", F.lit(400))))
-    return rows.select(*key, "ordinal", "title", F.trim(synopsis).alias("synopsis"), "region_kind", "page_labels", "key_terms", "section_path", "section_kind", "front_matter_kind", "front_matter_score", low.alias("low_value"))
+    return rows.select(*key, "ordinal", "title", F.trim(synopsis).alias("synopsis"), "region_kind", "page_labels", "key_terms", "section_path", "section_kind", "front_matter_kind", "front_matter_score", low.alias("low_value"), *[c for c in KEPT if c in rows.columns])
 
 
 def build_edges(synopses: DataFrame, least: float = 0.2, top: int = 2) -> DataFrame:
@@ -102,7 +106,6 @@ def region_score(question, synopses_title, synopsis, kind, kinds, first_page, la
     early = F.arrays_overlap(q, F.array(*[F.lit(x) for x in C.EARLY_REGION_TERMS]))
     late = F.arrays_overlap(q, F.array(*[F.lit(x) for x in C.LATE_REGION_TERMS]))
     kind, at = col(kind), F.when(col(last_page) > 0, col(first_page) / col(last_page))
-    points = lambda test, n: F.when(test, n).otherwise(0.0)
     low_terms = F.transform(F.filter(col(explicit), lambda t: F.trim(t) != ""), F.lower)
     named = F.exists(low_terms, lambda t: F.contains(title, t) | F.contains(text, t) | F.exists(col(path), lambda p: F.contains(F.lower(p), t)))
     return (
@@ -135,17 +138,96 @@ def rank_synopses(questions: DataFrame, synopses: DataFrame, scores: DataFrame,
     named = named.groupBy("question_id", "section_id").agg(F.max("dense").alias("dense"), F.max("lexical").alias("lexical"), F.bool_or("_t").alias("_t"))
     rows = named.join(questions, "question_id").join(synopses, ["document_id", "section_id"])
     overlap = keyword_overlap("question", F.concat_ws(" ", "title", "synopsis", F.array_join("key_terms", " "), F.array_join("section_path", " ")))
-    points = lambda test, n: F.when(test, n).otherwise(0.0)
-    score = F.col("dense") + F.col("lexical") + 0.22 * overlap + points(F.array_contains("kinds", F.col("region_kind")), 0.22) + points(F.col("_t"), 0.35) - points(F.col("low_value"), 0.35) - points(F.col("region_kind") == "appendix", 0.25)
+    score = F.col("dense") + F.col("lexical") + 0.22 * overlap + points(F.array_contains("kinds", F.col("region_kind")), 0.22) + points(F.col("_t"), 0.35) + role_boost("question") - points(F.col("low_value"), 0.35) - points(F.col("region_kind") == "appendix", 0.25)
     order = W.partitionBy("question_id").orderBy(F.desc("score"), "ordinal")
     return rows.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("question_id", "document_id", "section_id", "score", "rank")
 
 
-def synopsis_quality(text, title) -> Column:
-    """Between 0 and 1: long enough, more than its title, of sentences, without junk."""
-    body = sentences(text)
-    value = 0.35 * F.least(F.lit(1.0), F.length(col(text)) / 240.0) + 0.25 * F.least(F.lit(1.0), F.size(body) / 3.0) + 0.25 * (1 - jaccard(key_tokens(text), key_tokens(title))) + F.when(R.is_low_value_text(text), 0.0).otherwise(0.15)
-    return F.round(value, 6)
+def points(test, n: float) -> Column:
+    return F.when(test, n).otherwise(0.0)
+
+
+def role_boost(question) -> Column:
+    """What a synopsis' title and region are worth for a question that asks about a whole document, its end or its findings."""
+    terms, title = F.array_distinct(question_terms(question)), F.trim(F.lower("title"))
+    asks = lambda words: F.arrays_overlap(terms, F.array(*[F.lit(w) for w in words]))
+    whole, late, found = asks(C.ROLE_OVERVIEW_TERMS), asks(C.ROLE_LATE_TERMS), asks(C.ROLE_RESULT_TERMS)
+    kind = F.col("region_kind")
+    return (
+        points(whole & title.isin(*C.OVERVIEW_TITLES), 0.34)
+        + points(whole & (kind == "overview"), 0.18)
+        + points(whole & F.col("section_kind").isin("abstract", "introduction", "overview"), 0.12)
+        - points(whole & ~found & (kind == "evidence"), 0.18)
+        + points(late & title.isin(*C.LATE_TITLES), 0.24)
+        + points(late & (kind == "discussion"), 0.14)
+        + points(found & title.isin(*C.RESULT_TITLES), 0.28)
+        + points(found & kind.isin("evidence", "discussion"), 0.12)
+    )
+
+
+def policy_signal() -> Column:
+    """Do a section's names speak of what a policy covers, leaves out or asks for?"""
+    names = F.lower(F.concat_ws(" ", "title", F.array_join("section_path", " "), "section_kind", "content_type", "region_kind"))
+    return contains_any(names, C.POLICY_SECTION_TERMS)
+
+
+def synopsis_quality() -> Column:
+    """Between 0 and 1: long enough, with terms, more than its title and summary, of a long section.
+
+    Rows: synopsis, key_terms, title, summary, text, document_style, and what policy_signal() reads.
+    """
+    own, title, summary = F.trim("synopsis"), F.lower(F.trim("title")), F.lower(F.trim("summary"))
+    value = (
+        points(F.length(own) >= 160, 0.4)
+        + points(F.size("key_terms") >= 4, 0.2)
+        + points((title != "") & (F.lower(own) != title), 0.15)
+        + points((summary != "") & ~F.contains(F.lower(own), summary), 0.1)
+        + points(F.length(F.trim("text")) >= 600, 0.15)
+        + points((F.col("document_style") == "policy_document") & policy_signal() & contains_any(F.lower(own), C.POLICY_SECTION_TERMS), 0.1)
+    )
+    return F.round(F.least(value, F.lit(1.0)), 6)
+
+
+def synopsis_priority() -> Column:
+    """How much a synopsis needs a rewrite. Rows also have low_value and structure_repaired."""
+    policy = F.col("document_style") == "policy_document"
+    wanted = F.when(policy, F.col("region_kind").isin(*C.POLICY_REGION_KINDS) | policy_signal()).otherwise(F.col("region_kind").isin(*C.TARGET_REGION_KINDS))
+    value = 1.0 - synopsis_quality() + points(F.col("structure_repaired"), 0.25) + points(F.length("text") >= 1200, 0.15) + points(policy & policy_signal(), 0.15)
+    return F.round(F.when(F.col("low_value") | ~wanted, 0.0).otherwise(value), 6)
+
+
+def review_synopses(rows: DataFrame, top: int = 6, least: float = 0.2) -> DataFrame:
+    """Per document the synopses that a model should rewrite: of the first by priority those that need it."""
+    order = W.partitionBy("document_id").orderBy(F.desc("priority"), "ordinal")
+    ranked = rows.withColumn("priority", synopsis_priority()).withColumn("rank", F.row_number().over(order))
+    return ranked.where((F.col("rank") <= top) & (F.col("priority") > least))
+
+
+def documents_to_review(rows: DataFrame, mode: str = "targeted", threshold: float = 0.62) -> DataFrame:
+    """document_id of the documents whose synopses are worth a look at all. rows: as for synopsis_priority(),
+    with structure_confidence and repair_reasons."""
+    every = rows.select("document_id").distinct()
+    if mode in ("off", "disabled"):
+        return every.limit(0)
+    if mode in ("all", "always"):
+        return every
+    noisy = F.arrays_overlap("repair_reasons", F.array(*[F.lit(r) for r in C.NOISY_STRUCTURE_REASONS]))
+    thin = policy_signal() & (F.length("text") >= 600) & (synopsis_quality() < 0.72)
+    facts = rows.groupBy("document_id").agg(
+        F.first("document_style").alias("style"), F.min(F.coalesce(F.nullif("structure_confidence", F.lit(0.0)), F.lit(1.0))).alias("sure"),
+        F.bool_or("structure_repaired").alias("repaired"), F.bool_or(F.coalesce(noisy, F.lit(False))).alias("noisy"), F.bool_or(thin).alias("thin"),
+    )
+    unsure = F.col("sure") <= threshold
+    return facts.where(F.col("repaired") | (unsure & F.col("noisy")) | ((F.col("style") == "research_paper") & F.col("noisy")) | ((F.col("style") == "policy_document") & (unsure | F.col("thin")))).select("document_id")
+
+
+def rewritten(synopses: DataFrame, given: DataFrame) -> DataFrame:
+    """Synopses and terms that a model wrote take the place of the old ones. given: document_id, section_id, synopsis, key_terms."""
+    terms = F.slice(F.filter(F.transform("key_terms", lambda t: F.trim(t)), lambda t: t != ""), 1, 8)
+    good = given.where("trim(coalesce(section_id, '')) != '' AND trim(coalesce(synopsis, '')) != '' AND key_terms IS NOT NULL")
+    good = good.select("document_id", F.trim("section_id").alias("section_id"), F.left(F.trim("synopsis"), F.lit(1200)).alias("_s"), terms.alias("_k"))
+    out = synopses.join(good, ["document_id", "section_id"], "left").withColumn("written", F.col("_s").isNotNull())
+    return out.withColumn("synopsis", F.coalesce("_s", "synopsis")).withColumn("key_terms", F.coalesce("_k", "key_terms")).drop("_s", "_k")
 
 
 def scope_labels(*items) -> Column:

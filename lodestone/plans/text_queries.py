@@ -53,18 +53,13 @@ def doc_lines(spark, sf_dir):
 
 def line_flags(spark, sf_dir):
     """How many lines of each document are what kind."""
-    rows = documents(spark, sf_dir).select("doc_id", T.lines("text").alias("a"))
-    number = lambda test, name: F.size(F.filter("a", test)).cast("long").alias(name)
-    return rows.select(
-        "doc_id",
-        number(R.is_page_artifact, "n_artifact"),
-        number(R.is_reference_line, "n_reference"),
-        number(R.is_sentence_like, "n_sentence_like"),
-        number(R.is_noise_line, "n_noise"),
-        number(R.is_tabular_line, "n_tabular"),
-        number(R.is_table_caption, "n_caption"),
-        number(R.starts_block, "n_block_start"),
-    )
+    tests = {
+        "n_artifact": R.is_page_artifact, "n_reference": R.is_reference_line, "n_sentence_like": R.is_sentence_like, "n_noise": R.is_noise_line,
+        "n_tabular": R.is_tabular_line, "n_caption": R.is_table_caption, "n_block_start": R.starts_block,
+    }
+    # A document's lines are rows of one task, so that the counts are summed before they move.
+    rows = documents(spark, sf_dir).select("doc_id", F.explode_outer(T.lines("text")).alias("line"))
+    return rows.groupBy("doc_id").agg(*[F.count_if(test("line")).alias(name) for name, test in tests.items()])
 
 
 LINE_FLAGS_SQL = rf"""

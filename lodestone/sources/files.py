@@ -11,7 +11,10 @@ import re
 import zipfile
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..functions.constants import TRANSIENT_ERRORS
+from ..functions.text import contains_any
 
 PAGES = "document_id string, fingerprint string, file_name string, file_type string, page_no int, page_label string, text string, page_count int"
 SUFFIXES = (".pdf", ".docx")
@@ -131,15 +134,112 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def flatten_metadata(df: DataFrame, separator: str = " | ") -> DataFrame:
+def flatten_metadata(df: DataFrame, separator: str = " | ", kept: tuple[str, ...] = ()) -> DataFrame:
     """Scalars stay, arrays of strings are joined, anything else becomes JSON text."""
     out = []
     for f in df.schema:
         kind = f.dataType.simpleString()
-        if kind == "array<string>":
+        if f.name in kept:
+            out.append(F.col(f.name))
+        elif kind == "array<string>":
             out.append(F.array_join(f.name, separator).alias(f.name))
         elif kind.startswith(("array", "map", "struct", "variant")):
             out.append(F.to_json(f.name).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)
+
+
+def delete_artifacts(spark: SparkSession, path: str, names: tuple[str, ...], schema_version: str, fingerprint: str) -> int:
+    """Drop an index' partitions from every table; how many there were."""
+    jvm, gone = spark._jvm, 0
+    for name in names:
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/schema_version={schema_version}/fingerprint={fingerprint}")
+        gone += bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
+    return gone
+
+
+class Records:
+    """A table of records under a path, in numbered versions: a change writes the next one whole, and only a finished one counts."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str):
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+
+    def files(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        at, system = self.files(self.path)
+        if not system.exists(at):
+            return []
+        names = [f.getPath().getName() for f in system.listStatus(at)]
+        return sorted(int(n) for n in names if n.isdigit() and system.exists(self.files(f"{self.path}/{n}/_SUCCESS")[0]))
+
+    def rows(self) -> DataFrame | None:
+        found = self.versions()
+        return self.spark.read.parquet(f"{self.path}/{found[-1]}") if found else None
+
+    def put(self, rows: DataFrame, keep: int = 2) -> None:
+        """Write the next version, and drop all but the last `keep`."""
+        found = self.versions()
+        rows.write.mode("overwrite").parquet(f"{self.path}/{found[-1] + 1 if found else 0}")
+        for n in [*found][: max(0, len(found) + 1 - keep)]:
+            at, system = self.files(f"{self.path}/{n}")
+            system.delete(at, True)
+
+    def save(self, new: DataFrame) -> None:
+        old = self.rows()
+        self.put(new if old is None else upsert(old, new, [self.key]))
+
+    def get(self, value) -> DataFrame | None:
+        rows = self.rows()
+        return None if rows is None else rows.where(F.col(self.key) == F.lit(value))
+
+    def delete(self, gone: DataFrame) -> None:
+        """Drop the records whose key is among those of gone."""
+        old = self.rows()
+        if old is not None:
+            self.put(old.join(gone.select(self.key), self.key, "left_anti"))
+
+
+def store(spark: SparkSession, path: str, kind: str) -> Records:
+    """The records of a kind: documents by document_id, indexes by fingerprint, answers by cache_key, traces by trace_id."""
+    keys = {"documents": "document_id", "indexes": "fingerprint", "answers": "cache_key", "traces": "trace_id"}
+    if kind not in keys:
+        raise ValueError(f"unknown kind of records: {kind}")
+    return Records(spark, f"{path.rstrip('/')}/{kind}", keys[kind])
+
+
+def write_vectors(rows: DataFrame, path: str) -> None:
+    """Vectors of an index: collection (chunks, sections, synopses), fingerprint, record_id, embedding and flat metadata.
+
+    Partitioned by collection and fingerprint; writing an index again replaces its partitions.
+    """
+    flatten_metadata(rows, kept=("embedding",)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection", "fingerprint").parquet(path)
+
+
+def save_report(rows: DataFrame, path: str, prefix: str, stamp: str) -> str:
+    """A report as one JSON file in a folder named by prefix and time; its path."""
+    at = f"{path.rstrip('/')}/{prefix}_{stamp}.json"
+    rows.coalesce(1).write.mode("overwrite").json(at)
+    return at
+
+
+def latest_report(spark: SparkSession, path: str, prefix: str) -> DataFrame | None:
+    """The newest report of that prefix by the time its file was written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{prefix}_*.json")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    best = max(found, key=lambda f: (f.getModificationTime(), f.getPath().getName()), default=None)
+    return None if best is None else spark.read.json(best.getPath().toString())
+
+
+def safe_documents(documents: DataFrame, metadata: str = "metadata") -> DataFrame:
+    """What users see of documents: of the JSON metadata four fields only."""
+    safe = F.struct(*[F.get_json_object(metadata, f"$.{k}").alias(k) for k in ("document_style", "section_heading", "section_kind", "content_type")])
+    return documents.select("document_id", "file_name", "file_type", "source_path", "fingerprint", "char_count", "page_count", safe.alias("metadata"))
+
+
+def is_transient(message) -> Column:
+    """Does an error's message speak of something that another attempt may cure?"""
+    return contains_any(F.lower(message), TRANSIENT_ERRORS)

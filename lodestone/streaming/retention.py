@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.files import store
+
 
 def session_stream(events: DataFrame, user: str = "user_id", at: str = "ts", hours: int = 24, late: str = "1 hour") -> DataFrame:
     """Closed sessions of a stream of events. The gap is a microsecond short of `hours`: a touch at the instant of expiry starts a new session."""
@@ -23,16 +25,18 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def trace_sweeper(stream: DataFrame, traces_path: str, checkpoint: str):
-    """For each batch of ticks (now) the traces that have expired are written out of the table, copy on write."""
+def trace_sweeper(stream: DataFrame, path: str, checkpoint: str):
+    """For each batch of ticks (now) the expired traces go from the records under path.
+
+    Each sweep writes the next version of the table; a crash on the way leaves the
+    last one, and a batch that is played again finds nothing new.
+    """
 
     def sweep(batch: DataFrame, number: int) -> None:
         now = batch.agg(F.max("now")).first()[0]
-        if now is None:
-            return
-        spark = batch.sparkSession
-        live = spark.read.parquet(f"{traces_path}/current").where(F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now)))
-        live.write.mode("overwrite").parquet(f"{traces_path}/next")
-        spark.read.parquet(f"{traces_path}/next").write.mode("overwrite").parquet(f"{traces_path}/current")
+        records = store(batch.sparkSession, path, "traces")
+        rows = records.rows()
+        if now is not None and rows is not None:
+            records.put(rows.where(F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now))))
 
     return stream.writeStream.foreachBatch(sweep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -82,3 +82,53 @@ def test_empty_tables(spark):
     empty = frame(spark, [])
     for make in (suffix_dedup, ngram_join, lm_score, exact_dedup):
         assert make(empty).collect() == []
+
+
+def test_ngram_join_of_templates(spark):
+    """Sets that share a template below the threshold, with groups above it among them: long lists without pairs."""
+    rng = np.random.default_rng(9)
+    template = [f"t{i}" for i in range(60)]
+    rows = []
+    for k in range(120):
+        own = [f"o{k}x{i}" for i in range(int(rng.integers(0, 22)))]
+        rows.append((k + 1, " ".join([*template, *own])))
+        if k % 10 == 0:
+            rows.append((k + 1000, " ".join([*template, *own, "last"])))
+    got = ngram_join(frame(spark, rows), 4, 85).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute.joined(rows, 4, 85)
+
+
+def test_rest_pairs_in_blocks(spark):
+    """Blocks of a list give the pairs that the whole list gives."""
+    from pyspark.sql import functions as F
+
+    from lodestone.llm.ngram_join import rest_pairs
+
+    rng = np.random.default_rng(10)
+    rows = []
+    for k in range(60):
+        members = sorted(int(x) for x in rng.choice(40, 20, replace=False))
+        prefix = members[:5]
+        rows.append((k, members, prefix, list(range(len(prefix))), list(reversed(members))[:5], [-1] * 64))
+    sets = spark.createDataFrame(rows, "key long, members array<long>, p0 array<long>, i0 array<int>, p1 array<long>, sign array<long>").withColumn("n_shingles", F.size("members"))
+    post = sets.select("key", F.col("n_shingles").alias("_n"), F.explode(F.arrays_zip("p0", "i0")).alias("x")).select("key", "_n", F.col("x.p0").alias("t"), F.col("x.i0").alias("_i"))
+    labels = sets.select("key", F.col("key").alias("g"))
+    found = [Counter(tuple(sorted((r.a, r.b))) for r in rest_pairs(post, labels, sets, 60, 2, block).collect()) for block in (1024, 4)]
+    assert found[0] == found[1] and found[0] and max(found[0].values()) == 1
+
+
+def test_components_settle(spark):
+    """Chains, stars and cliques in any order."""
+    from lodestone.llm.components import components
+
+    rng = np.random.default_rng(11)
+    links = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(2000 + i, 2000 + j) for i in range(12) for j in range(i)] + [(3000 + i, 3000 + (i * 7) % 101) for i in range(101)]
+    order = rng.permutation(len(links))
+    got = {r.node: r.component for r in components(spark.createDataFrame([links[i] for i in order], "a long, b long").repartition(7)).collect()}
+    nodes = sorted({x for p in links for x in p})
+    at = {x: i for i, x in enumerate(nodes)}
+    root = brute.reach(len(nodes), [(at[a], at[b]) for a, b in links])
+    least = {}
+    for x in nodes:
+        least.setdefault(root[at[x]], x)
+    assert got == {x: least[root[at[x]]] for x in nodes if least[root[at[x]]] != x}

@@ -208,11 +208,12 @@ def test_session_stream(spark, tmp_path):
 
 def test_trace_sweeper(spark, tmp_path):
     traces = spark.createDataFrame([(1, at(1)), (2, at(50)), (3, None)], "trace_id int, expires_at timestamp")
-    traces.write.parquet(str(tmp_path / "traces/current"))
+    records = files.store(spark, str(tmp_path), "traces")
+    records.save(traces)
     spark.createDataFrame([(at(1),)], "now timestamp").write.parquet(str(tmp_path / "ticks"))
     ticks = spark.readStream.schema("now timestamp").parquet(str(tmp_path / "ticks"))
-    streaming.trace_sweeper(ticks, str(tmp_path / "traces"), str(tmp_path / "check")).awaitTermination(120)
-    assert {r.trace_id for r in spark.read.parquet(str(tmp_path / "traces/current")).collect()} == {2, 3}
+    streaming.trace_sweeper(ticks, str(tmp_path), str(tmp_path / "check")).awaitTermination(120)
+    assert {r.trace_id for r in records.rows().collect()} == {2, 3} and records.versions() == [0, 1]
 
 
 def docx(paragraphs):
