@@ -75,7 +75,6 @@ def lexical_search(questions: DataFrame, records: DataFrame, k: int, scope: tupl
     other = F.col("tf") * idf(0)
     norms = weighted.groupBy(*scope, "record_id").agg(F.sum(other * other).alias("norm2"))
     asked = term_counts(questions, ["question_id", *scope], "question").withColumnRenamed("tf", "qtf")
-    asked = written(asked, "asked")
     hits = asked.join(weighted, [*scope, "term"])
     mine = F.col("tf") * idf(1)
     dots = hits.groupBy("question_id", *scope, "record_id").agg(F.sum(F.col("qtf") * idf(1) * mine).alias("dot"), F.sum(mine * mine - other * other).alias("extra"))
