@@ -378,3 +378,18 @@ def test_toxicity_keeps_rare_evidence_of_many_rows(spark):
     # Every word counts for the letters, also one of a single row.
     once = next(text for i, text, _ in rows if zlib.crc32(str(i).encode()) % 5).split()[0]
     assert all(f"^^{once}$"[i : i + 3] in model["trigrams"] for i in range(len(once)))
+
+
+def test_empty_tables_and_clashing_names(spark):
+    kinds = "doc_id long, text string, source string"
+    empty = spark.createDataFrame([], kinds + ", ids int, _id string")
+    assert bpe.encode(empty, RANKS, decoded=True).collect() == [] and pii.find_pii(empty).collect() == []
+    assert embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, row int, links string")).collect() == []
+    clash = spark.createDataFrame([(1, "a b", "s", 5, "x", 6), (None, None, None, 5, "x", 6)], kinds + ", ids int, key string, found int")
+    assert {(r.doc_id, bytes(r.decoded)) for r in bpe.encode(clash, RANKS, decoded=True).collect()} == {(1, b"a b"), (None, b"")}
+    assert pii.digest_columns(pii.find_pii(clash)).count() == 2 and mix_sources(clash).count() == 2
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], 5, "x", 9), (2, [1.0, 0.1], 5, "x", 9)], "vec_id long, embedding array<float>, row int, links string, dim int")
+    assert {(r.vec_id, r.n_links, r.component_id) for r in embedding_dedup(vectors).collect()} == {(1, 1, 1), (2, 1, 1)}
+    turns = spark.createDataFrame([(1, 0, "user", "hi", 3, "n"), (1, 1, "assistant", "ho", 3, "n")], "conv_id long, turn long, role string, text string, place int, node string")
+    nodes, membership = chat_tree.prefix_tree(turns, RANKS)
+    assert [(r.conv_id, r.loss_text) for r in chat_tree.read_back(nodes, membership, RANKS).collect()] == [(1, "ho")]
