@@ -158,15 +158,15 @@ SELECT count(*) AS questions, round(avg((o_orderkey % 2 = 0)::INT), 9) AS page_h
 
 
 def vendor_margins(spark, sf_dir):
-    """Ship modes as systems: how far air leads in each metric."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_shipmode").alias("system"), F.col("l_discount").cast("double").alias("discount"), F.when(F.col("l_shipmode") != "MAIL", F.col("l_tax").cast("double")).alias("tax"))
-    out = evaluate.margins(rows, "system", "AIR", ["discount", "tax"])
+    """Return flags as systems: how far A leads in each metric; R has no taxes."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("system"), F.col("l_discount").cast("double").alias("discount"), F.when(F.col("l_returnflag") != "R", F.col("l_tax").cast("double")).alias("tax"))
+    out = evaluate.margins(rows, "system", "A", ["discount", "tax"])
     return out.select("system", F.round("discount", 9).alias("discount"), F.round("tax", 9).alias("tax"))
 
 
 MARGINS_SQL = """
-WITH m AS (SELECT l_shipmode AS system, avg(l_discount::DOUBLE) AS d, avg(CASE WHEN l_shipmode <> 'MAIL' THEN l_tax::DOUBLE END) AS t FROM lineitem GROUP BY 1)
-SELECT m.system, round(a.d - m.d, 9) AS discount, round(a.t - m.t, 9) AS tax FROM m, m a WHERE a.system = 'AIR' AND m.system <> 'AIR'
+WITH m AS (SELECT l_returnflag AS system, avg(l_discount::DOUBLE) AS d, avg(CASE WHEN l_returnflag <> 'R' THEN l_tax::DOUBLE END) AS t FROM lineitem GROUP BY 1)
+SELECT m.system, round(a.d - m.d, 9) AS discount, round(a.t - m.t, 9) AS tax FROM m, m a WHERE a.system = 'A' AND m.system <> 'A'
 """
 
 SECTION_KINDS = ("overview", "methods", "general", "results", "Discussion", "appendix", "limitations")
