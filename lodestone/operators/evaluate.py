@@ -81,6 +81,12 @@ def changes(before: DataFrame, after: DataFrame, keys: list[str], metric: str) -
     return rows.agg(F.count_if(delta > 0).alias("improved"), F.count_if(delta < 0).alias("worsened"), F.count_if(delta == 0).alias("unchanged"), F.avg(delta).alias("mean_delta"))
 
 
+def changed_questions(before: DataFrame, after: DataFrame, keys: list[str], metric: str) -> DataFrame:
+    """The questions whose metric differs, by how much, the worst first; equal changes by key."""
+    rows = before.select(*keys, F.col(metric).alias("before")).join(after.select(*keys, F.col(metric).alias("after")), keys).withColumn("delta", F.col("after") - F.col("before"))
+    return rows.where("delta != 0").orderBy("delta", *keys)
+
+
 def parameter_grid(spark: SparkSession, **values) -> DataFrame:
     """All combinations of the values, numbered."""
     names = list(values)

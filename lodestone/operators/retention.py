@@ -37,6 +37,18 @@ def visible(documents: DataFrame, owner: Column, now: Column) -> DataFrame:
     return documents.where((F.col("owner") == owner) & ~expired("expires_at", now))
 
 
+def access(requests: DataFrame, documents: DataFrame, now: Column) -> DataFrame:
+    """What a request for a document (document_id, user) gets: 200, 410 for one's own expired workspace, 404 for unknown and foreign ones alike."""
+    rows = requests.join(documents.select("document_id", "owner", "expires_at"), "document_id", "left")
+    own = F.coalesce(F.col("owner") == F.col("user"), F.lit(False))
+    return rows.select("document_id", "user", F.when(~own, 404).when(expired("expires_at", now), 410).otherwise(200).alias("status"))
+
+
+def with_visible_parent(rows: DataFrame, documents: DataFrame, owner: Column, now: Column) -> DataFrame:
+    """Rows of a child table for which a visible document exists."""
+    return rows.join(visible(documents, owner, now).select("document_id"), "document_id", "left_semi")
+
+
 def sweep(documents: DataFrame, indexes: DataFrame, uploads: DataFrame, caches: DataFrame, traces: DataFrame, now: Column) -> dict[str, DataFrame]:
     """What a sweep deletes: expired documents, and whatever no live document or index refers to. Running it again finds nothing new."""
     gone = documents.where(expired("expires_at", now))

@@ -8,7 +8,7 @@ from ..functions import constants as C
 from ..functions import questions as Q
 from ..functions import text as T
 from ..operators import answers, search
-from .text_queries import DOCS, any_of, documents, quoted, table
+from .text_queries import DOCS, SQUASH, any_of, documents, quoted, table
 
 
 def questions_of(spark, sf_dir) -> DataFrame:
@@ -224,6 +224,32 @@ SELECT question_id, doc_id, round(CASE WHEN len(q) > 0 THEN len(list_intersect(q
 """
 
 
+ASKING = "what|which|how|why|when|where|tell|summarize|explain|describe"
+INSIDE = rf"(?i)\bin the\s+([A-Za-z][A-Za-z0-9 ._-]*?)\s+(?:{ASKING}|is|are|was|were|does|do|did)\b"
+MARKS_SQL = Q.MARKS.replace("'", "''")
+
+
+def shares(column: str, words) -> str:
+    return f"len(list_intersect({column}, [{quoted(words)}])) > 0"
+
+
+QUERY_PLANS_SQL = rf"""
+WITH {PROFILE_CTES},
+e AS (SELECT *, list_concat(regexp_extract_all(question, '"([^"]+)"', 1), list_concat(regexp_extract_all(question, '(?i)(?:section|chapter)\s+([A-Za-z][A-Za-z0-9 ._-]*)', 1), regexp_extract_all(question, '{INSIDE}', 1))) AS raw,
+  {term_set('question', 3, f" AND x NOT IN ({quoted(C.GENERIC_QUERY_TERMS)})")} AS g FROM p),
+t AS (SELECT *, list_filter(list_transform(raw, lambda x: trim(string_split_regex(trim({SQUASH.format('x')}, '{MARKS_SQL}'), '(?i)\b(?:{ASKING})\b')[1], '{MARKS_SQL}')), lambda x: x <> '') AS named, {folded('g')} AS s FROM e),
+m AS (SELECT *, CASE WHEN page OR clause OR len(named) > 0 THEN 'hard_region' WHEN evidence_spread = 'sectional' THEN 'soft_local' WHEN evidence_spread IN ('distributed', 'global') THEN 'soft_multi_region' ELSE 'none' END AS mode FROM t)
+SELECT question_id, mode AS constraint_mode, CASE WHEN mode = 'hard_region' OR evidence_spread = 'atomic' THEN 'chunk_first' WHEN intent_type = 'procedure' AND detail THEN 'hybrid_both' ELSE 'synopsis_first' END AS preferred_route,
+  CASE WHEN explicit THEN '' WHEN adef THEN 'definitions,general' WHEN intent_type = 'procedure' THEN 'procedure,evidence,general' WHEN intent_type = 'numeric' THEN 'evidence,discussion,general' WHEN intent_type = 'comparison' THEN 'evidence,discussion,overview'
+    WHEN intent_type = 'summary' THEN 'overview,discussion,evidence' WHEN intent_type = 'cross_cutting' THEN 'rules,discussion,evidence,general' ELSE 'general,rules,definitions' END AS target_regions,
+  round(greatest(CASE WHEN mode = 'hard_region' THEN 0.92 WHEN evidence_spread = 'atomic' THEN 0.86 WHEN evidence_spread = 'global' THEN 0.78 WHEN evidence_spread = 'sectional' THEN 0.74 ELSE 0.66 END::DOUBLE
+    - 0.08::DOUBLE * (mode IN ('soft_local', 'soft_multi_region'))::INT - 0.08::DOUBLE * (len(named) > 0)::INT, 0), 6) AS confidence,
+  CASE WHEN explicit AND {cue(Q.CHUNK_HINTS)} OR evidence_spread = 'atomic' THEN 'chunk_first' WHEN evidence_spread IN ('global', 'sectional') THEN 'synopsis_first' ELSE 'hybrid_both' END AS route,
+  CASE WHEN explicit AND {cue(Q.CHUNK_HINTS)} THEN 0.9 WHEN evidence_spread IN ('atomic', 'global') THEN 0.84 WHEN evidence_spread = 'sectional' THEN CASE WHEN {cue(Q.SYNOPSIS_HINTS)} THEN 0.78 ELSE 0.7 END WHEN evidence_spread = 'distributed' THEN 0.62 ELSE 0.55 END::DOUBLE AS route_confidence,
+  CASE WHEN {shares('s', C.FINDINGS_SUMMARY_TERMS)} THEN 'findings' WHEN {shares('s', C.LATE_SUMMARY_TERMS)} THEN 'late' WHEN {shares('s', C.EARLY_SUMMARY_TERMS)} THEN 'overview' ELSE 'balanced' END AS focus FROM m
+"""
+
+
 def evidence_status(spark, sf_dir):
     """The grade of every passage's evidence: search over all documents, scored, finalised."""
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
@@ -262,4 +288,5 @@ ORACLE_SQL = {
     "score_shapes": SCORE_SHAPES_SQL,
     "query_profiles": f"WITH {PROFILE_CTES} SELECT question_id, query_type, intent_type, evidence_spread, content_types, explicit FROM p",
     "overlaps": OVERLAPS_SQL,
+    "query_plans": QUERY_PLANS_SQL,
 }

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import answers, evaluate, planning, routes, suites, topology
+from lodestone.operators import answers, evaluate, planning, retention, routes, suites, topology
 from lodestone.sources import files
 
 SYNOPSES = "document_id string, section_id string, ordinal int, title string, synopsis string, region_kind string, page_labels array<string>, key_terms array<string>, section_path array<string>, section_kind string, front_matter_kind string, front_matter_score double, low_value boolean, chapter_number string, chapter_title string, section_role string"
@@ -190,3 +190,14 @@ def test_triggers_look_at_scope_and_gap(spark):
     got = {r.question_id: r for r in answers.selection_triggers(final, questions, grades).collect()}
     assert got[1].triggered and got[1].gap_trigger and got[1].weak_trigger and not got[2].triggered and not got[2].weak_trigger
     assert evaluate.trigger_summary(answers.selection_triggers(final, questions, grades)).first().triggered == 1
+
+
+def test_changed_questions_and_access(spark):
+    one, two = spark.createDataFrame([("a", 1.0), ("b", 0.5), ("c", 0.2)], "q string, m double"), spark.createDataFrame([("a", 0.5), ("b", 0.75), ("c", 0.2)], "q string, m double")
+    assert [(r.q, r.delta) for r in evaluate.changed_questions(one, two, ["q"], "m").collect()] == [("a", -0.5), ("b", 0.25)]
+    day = datetime.datetime(2026, 1, 2)
+    documents = spark.createDataFrame([("x", "u", datetime.datetime(2026, 1, 3)), ("y", "u", datetime.datetime(2026, 1, 1)), ("z", "v", None)], "document_id string, owner string, expires_at timestamp")
+    asked = spark.createDataFrame([("x", "u"), ("y", "u"), ("z", "u"), ("none", "u"), ("z", "v"), ("y", "v")], "document_id string, user string")
+    now = F.lit(day).cast("timestamp")
+    assert {(r.document_id, r.user): r.status for r in retention.access(asked, documents, now).collect()} == {("x", "u"): 200, ("y", "u"): 410, ("z", "u"): 404, ("none", "u"): 404, ("z", "v"): 200, ("y", "v"): 404}
+    assert {r.document_id for r in retention.with_visible_parent(asked.select("document_id").distinct(), documents, F.lit("u"), now).collect()} == {"x"}
