@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import constants as C
-from .text import clean_lines, col, contains_any, count_of, digit_ratio, distinct_by_case, is_title, is_upper, let, lines, page_number, sentences, squash, strip, strip_of, title_case, words
+from .text import clean_lines, col, contains_any, count_in, count_of, digit_ratio, distinct_by_case, is_title, is_upper, let, lines, page_number, sentences, squash, strip, strip_of, title_case, words
 
 CLAUSE = r"^(\d+(?:\.\d+)+)\b"
 LEADERS = r"\.{4,}\s*\d+\s*$"
@@ -62,7 +62,7 @@ def heading_test(line, text: Column, w: Column) -> Column:
     small = F.array(*[F.lit(x) for x in C.TITLE_SMALL_WORDS])
     titled = F.size(F.filter(w, lambda x: starts_upper(x) | F.array_contains(small, F.lower(x))))
     capital = F.size(F.filter(w, starts_upper))
-    letters, capitals = count_of(text, r"\p{L}"), count_of(text, r"\p{Lu}")
+    letters, capitals = count_in(text, "L"), count_in(text, "Lu")
     academic = F.regexp_extract(text, r"^\d+(?:\.\d+){0,2}\s+([A-Z][A-Za-z0-9 ,/&()-]{2,120})$", 1)
     closed = text.rlike("[.?!]$")
     short = (n <= 10) & starts_upper(text) & ~closed & ~text.rlike("[,;]") & ~is_sentence_like(text)
@@ -120,12 +120,12 @@ def document_style(text) -> Column:
 def is_noise_line(line) -> Column:
     line = col(line)
     low = F.lower(line)
-    digits, letters = count_of(line, r"\p{Nd}"), count_of(line, r"\p{L}")
+    digits, letters = count_in(line, "Nd"), count_in(line, "L")
+    # The cheap tests come first: words are only counted where they decide.
     return (
         F.when((low == "") | F.contains(line, F.lit("@")) | low.rlike("^(?:doi|http)"), True)
         .when(contains_any(low, ("author manuscript", "available in pmc", "[pubmed:", "copyright")) | low.rlike(r"^page\s+\d+$"), True)
-        .when(F.size(words(line)) > 24, False)
-        .otherwise((digits > letters) & (digits >= 6))
+        .otherwise((digits >= 6) & (digits > letters) & (F.size(words(line)) <= 24))
     )
 
 

@@ -67,6 +67,11 @@ def count_of(text, pattern: str) -> Column:
     return F.regexp_count(col(text), F.lit(pattern))
 
 
+def count_in(text, category: str) -> Column:
+    r"""How many characters are of a category (such as "Nd"): the length without the runs of others, so that no match becomes a string of its own."""
+    return F.length(F.regexp_replace(col(text), rf"\P{{{category}}}+", ""))
+
+
 def is_upper(text) -> Column:
     """Has letters of a case, and all of them are capitals."""
     text = col(text)
