@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, chat_tree, oracles, pii, toxicity
+from .collocations import collocations
 from .common import crc_mod
 from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
@@ -74,6 +75,10 @@ def op9_lm_score(spark, sf_dir):
     return lm_score(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 OP7_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
@@ -112,6 +117,7 @@ QUERIES = {
     "op10_chat_tree": op10_chat_tree,
     "op8_ngram_join": op8_ngram_join,
     "op9_lm_score": op9_lm_score,
+    "op11_collocations": op11_collocations,
 }
 
 ORACLE_SQL = {
@@ -120,4 +126,5 @@ ORACLE_SQL = {
     "op10_chat_tree": oracles.OP10_SQL,
     "op2_mix_sources": OP2_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op11_collocations": oracles.OP11_SQL,
 }
