@@ -41,6 +41,8 @@ WORD_END[list(b" \t")] = True
 BITS = 1 << 27
 #: Shares of a language that are ranked by themselves before the whole is: a share hands on no more rows than the report has.
 SHARES = 64
+#: Bytes of texts that a task explodes at a time.
+STRETCH = 8 << 20
 
 
 def hash_of(strings) -> np.ndarray:
@@ -66,13 +68,13 @@ def words_in(texts):
     edge[off - off[0]] = True
     before = np.concatenate([[False], solid[:-1]])[: len(body)]
     start = np.flatnonzero(solid & (~before | edge[:-1]))
-    ends = np.cumsum(PIECE_END[body])[start] if len(start) else np.zeros(0, np.int64)
+    ends = np.cumsum(PIECE_END[body], dtype=np.int32)[start]
     text = np.searchsorted(off - off[0], start, "right")
     joined = np.zeros(len(start), bool)
     joined[1:] = (ends[1:] == ends[:-1]) & (text[1:] == text[:-1])
-    kept = np.cumsum(solid)
-    places = np.append(kept[start] - 1, kept[-1]) if len(start) else np.zeros(1, np.int64)
-    words = pa.StringArray.from_buffers(len(start), pa.py_buffer(places.astype(np.int32)), pa.py_buffer(body[solid]))
+    kept, letters = np.cumsum(solid, dtype=np.int32), body[solid]
+    places = np.append(kept[start] - 1, len(letters)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(start), pa.py_buffer(places), pa.py_buffer(letters))
     return words.dictionary_encode(), joined
 
 
@@ -109,6 +111,15 @@ def grams_of(texts, seed: np.uint64, sizes: range, common: np.ndarray | None):
             yield name, np.bincount(number[at], minlength=len(name)).astype(np.int64)
 
 
+def stretches(texts):
+    """The texts in turn, STRETCH bytes or one text at a time."""
+    ends, at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1], 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, int(ends[at]) + STRETCH, "right")) - 1)
+        yield texts.slice(at, to - at)
+        at = to
+
+
 def exploder(sizes: range, common):
     def run(batches):
         import pyarrow as pa
@@ -118,9 +129,10 @@ def exploder(sizes: range, common):
         for batch in batches:
             langs = batch.column(0).dictionary_encode()
             for k, lang in enumerate(langs.dictionary.to_pylist()):
-                texts = batch.column(1).filter(pc.equal(langs.indices, k))
-                for phrase, f in grams_of(texts, seed_of(lang), sizes, bits):
-                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(phrase)), phrase, pa.array(f)], ["lang", "phrase", "f"])
+                own = batch.column(1).filter(pc.equal(langs.indices, k))
+                for texts in stretches(own):
+                    for phrase, f in grams_of(texts, seed_of(lang), sizes, bits):
+                        yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(phrase)), phrase, pa.array(f)], ["lang", "phrase", "f"])
 
     return run
 
