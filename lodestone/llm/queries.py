@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat_tree, oracles, pii, toxicity
+from . import bpe, chat_tree, oracles, pii, token_files, toxicity
 from .collocations import collocations
 from .common import crc_mod
 from .embedding_dedup import embedding_dedup
@@ -79,6 +79,13 @@ def op11_collocations(spark, sf_dir):
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    files = token_files.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_files(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 OP7_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
@@ -118,6 +125,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_lm_score": op9_lm_score,
     "op11_collocations": op11_collocations,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLE_SQL = {
