@@ -8,12 +8,12 @@ the stream every EVERY rows: decoding can start at any of them. Each block has
 checksums of its payload and of its ids.
 
 Layout, all little-endian: MAGIC; the header (ids, documents, symbols, blocks,
-bytes of the documents' part, bytes of the table's part, checksum of all that
-comes before the blocks, from the parts on); the documents (identifiers as
-int64, then numbers of ids as uint64) and the table (symbols, then frequencies
-as uint32), both deflated; a record for each block (its place among the blocks'
-bytes, ids, lanes, words, checkpoints, checksum of the payload, checksum of
-the ids); the payloads: checkpoints (row, words before it, states), then words.
+bytes of the documents' part, bytes of the table's part) and a checksum of it and
+of all up to the payloads; the documents (identifiers as int64, then numbers of
+ids as uint64) and the table (symbols, then frequencies as uint32), both
+deflated; a record for each block (its place among the blocks' bytes, ids,
+lanes, words, checkpoints, checksum of the payload, checksum of the ids); the
+payloads: checkpoints (row, words before it, states), then words.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import zlib
 import numpy as np
 
 MAGIC = b"TOKRANS1"
-HEADER = "<QQIIIII"
+HEADER = "<QQIIII"
 RECORD = np.dtype([("at", "<u8"), ("ids", "<u4"), ("lanes", "<u4"), ("words", "<u4"), ("marks", "<u4"), ("crc", "<u4"), ("ids_crc", "<u4")])
 SCALE = 20
 LANES = 1024
@@ -119,8 +119,8 @@ def encode_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> byt
     docs = zlib.compress(doc_ids.astype("<i8").tobytes() + counts.astype("<u8").tobytes(), 1)
     shape = zlib.compress(table.symbols.astype("<u4").tobytes() + table.freq.astype("<u4").tobytes(), 1)
     front = docs + shape + records.tobytes()
-    header = struct.pack(HEADER, len(ids), len(doc_ids), len(table.symbols), len(records), len(docs), len(shape), zlib.crc32(front))
-    return b"".join([MAGIC, header, front, *payloads])
+    header = struct.pack(HEADER, len(ids), len(doc_ids), len(table.symbols), len(records), len(docs), len(shape))
+    return b"".join([MAGIC, header, struct.pack("<I", zlib.crc32(header + front)), front, *payloads])
 
 
 class File:
@@ -128,12 +128,13 @@ class File:
 
     def __init__(self, data):
         self.data = memoryview(data)
-        if len(data) < len(MAGIC) + struct.calcsize(HEADER) or self.data[: len(MAGIC)] != MAGIC:
+        head = len(MAGIC) + struct.calcsize(HEADER)
+        at = head + 4
+        if len(data) < at or self.data[: len(MAGIC)] != MAGIC:
             raise Broken("not a file of token ids")
-        self.n_ids, n_docs, n_symbols, n_blocks, docs, shape, crc = struct.unpack_from(HEADER, self.data, len(MAGIC))
-        at = len(MAGIC) + struct.calcsize(HEADER)
+        self.n_ids, n_docs, n_symbols, n_blocks, docs, shape = struct.unpack_from(HEADER, self.data, len(MAGIC))
         self.body = at + docs + shape + n_blocks * RECORD.itemsize
-        if self.body > len(data) or zlib.crc32(self.data[at : self.body]) != crc:
+        if self.body > len(data) or zlib.crc32(self.data[at : self.body], zlib.crc32(self.data[len(MAGIC) : head])) != struct.unpack_from("<I", self.data, head)[0]:
             raise Broken("the front part is damaged")
         raw = zlib.decompress(self.data[at : at + docs])
         self.doc_ids, self.counts = np.frombuffer(raw, "<i8", n_docs), np.frombuffer(raw, "<u8", n_docs, n_docs * 8).astype(np.int64)
