@@ -42,7 +42,7 @@ BITS = 1 << 27
 #: Shares of a language that are ranked by themselves before the whole is: a share hands on no more rows than the report has.
 SHARES = 64
 #: Bytes of texts that a task explodes at a time.
-STRETCH = 8 << 20
+STRETCH = 4 << 20
 
 
 def hash_of(strings) -> np.ndarray:
@@ -133,6 +133,7 @@ def exploder(sizes: range, common):
                 for texts in stretches(own):
                     for phrase, f in grams_of(texts, seed_of(lang), sizes, bits):
                         yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(phrase)), phrase, pa.array(f)], ["lang", "phrase", "f"])
+                    pa.default_memory_pool().release_unused()
 
     return run
 
