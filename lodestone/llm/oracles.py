@@ -61,3 +61,37 @@ WITH p AS (
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
 FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
 """
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT list(list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) AS r(i)
+), r AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents
+  ) WHERE len(run) >= 7 GROUP BY ALL
+), b AS (
+  SELECT run, n, flatten(list_transform(string_split(concat(doc_id, ':', run), ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END)) AS bytes FROM r
+), h AS (
+  SELECT run, n, xor(list_reduce(bytes, lambda c, x: xor(t.t[(xor(c, x) & 255) + 1], c >> 8), 4294967295), 4294967295) AS h FROM b, t
+), w AS (
+  SELECT CASE WHEN h % 31 = 0 THEN run[:h % len(run)] || run[h % len(run) + 2:] ELSE run END AS word, n FROM h
+), v AS (
+  SELECT word, sum(n)::BIGINT AS n FROM w WHERE len(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), d AS (
+  SELECT word, n, i, word[:i - 1] || word[i + 1:] AS less FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM v)
+), p AS (
+  SELECT a.word AS word, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.less = v.word
+  UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.less = v.word
+), m AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM p GROUP BY word
+), f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * v.n THEN near END AS form, CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n FROM v LEFT JOIN m USING (word)
+), g AS (
+  WITH RECURSIVE g AS (
+    SELECT word, word AS root, form AS further FROM f
+    UNION ALL SELECT g.word, f.word, f.form FROM g JOIN f ON g.further = f.word
+  ) SELECT word, root FROM g WHERE further IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN g USING (word)
+"""

@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .lm_scoring import lm_score
 from .mixing import mix_sources
 from .ngram_join import ngram_join
+from .spelling import spelling_variants
 from .suffix_dedup import suffix_dedup
 
 
@@ -79,6 +80,10 @@ def op11_collocations(spark, sf_dir):
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark, sf_dir):
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_token_files(spark, sf_dir):
     import public_tokenizers
 
@@ -125,6 +130,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_lm_score": op9_lm_score,
     "op11_collocations": op11_collocations,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_token_files": op13_token_files,
 }
 
@@ -135,4 +141,5 @@ ORACLE_SQL = {
     "op2_mix_sources": OP2_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op11_collocations": oracles.OP11_SQL,
+    "op12_spelling_variants": oracles.OP12_SQL,
 }
