@@ -8,6 +8,15 @@ from lodestone.llm import queries
 SF = "/root/testdata/sf0.001"
 
 
+def plain(frame):
+    def one(v):
+        if v is None or v != v or str(v) == "<NA>":
+            return "null"
+        return repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+
+    return sorted(tuple(map(one, r)) for r in frame.astype(object).where(frame.notna(), None).itertuples(index=False))
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query(spark, name):
     import duckdb
@@ -17,7 +26,6 @@ def test_query(spark, name):
         connection.sql(f"CREATE VIEW {t} AS FROM read_parquet('{SF}/{t}.parquet')")
     want = connection.sql(queries.ORACLE_SQL[name]).df()
     got = queries.QUERIES[name](spark, SF).toPandas()[list(want.columns)]
-    plain = lambda f: sorted(tuple(repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in f.astype(object).itertuples(index=False))
     assert plain(got) == plain(want) and len(got) > 0
 
 
