@@ -34,8 +34,10 @@ from .rans import File, encode_file
 
 FILE_IDS = 1 << 22
 #: Bytes of the texts whose parts are numbered together.
-STRETCH = 8 << 20
-MOST = 1 << 21
+STRETCH = 4 << 20
+MOST = 1 << 20
+#: Parts that the library gets at a time, so that what it makes of them stays small.
+CALL = 10_000
 #: A blank with white space on both sides, or on its left and the end on its right.
 WIDE_BLANK = r"[\s\v\x1c-\x1f\x{85}\p{Z}] (?:[\s\v\x1c-\x1f\x{85}\p{Z}]|$)"
 
@@ -62,9 +64,12 @@ class Parts:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each has."""
-        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(texts), CALL):
+            found = [e.ids for e in self.library.encode_batch_fast(texts[at : at + CALL], add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(counts[-1].sum())))
+        return np.concatenate(ids), np.concatenate(counts)
 
     def enter(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Numbers for new ids."""
@@ -150,6 +155,7 @@ def writer(tokenizer, end_id: int, file_ids: int):
                 if size >= file_ids:
                     yield file()
                     size, seq = 0, seq + 1
+                    pa.default_memory_pool().release_unused()
         if held:
             yield file()
 
