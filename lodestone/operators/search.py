@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import constants as C
 from ..functions.questions import fact_signal, has_term, may_recover, profile
 from ..sources.tables import written
-from ..functions.text import clamp, col, content_overlap, contains_any, keyword_overlap, search_tokens, significant_terms, similarity_of
+from ..functions.text import clamp, content_overlap, contains_any, keyword_overlap, search_tokens, significant_terms
+from .vector_index import VectorIndex, build_index, search_index
 
 
 def top(rows: DataFrame, by: str, k: int, *order) -> DataFrame:
@@ -23,29 +24,10 @@ def top(rows: DataFrame, by: str, k: int, *order) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def squared_distance(a, b) -> Column:
-    return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-
-
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int, by: tuple[str, ...] = (), limit: int = 10_000) -> DataFrame:
-    """queries: question_id, query_vector; vectors: vec_id, embedding (and `by`). The k nearest in squared distance.
-
-    Each query meets every vector, once. A stated query set of up to `limit`
-    rows is sent to all tasks; a longer one is an ordinary join on a block
-    number, so that no task gets all of it. Partial top-k lists are kept for
-    each part of the vectors before they meet.
-    """
-    if queries.limit(limit + 1).count() <= limit:
-        pairs = vectors.join(F.broadcast(queries), list(by)) if by else vectors.crossJoin(F.broadcast(queries))
-    else:
-        blocks = 64
-        spread = vectors.withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-        copies = queries.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pairs = spread.join(copies, ["_b", *by])
-    scored = pairs.select("question_id", "vec_id", squared_distance("query_vector", "embedding").alias("distance"))
-    part = W.partitionBy("question_id", F.pmod(F.xxhash64("vec_id"), F.lit(32))).orderBy("distance", "vec_id")
-    best = scored.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= k).drop("_r")
-    return top(best, "question_id", k, "distance", "vec_id").withColumn("dense", similarity_of("distance"))
+def dense_search(queries: DataFrame, vectors: DataFrame | VectorIndex, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """queries: question_id, query_vector; vectors: vec_id, embedding (and `by`), or an index of them. The k nearest in squared distance."""
+    index = vectors if isinstance(vectors, VectorIndex) else build_index(vectors, by=by)
+    return search_index(index, queries, k)
 
 
 def term_counts(rows: DataFrame, keys: list[str], text: str) -> DataFrame:

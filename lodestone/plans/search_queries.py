@@ -80,7 +80,9 @@ def dense_scope(spark, sf_dir):
     queries = vector_queries(spark, sf_dir)
     every = vectors(spark, sf_dir)
     hits = search.dense_search(queries.drop("query_label"), every, 10)
-    allowed = every.select(F.col("vec_id").alias("record_id"), "label").join(F.broadcast(queries.select("question_id", F.col("query_label").alias("label"))), "label").select("question_id", "record_id")
+    # Of the allowed pairs only those of hits are formed.
+    wanted = hits.select("question_id", F.col("vec_id").alias("record_id")).join(queries.select("question_id", F.col("query_label").alias("label")), "question_id")
+    allowed = wanted.join(every.select(F.col("vec_id").alias("record_id"), "label"), ["record_id", "label"], "left_semi").select("question_id", "record_id")
     after = search.only_allowed(hits.withColumnRenamed("vec_id", "record_id"), allowed).groupBy("question_id").agg(F.count(F.lit(1)).alias("after"))
     before = search.dense_search(queries.withColumnRenamed("query_label", "label"), every, 10, by=("label",)).groupBy("question_id").agg(F.count(F.lit(1)).alias("before"))
     return queries.select("question_id").join(after, "question_id", "left").join(before, "question_id", "left").select("question_id", F.coalesce("after", F.lit(0)).alias("after"), F.coalesce("before", F.lit(0)).alias("before"))

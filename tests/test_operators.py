@@ -111,14 +111,6 @@ def test_lexical_search(spark):
     assert got == pytest.approx(want)
 
 
-def test_dense_search_by_blocks_is_the_same(spark):
-    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(60)], "vec_id int, embedding array<double>")
-    queries = vectors.where("vec_id % 6 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query_vector"))
-    one = search.dense_search(queries, vectors, 4).select("question_id", "vec_id", "rank").collect()
-    two = search.dense_search(queries, vectors, 4, limit=3).select("question_id", "vec_id", "rank").collect()
-    assert set(one) == set(two) and len(one) == 40
-
-
 def test_fuse_promote_finalize(spark):
     ranked = spark.createDataFrame([(1, "a", "dense", 1, 0.9), (1, "b", "dense", 2, 0.8), (1, "b", "lexical", 1, 0.5)], "question_id int, record_id string, system string, rank int, score double")
     fused = search.fuse(ranked)
