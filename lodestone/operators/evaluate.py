@@ -6,6 +6,8 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from .order_statistics import same, values_at
+
 
 def question_metrics(results: DataFrame, labels: DataFrame) -> DataFrame:
     """results: question_id, rank, page_label, text; labels: question_id, expected_pages, expected_fragments.
@@ -56,16 +58,12 @@ def suite_summary(rows: DataFrame, spark_view: str = "_suite") -> DataFrame:
 
 def latency_summary(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Mean, population deviation, and both rules for the 95th percentile: nearest rank, and the item before 95 % of them."""
-    order = W.partitionBy(*(by or (F.lit(0),))).orderBy(value)
-    n = F.count(F.lit(1)).over(W.partitionBy(*(by or (F.lit(0),))))
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(order)).withColumn("_n", n)
-    floor = F.greatest(F.floor(F.col("_n") * 95 / 100), F.lit(1))
-    return ranked.groupBy(*by).agg(
-        F.avg(value).alias("mean"),
-        F.stddev_pop(value).alias("deviation"),
-        F.max(F.when(F.col("_i") == F.ceil(F.col("_n") * 95 / 100), F.col(value))).alias("p95"),
-        F.max(F.when(F.col("_i") == floor, F.col(value))).alias("p95_floor"),
-    )
+    ranks = {"p95": lambda n: F.ceil(n * 95 / 100), "p95_floor": lambda n: F.greatest(F.floor(n * 95 / 100), F.lit(1))}
+    at = values_at(rows, value, ranks, by)
+    known = rows.where(F.col(value).isNotNull())
+    spread = known.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"))
+    both = spread.join(at, same(spread, at, by)) if by else spread.join(at)  # without groups, one row each
+    return both.select(*[spread[c] for c in by], "mean", "deviation", "p95", "p95_floor")
 
 
 def deltas(rows: DataFrame, system: str, baseline: str, metrics: list[str], keys: list[str]) -> DataFrame:
