@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import eval_queries, planning_queries, search_queries, text_queries
+from . import eval_queries, planning_queries, search_queries, sweep_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES, **search_queries.QUERIES, **eval_queries.QUERIES, **planning_queries.QUERIES}
-ORACLE_SQL = {**text_queries.ORACLE_SQL, **search_queries.ORACLE_SQL, **eval_queries.ORACLE_SQL, **planning_queries.ORACLE_SQL}
+QUERIES = {**text_queries.QUERIES, **search_queries.QUERIES, **eval_queries.QUERIES, **planning_queries.QUERIES, **sweep_queries.QUERIES}
+ORACLE_SQL = {**text_queries.ORACLE_SQL, **search_queries.ORACLE_SQL, **eval_queries.ORACLE_SQL, **planning_queries.ORACLE_SQL, **sweep_queries.ORACLE_SQL}
 
 
 def entry(spark, sf_dir):
