@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import constants as C
-from ..functions.questions import profile
 from ..functions.text import cache_key, contains_any, preview, squash
 from ..sources.tables import written
 
@@ -21,20 +20,24 @@ def normalized(score: str, by: str = "question_id") -> Column:
     return F.when(high - low <= 1e-9, 1.0).otherwise((F.col(score) - low) / (high - low))
 
 
-def selection_triggers(final: DataFrame, questions: DataFrame, grades: DataFrame, gap: float = 0.08, on: tuple[str, ...] = ("spread",)) -> DataFrame:
+def selection_triggers(final: DataFrame, plans: DataFrame, grades: DataFrame, gap: float = 0.08, on: tuple[str, ...] = ("spread",)) -> DataFrame:
     """question_id, gap, the triggers and whether one that is on fires: is a second look at the order of a question's evidence worth its price?
 
-    Only questions with two candidates are looked at. A gap of 1 or more takes every question as ambiguous.
+    plans: question_id, spread. Only questions with two candidates, and with a
+    grade other than unsupported, are looked at. A gap of 1 or more takes every
+    question as ambiguous.
     """
     first = lambda k: F.max(F.when(F.col("final_rank") == k, F.col("score")))
     gaps = final.where("final_rank <= 2").groupBy("question_id").agg(F.abs(first(1) - first(2)).alias("gap"))
-    rows = questions.withColumn("_p", profile("question")).join(grades, "question_id", "left").join(gaps, "question_id", "left")
-    tests = {"weak": F.col("evidence_status") == "weak", "spread": F.col("_p.evidence_spread").isin("global", "sectional"), "gap": (F.col("gap") <= gap) | F.lit(gap >= 1.0)}
-    tests = {k: F.col("gap").isNotNull() & F.coalesce(t, F.lit(False)) for k, t in tests.items()}
+    graded = grades.select("question_id", "evidence_status").where("evidence_status != 'unsupported'")
+    rows = plans.select("question_id", "spread").join(graded, "question_id", "left").join(gaps, "question_id", "left")
+    looked_at = F.col("gap").isNotNull() & F.col("evidence_status").isNotNull()
+    tests = {"weak": F.col("evidence_status") == "weak", "spread": F.col("spread").isin("global", "sectional"), "gap": (F.col("gap") <= gap) | F.lit(gap >= 1.0)}
+    tests = {k: looked_at & F.coalesce(t, F.lit(False)) for k, t in tests.items()}
     wanted = F.lit(False)
     for name in on:
         wanted = wanted | tests[name]
-    return rows.select("question_id", "gap", *[t.alias(f"{k}_trigger") for k, t in tests.items()], wanted.alias("triggered"))
+    return rows.select("question_id", F.when(looked_at, F.col("gap")).alias("gap"), *[t.alias(f"{k}_trigger") for k, t in tests.items()], wanted.alias("triggered"))
 
 
 def reorder(final: DataFrame, given: DataFrame) -> DataFrame:
@@ -139,13 +142,27 @@ def citations(final: DataFrame) -> DataFrame:
     return rows.withColumn("details", F.array_distinct(F.transform("citations", lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x))))
 
 
+def is_true(reply: str, path: str) -> Column:
+    """Whether a value of a JSON text counts as true: anything but false, zero, null and what is empty. Null where there is no JSON or no value."""
+    value = F.try_variant_get(F.try_parse_json(reply), path, "variant")
+    text, kind = F.try_variant_get(value, "$", "string"), F.schema_of_variant(value)
+    return (
+        F.when(value.isNull(), None)
+        .when(kind == "VOID", False)
+        .when(kind == "BOOLEAN", text == "true")
+        .when(kind == "STRING", text != "")
+        .when(kind.rlike("^(ARRAY|OBJECT)"), ~text.isin("[]", "{}"))
+        .otherwise(F.coalesce(text.try_cast("double") != 0.0, F.lit(True)))
+    )
+
+
 def model_answers(told: DataFrame, replies: DataFrame, cited: DataFrame) -> DataFrame:
     """What a model replied takes the place of extracted answers where the evidence isn't unsupported.
 
     replies: question_id, reply (JSON with supported, answer, reason). A reply that is
     no JSON supports nothing; one that hedges is downgraded; a supported one ends in its references.
     """
-    body = F.from_json("reply", "supported boolean, answer string, reason string")
+    body = F.from_json("reply", "supported string, answer string, reason string").withField("supported", is_true("reply", "$.supported"))
     rows = told.join(replies.select("question_id", "reply", body.alias("_m")), "question_id", "left").join(cited.select("question_id", "details"), "question_id", "left")
     valid = F.col("_m.supported").isNotNull() | F.col("_m.answer").isNotNull() | F.col("_m.reason").isNotNull()
     text = F.coalesce(F.nullif(F.trim("_m.answer"), F.lit("")), F.lit(UNSUPPORTED))

@@ -258,14 +258,16 @@ def retrieve(questions: DataFrame, chunks: DataFrame, dense: DataFrame | None =
 def neighbours(seeds: DataFrame, chunks: DataFrame, forward: int = 8, most_seeds: int = 6, most: int = 10) -> DataFrame:
     """Chunks that follow the first seeds in their document; the first seed wins, and each question gets `most` at most.
 
-    seeds: question_id, record_id, rank, score. The range join is an equi-join
-    on document and position, one row for each of the next positions.
+    seeds: question_id, record_id, rank, score. Chunks are numbered in the order
+    of chunk_index, which may have gaps. The range join is an equi-join on
+    document and number, one row for each of the next places.
     """
-    at = chunks.select(F.col("chunk_id").alias("record_id"), "document_id", "chunk_index")
-    ahead = seeds.where(F.col("rank") <= most_seeds).join(at, "record_id").withColumn("chunk_index", F.explode(F.sequence(F.col("chunk_index") + 1, F.col("chunk_index") + forward)))
-    found = ahead.select("question_id", "rank", "document_id", "chunk_index", F.greatest(F.col("score") * 0.90, F.col("score") - 0.02).alias("base")).join(at, ["document_id", "chunk_index"])
-    first = found.withColumn("_r", F.row_number().over(W.partitionBy("question_id", "record_id").orderBy("rank", "chunk_index"))).where("_r = 1")
-    return top(first.drop("_r").withColumnRenamed("rank", "seed_rank"), "question_id", most, "seed_rank", "chunk_index").select("question_id", "record_id", "base", "rank")
+    order = W.partitionBy("document_id").orderBy("chunk_index", "chunk_id")
+    at = chunks.select(F.col("chunk_id").alias("record_id"), "document_id", F.row_number().over(order).alias("place"))
+    ahead = seeds.where(F.col("rank") <= most_seeds).join(at, "record_id").withColumn("place", F.explode(F.sequence(F.col("place") + 1, F.col("place") + forward)))
+    found = ahead.select("question_id", "rank", "document_id", "place", F.greatest(F.col("score") * 0.90, F.col("score") - 0.02).alias("base")).join(at, ["document_id", "place"])
+    first = found.withColumn("_r", F.row_number().over(W.partitionBy("question_id", "record_id").orderBy("rank", "place"))).where("_r = 1")
+    return top(first.drop("_r").withColumnRenamed("rank", "seed_rank"), "question_id", most, "seed_rank", "place").select("question_id", "record_id", "base", "rank")
 
 
 def recover(questions: DataFrame, chunks: DataFrame, final: DataFrame, grades: DataFrame, k: int = C.FINAL_TOP_K) -> tuple[DataFrame, DataFrame]:

@@ -64,7 +64,7 @@ def build_edges(synopses: DataFrame, least: float = 0.2, top: int = 2) -> DataFr
     edge = lambda rows, kind, weight: rows.select("document_id", "source", "target", F.lit(kind).alias("edge_type"), weight.alias("weight"))
     after = synopses.select("document_id", F.col("section_id").alias("source"), F.lead("section_id").over(doc).alias("target")).where("target IS NOT NULL")
     depth = F.size("section_path")
-    children = synopses.where(depth > 1).select("document_id", F.col("section_id").alias("target"), F.slice("section_path", 1, depth - 1).alias("p"))
+    children = synopses.where(depth > 1).select("document_id", F.col("section_id").alias("target"), F.slice("section_path", F.lit(1), F.greatest(depth - 1, F.lit(0))).alias("p"))
     parents = synopses.select("document_id", "section_id", "ordinal", F.col("section_path").alias("p"))
     up = children.join(parents, ["document_id", "p"]).where("section_id != target").groupBy("document_id", "target").agg(F.min_by("section_id", "ordinal").alias("source"))
     family = W.partitionBy("document_id", "region_kind").orderBy("ordinal")

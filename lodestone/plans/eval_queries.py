@@ -166,6 +166,29 @@ UNION ALL SELECT 'orphans', count(*) FROM customer WHERE c_custkey NOT IN (SELEC
 """
 
 
+def workspace_sweep(spark, sf_dir):
+    """What a sweep deletes of five kinds: orders as documents, their lines as indexes and traces, customers as uploads, parts as cached answers."""
+    rows, now = workspaces(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem")
+    documents = rows.select("document_id", F.col("owner").cast("string").alias("path"), "expires_at")
+    indexes = lines.select(F.col("l_orderkey").alias("document_id"), F.col("l_partkey").cast("string").alias("fingerprint"))
+    traces = lines.select(F.col("l_orderkey").alias("document_id"), (F.col("l_shipdate") + F.expr("INTERVAL 120 DAYS")).alias("expires_at"))
+    uploads = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("path"))
+    caches = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("fingerprint"))
+    return retention.sweep_summary(retention.sweep(documents, indexes, uploads, caches, traces, now))
+
+
+WORKSPACE_SWEEP_SQL = """
+WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, coalesce(o_orderdate + INTERVAL 180 DAY <= TIMESTAMP '1998-06-01', false) AS gone FROM orders), live AS (SELECT k, c FROM o WHERE NOT gone),
+li AS (SELECT DISTINCT l_partkey AS p FROM lineitem WHERE l_orderkey IN (SELECT k FROM live))
+SELECT 'documents' AS category, count(*) AS deleted FROM o WHERE gone
+UNION ALL SELECT 'indexes', count(*) FROM lineitem WHERE l_partkey NOT IN (FROM li)
+UNION ALL SELECT 'uploads', count(*) FROM customer WHERE c_custkey NOT IN (SELECT c FROM live)
+UNION ALL SELECT 'caches', count(*) FROM part WHERE p_partkey NOT IN (FROM li)
+UNION ALL SELECT 'traces', count(*) FROM lineitem WHERE coalesce(l_shipdate + INTERVAL 120 DAY <= TIMESTAMP '1998-06-01', false) OR l_orderkey NOT IN (SELECT k FROM live)
+"""
+
+
 def props_json(spark, sf_dir):
     """Values inside the events' JSON, guarded."""
     k = F.get_json_object("props", "$.k").try_cast("long")
@@ -235,14 +258,14 @@ def customer_top_orders(spark, sf_dir):
 
 QUERIES = {
     "passage_hits": passage_hits, "dataset_averages": dataset_averages, "suite_summary": suite_summary, "latency_summary": latency_summary, "abstention": abstention,
-    "threshold_sweep": threshold_sweep, "sessions_24h": sessions_24h, "active_workspaces": active_workspaces, "sweep_counts": sweep_counts, "props_json": props_json,
+    "threshold_sweep": threshold_sweep, "sessions_24h": sessions_24h, "active_workspaces": active_workspaces, "sweep_counts": sweep_counts, "workspace_sweep": workspace_sweep, "props_json": props_json,
     "type_deltas": type_deltas, "duplicate_texts": duplicate_texts, "pricing_summary": pricing_summary, "region_revenue": region_revenue, "customer_top_orders": customer_top_orders,
 }
 
 ORACLE_SQL = {
     "passage_hits": PASSAGE_SQL,
     "dataset_averages": AVERAGES_SQL, "suite_summary": SUITE_SQL, "latency_summary": LATENCY_SQL, "abstention": ABSTENTION_SQL, "threshold_sweep": SWEEP_SQL, "sessions_24h": SESSIONS_SQL,
-    "active_workspaces": ACTIVE_SQL, "sweep_counts": SWEEP_COUNTS_SQL, "type_deltas": DELTAS_SQL, "pricing_summary": PRICING_SQL, "region_revenue": REGION_SQL,
+    "active_workspaces": ACTIVE_SQL, "sweep_counts": SWEEP_COUNTS_SQL, "workspace_sweep": WORKSPACE_SWEEP_SQL, "type_deltas": DELTAS_SQL, "pricing_summary": PRICING_SQL, "region_revenue": REGION_SQL,
     "props_json": "SELECT try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY 1",
     "duplicate_texts": f"WITH {DOCS} SELECT sha256(text) AS fingerprint, count(*) AS n FROM d GROUP BY 1 HAVING count(*) > 1",
     "customer_top_orders": "SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 3",

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions import constants as C
 from ..functions import rules as R
 from ..functions import text as T
-from ..operators import chunking, structure, topology
+from ..operators import chunking, search, structure, topology
 from ..sources.tables import written
 
 
@@ -128,12 +128,15 @@ SELECT doc_id, block, length(t) AS chars, md5(t) AS block_md5 FROM g
 
 
 def line_continuations(spark, sf_dir):
-    """The next line of each line, and for short lines the first later line that isn't short."""
-    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(T.lines("text")).alias("line_no", "line"))
-    order = W.partitionBy("doc_id").orderBy("line_no")
-    body = F.when(F.length("line") > 60, F.col("line_no"))
-    later = F.first(body, ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing))
-    return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.lead("line_no").over(order).cast("long").alias("next_line"), F.when(F.length("line") <= 60, later).cast("long").alias("next_body"))
+    """The next line of each line, and for short lines the first later line that isn't short: lines as chunks of one block, and as blocks of their own."""
+    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.posexplode(T.lines("text")).alias("chunk_index", "line"))
+    short = F.length("line") <= 60
+    lines = rows.select("document_id", F.lit(0).alias("page_no"), F.lit(None).cast("string").alias("artifact_type"), F.col("chunk_index").alias("at"), F.col("chunk_index").cast("string").alias("chunk_id"), "chunk_index", F.when(short, "heading_stub").otherwise("body").alias("chunk_role"), short.alias("short"))
+    one = chunking.with_continuations(lines.withColumn("kind_no", F.lit(0)).withColumn("heading_only", F.lit(False)))
+    each = chunking.with_continuations(lines.withColumn("kind_no", F.col("chunk_index")).withColumn("heading_only", F.col("short")))
+    key = ["document_id", "chunk_index"]
+    both = one.select(*key, F.col("continuation_id").cast("long").alias("next_line")).join(each.select(*key, F.col("continuation_id").cast("long").alias("next_body")), key)
+    return both.select(F.col("document_id").alias("doc_id"), F.col("chunk_index").cast("long").alias("line_no"), "next_line", "next_body")
 
 
 LINE_CONTINUATIONS_SQL = f"""
@@ -243,11 +246,9 @@ def sections_of(spark, sf_dir) -> DataFrame:
 def section_adjacency(spark, sf_dir):
     """Edges between a turn and the next, and the next two of its role."""
     rows = sections_of(spark, sf_dir)
-    doc, kin = W.partitionBy("conv_id").orderBy("turn"), W.partitionBy("conv_id", "kind").orderBy("turn")
-    rows = rows.withColumn("_a", F.lead("turn").over(doc)).withColumn("_b", F.lead("turn", 1).over(kin)).withColumn("_c", F.lead("turn", 2).over(kin))
-    edge = lambda target, kind, weight: F.struct(F.col(target).alias("target"), F.lit(kind).alias("edge_type"), F.lit(weight).alias("weight"))
-    edges = F.array(edge("_a", "previous_next", 1.0), edge("_b", "same_region_family", 0.75), edge("_c", "same_region_family", 0.75))
-    return rows.select("conv_id", F.col("turn").alias("source"), F.explode(edges).alias("e")).select("conv_id", "source", "e.*").where("target IS NOT NULL")
+    none = F.expr("CAST(array() AS array<string>)")
+    synopses = rows.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("section_id"), F.col("turn").alias("ordinal"), none.alias("section_path"), F.col("kind").alias("region_kind"), none.alias("key_terms"))
+    return topology.build_edges(synopses).select(F.col("document_id").alias("conv_id"), "source", "target", "edge_type", "weight")
 
 
 SECTION_ADJACENCY_SQL = """
@@ -281,13 +282,13 @@ SELECT conv_id, source, target, round(s, 9) AS similarity FROM j WHERE s >= 0.2
 
 
 def neighbour_turns(spark, sf_dir):
-    """For each user turn the turns up to three places on, as an equi-join on the place."""
-    rows = sections_of(spark, sf_dir)
-    order = W.partitionBy("conv_id").orderBy("turn")
-    at = rows.select("conv_id", "turn", "kind", F.row_number().over(order).alias("pos"))
-    seeds = at.where("kind = 'user'").select("conv_id", F.col("turn").alias("seed"), F.col("pos").alias("_p"), F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + 3)).alias("pos"))
-    found = seeds.join(at.select("conv_id", "pos", F.col("turn").alias("neighbour")), ["conv_id", "pos"])
-    return found.select("conv_id", "seed", "neighbour", (F.col("pos") - F.col("_p")).cast("long").alias("distance"))
+    """For each user turn the turns up to three places on."""
+    name = F.concat_ws("-", "conv_id", "turn")
+    chunks = sections_of(spark, sf_dir).select(F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), name.alias("chunk_id"), "kind")
+    seeds = chunks.where("kind = 'user'").select(F.col("chunk_id").alias("question_id"), F.col("chunk_id").alias("record_id"), F.lit(1).alias("rank"), F.lit(1.0).alias("score"))
+    found = search.neighbours(seeds, chunks, forward=3, most=3)
+    turn = lambda c: F.substring_index(c, "-", -1).cast("long")
+    return found.select(F.regexp_extract("question_id", "^(.*)-[0-9]+$", 1).cast("long").alias("conv_id"), turn("question_id").alias("seed"), turn("record_id").alias("neighbour"), F.col("rank").cast("long").alias("distance"))
 
 
 NEIGHBOUR_TURNS_SQL = """
@@ -298,12 +299,11 @@ FROM a s JOIN a n ON n.conv_id = s.conv_id AND n.pos BETWEEN s.pos + 1 AND s.pos
 
 
 def role_runs(spark, sf_dir):
-    """Runs of equal event types of a user."""
+    """Runs of equal event types of a user: pages assigned one title are a section."""
     rows = table(spark, sf_dir, "events")
-    order = W.partitionBy("user_id").orderBy("ts", "event_id")
-    new = F.when(F.lag("event_type").over(order) == F.col("event_type"), 0).otherwise(1)
-    runs = rows.withColumn("_n", new).withColumn("run", F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return runs.groupBy("user_id", "run", "event_type").agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_id")).drop("run")
+    assigned = rows.select(F.col("user_id").alias("document_id"), F.struct("ts", "event_id").alias("page_no"), F.col("event_id").cast("string").alias("page_label"), F.col("event_type").alias("title"), F.lit("").alias("section_kind"), F.lit("").alias("text"))
+    runs = structure.repaired_sections(assigned)
+    return runs.select(F.col("document_id").alias("user_id"), F.col("title").alias("event_type"), F.size("page_labels").cast("long").alias("events"), F.array_min(F.transform("page_labels", lambda x: x.cast("long"))).alias("first_id"))
 
 
 ROLE_RUNS_SQL = """

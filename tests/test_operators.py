@@ -141,6 +141,14 @@ def test_retrieve_and_recover(spark, enriched):
     assert near.count() <= 8
 
 
+def test_neighbours_go_by_order_where_numbers_have_gaps(spark):
+    chunks = spark.createDataFrame([("d", f"c{i}", i * i) for i in range(12)] + [("e", "x", 5)], "document_id string, chunk_id string, chunk_index int")
+    seeds = spark.createDataFrame([(1, "c2", 1, 1.0), (1, "c4", 2, 0.01), (2, "c10", 1, 0.5), (3, "c0", 7, 1.0)], "question_id int, record_id string, rank int, score double")
+    got = [(r.question_id, r.record_id, round(r.base, 6)) for r in search.neighbours(seeds, chunks, forward=3).orderBy("question_id", "rank").collect()]
+    # The first seed wins; a seed beyond the sixth rank has none; nothing crosses documents.
+    assert got == [(1, "c3", 0.98), (1, "c4", 0.98), (1, "c5", 0.98), (1, "c6", 0.009), (1, "c7", 0.009), (2, "c11", 0.48)]
+
+
 def test_relaxing_filter(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b")], "question_id int, x string")
     test = [(F.lit(True), F.col("x") == "a")]

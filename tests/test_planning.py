@@ -184,12 +184,30 @@ def test_stores_and_reports(spark, tmp_path):
 
 
 def test_triggers_look_at_scope_and_gap(spark):
-    final = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.45), (2, 1, 0.9)], "question_id int, final_rank int, score double")
-    questions = spark.createDataFrame([(1, "Give an overview of the whole document."), (2, "Give an overview of the whole document.")], "question_id int, question string")
-    grades = spark.createDataFrame([(1, "weak"), (2, "weak")], "question_id int, evidence_status string")
-    got = {r.question_id: r for r in answers.selection_triggers(final, questions, grades).collect()}
+    final = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.45), (2, 1, 0.9), (3, 1, 0.5), (3, 2, 0.5), (4, 1, 0.9), (4, 2, 0.1), (5, 1, 0.9), (5, 2, 0.1)], "question_id int, final_rank int, score double")
+    plans = spark.createDataFrame([(1, "global"), (2, "global"), (3, "global"), (4, "atomic"), (5, "sectional"), (6, "global")], "question_id int, spread string")
+    grades = spark.createDataFrame([(1, "weak"), (2, "weak"), (3, "unsupported"), (4, "strong"), (5, "strong")], "question_id int, evidence_status string")
+    got = {r.question_id: r for r in answers.selection_triggers(final, plans, grades).collect()}
     assert got[1].triggered and got[1].gap_trigger and got[1].weak_trigger and not got[2].triggered and not got[2].weak_trigger
-    assert evaluate.trigger_summary(answers.selection_triggers(final, questions, grades)).first().triggered == 1
+    # Unsupported and ungraded questions are left out, and the spread is the plan's.
+    assert not any([got[3].triggered, got[3].spread_trigger, got[3].gap_trigger]) and got[3].gap is None and not got[6].triggered
+    assert not got[4].triggered and got[5].triggered and not got[5].gap_trigger
+    assert {r.question_id for r in answers.selection_triggers(final, plans, grades, gap=1.0, on=("gap",)).where("triggered").collect()} == {1, 4, 5}
+    assert evaluate.trigger_summary(answers.selection_triggers(final, plans, grades)).first().triggered == 2
+
+
+@pytest.mark.parametrize(
+    ("reply", "want"),
+    [("true", True), ("false", False), ('"true"', True), ('"false"', True), ('""', False), ("0", False), ("1", True), ("0.5", True), ("null", False), ("[]", False), ("[0]", True), ("{}", False)],
+)
+def test_what_counts_as_support(spark, reply, want):
+    rows = spark.createDataFrame([('{"supported": %s, "answer": "x"}' % reply,)], "reply string")
+    assert rows.select(answers.is_true("reply", "$.supported").alias("v")).first().v is want
+
+
+def test_no_support_without_json(spark):
+    rows = spark.createDataFrame([("no json",), ('{"answer": "x"}',), (None,)], "reply string")
+    assert [r.v for r in rows.select(answers.is_true("reply", "$.supported").alias("v")).collect()] == [None] * 3
 
 
 def test_changed_questions_and_access(spark):
