@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as T
 from ..operators import evaluate, retention, search
+from ..sources.tables import new_folder
+from ..streaming import expiry
 from .search_queries import TFIDF_CTES, lexical_hits, questions_of
 from .text_queries import DOCS, documents, table
 
@@ -127,6 +129,24 @@ SELECT user_id, session_no, epoch_us(min(ts)) AS first_at, epoch_us(max(ts)) AS
 """
 
 
+def workspace_expiry(spark, sf_dir):
+    """The users' workspaces that a stream of all events closes, up to an hour before the last event."""
+    events = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
+    at = new_folder(spark, "expiry")
+    expiry.run_to_end(expiry.expiring_workspaces(stream, "user_id", "event_id", "ts"), f"{at}/closed", f"{at}/state")
+    rows = spark.read.schema("user_id long, first_at timestamp, last_at timestamp, expires_at timestamp, touches long").parquet(f"{at}/closed")
+    return rows.select("user_id", *[F.unix_micros(c).alias(c) for c in ("first_at", "last_at", "expires_at")], "touches")
+
+
+EXPIRY_SQL = """
+WITH a AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER o IS NULL OR ts >= lag(ts) OVER o + INTERVAL 24 HOUR THEN 1 ELSE 0 END AS s FROM events WHERE ts IS NOT NULL WINDOW o AS (PARTITION BY user_id ORDER BY ts)),
+b AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)::BIGINT AS session_no FROM a)
+SELECT user_id, epoch_us(min(ts)) AS first_at, epoch_us(max(ts)) AS last_at, epoch_us(max(ts) + INTERVAL 24 HOUR) AS expires_at, count(*) AS touches FROM b GROUP BY user_id, session_no
+HAVING max(ts) + INTERVAL 24 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
+"""
+
+
 def workspaces(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Orders as workspaces of customers, and the instant to look at them from."""
     orders = table(spark, sf_dir, "orders")
@@ -258,14 +278,14 @@ def customer_top_orders(spark, sf_dir):
 
 QUERIES = {
     "passage_hits": passage_hits, "dataset_averages": dataset_averages, "suite_summary": suite_summary, "latency_summary": latency_summary, "abstention": abstention,
-    "threshold_sweep": threshold_sweep, "sessions_24h": sessions_24h, "active_workspaces": active_workspaces, "sweep_counts": sweep_counts, "workspace_sweep": workspace_sweep, "props_json": props_json,
+    "threshold_sweep": threshold_sweep, "sessions_24h": sessions_24h, "workspace_expiry": workspace_expiry, "active_workspaces": active_workspaces, "sweep_counts": sweep_counts, "workspace_sweep": workspace_sweep, "props_json": props_json,
     "type_deltas": type_deltas, "duplicate_texts": duplicate_texts, "pricing_summary": pricing_summary, "region_revenue": region_revenue, "customer_top_orders": customer_top_orders,
 }
 
 ORACLE_SQL = {
     "passage_hits": PASSAGE_SQL,
     "dataset_averages": AVERAGES_SQL, "suite_summary": SUITE_SQL, "latency_summary": LATENCY_SQL, "abstention": ABSTENTION_SQL, "threshold_sweep": SWEEP_SQL, "sessions_24h": SESSIONS_SQL,
-    "active_workspaces": ACTIVE_SQL, "sweep_counts": SWEEP_COUNTS_SQL, "workspace_sweep": WORKSPACE_SWEEP_SQL, "type_deltas": DELTAS_SQL, "pricing_summary": PRICING_SQL, "region_revenue": REGION_SQL,
+    "workspace_expiry": EXPIRY_SQL, "active_workspaces": ACTIVE_SQL, "sweep_counts": SWEEP_COUNTS_SQL, "workspace_sweep": WORKSPACE_SWEEP_SQL, "type_deltas": DELTAS_SQL, "pricing_summary": PRICING_SQL, "region_revenue": REGION_SQL,
     "props_json": "SELECT try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY 1",
     "duplicate_texts": f"WITH {DOCS} SELECT sha256(text) AS fingerprint, count(*) AS n FROM d GROUP BY 1 HAVING count(*) > 1",
     "customer_top_orders": "SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 3",

@@ -27,11 +27,16 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own[app]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table that later stages read, however often, instead of computing it again."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed when the driver ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table that later stages read, however often, instead of computing it again."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
