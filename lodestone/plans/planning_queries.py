@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as C
-from ..operators import answers, chunking, evaluate, search, suites, topology
+from ..operators import answers, chunking, evaluate, search, suites, topology, validation
 from ..operators import planning as P
 from .search_queries import questions_of
 from .text_queries import DOCS, LINE_END, STRIP, any_of, documents, table
@@ -202,6 +202,48 @@ def question_sets(spark, sf_dir):
     return suites.question_sets(styles, sections).withColumn("number", F.col("number").cast("long"))
 
 
+def suite_problems(spark, sf_dir):
+    """Whole documents as questions of a suite whose documents are their sources: how many break each rule.
+
+    A text is a question's name, so copies are duplicates; the language is its
+    intent; labels say whether it can be answered and whether its source was tuned on.
+    """
+    labels = table(spark, sf_dir, "labels")
+    rows = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    intent = F.when(F.col("lang") == "en", "lookup").when(F.col("lang") == "de", "unsupported").otherwise(F.coalesce("lang", F.lit("")))
+    text = F.coalesce("text", F.lit(""))
+    none = F.expr("CAST(array() AS array<string>)")
+    questions = rows.select(
+        F.sha2(text, 256).alias("question_id"), "lang", F.coalesce("source", F.lit("")).alias("document_id"), intent.alias("intent_type"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("answerable"),
+        F.regexp_extract(text, "^[^.]*\\.", 0).alias("gold_answer"), F.lit("").alias("gold_answer_notes"), none.alias("expected_regions"), F.when(F.col("toxic") == 1, "toxic").alias("unsupported_reason"),
+    )
+    per = rows.groupBy(F.coalesce("source", F.lit("")).alias("document_id")).agg(F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"), F.bool_or(F.coalesce(F.col("lang") == "es", F.lit(False))).alias("spanish"))
+    documents = per.select("document_id", F.concat("document_id", F.lit(".pdf")).alias("path"), (F.col("toxic") == 1).alias("used_for_tuning"), "spanish")
+    suite = spark.range(1).select(F.lit("all").alias("suite_id"), F.lit(5).alias("top_k"), F.lit(0).alias("max_chars"))
+    found = validation.problems(suite, documents.where("spanish"), questions, documents.where("used_for_tuning").select("path"))
+    return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("subject").alias("subjects"))
+
+
+SUITE_PROBLEMS_SQL = r"""
+WITH r AS (SELECT d.*, quality, toxic, coalesce(text, '') AS t FROM documents d LEFT JOIN labels USING (doc_id)),
+q AS (SELECT sha256(t) AS id, coalesce(source, '') AS doc, CASE WHEN lang = 'en' THEN 'lookup' WHEN lang = 'de' THEN 'unsupported' ELSE coalesce(lang, '') END AS intent,
+  coalesce(quality = 1, false) AS answerable, regexp_extract(t, '^[^.]*\.') AS gold, CASE WHEN toxic = 1 THEN 'toxic' ELSE '' END AS reason FROM r),
+p AS (SELECT coalesce(source, '') AS id, max(coalesce(toxic, 0)) = 1 AS tuned, bool_or(coalesce(lang = 'es', false)) AS spanish FROM r GROUP BY 1), d AS (FROM p WHERE spanish),
+x AS (
+  SELECT 'max_chars not positive' AS rule, 'all' AS subject
+  UNION ALL SELECT 'no documents', '' WHERE (SELECT count(*) FROM d) = 0 UNION ALL SELECT 'no questions', '' WHERE (SELECT count(*) FROM q) = 0
+  UNION ALL SELECT 'used for tuning', id FROM d WHERE tuned UNION ALL SELECT 'no file', id FROM d WHERE NOT tuned
+  UNION ALL SELECT 'duplicate question', id FROM q GROUP BY id HAVING count(*) > 1
+  UNION ALL SELECT 'unknown document', id FROM q WHERE doc NOT IN (SELECT id FROM d)
+  UNION ALL SELECT 'unknown intent', id FROM q WHERE intent NOT IN ('lookup', 'local_scope', 'broad_summary', 'comparison_synthesis', 'numeric_procedure', 'unsupported')
+  UNION ALL SELECT 'unsupported but answerable', id FROM q WHERE intent = 'unsupported' AND answerable
+  UNION ALL SELECT 'no reason', id FROM q WHERE NOT answerable AND reason = ''
+  UNION ALL SELECT 'nothing to judge by', id FROM q WHERE answerable AND gold = ''
+)
+SELECT rule, count(*) AS n, count(DISTINCT subject) AS subjects FROM x GROUP BY rule
+"""
+
+
 def suite_manifest(spark, sf_dir):
     """Passages as a benchmark's questions and nations as its documents: every question with its document, for two systems."""
     length = F.length(F.coalesce("text", F.lit("")))
@@ -237,10 +279,10 @@ def answered_questions(spark, sf_dir):
 
 QUERIES = {
     "likely_scopes": likely_scopes, "synopsis_reviews": synopsis_reviews, "chunk_reviews": chunk_reviews, "plan_outcomes": plan_outcomes, "trigger_rates": trigger_rates, "scope_rates": scope_rates,
-    "vendor_margins": vendor_margins, "ranked_titles": ranked_titles, "question_sets": question_sets, "suite_manifest": suite_manifest, "answered_questions": answered_questions,
+    "vendor_margins": vendor_margins, "ranked_titles": ranked_titles, "question_sets": question_sets, "suite_problems": suite_problems, "suite_manifest": suite_manifest, "answered_questions": answered_questions,
 }
 
 ORACLE_SQL = {
     "likely_scopes": LIKELY_SQL, "synopsis_reviews": SYNOPSIS_SQL, "chunk_reviews": CHUNK_SQL, "plan_outcomes": OUTCOMES_SQL, "trigger_rates": TRIGGERS_SQL, "scope_rates": SCOPES_SQL,
-    "vendor_margins": MARGINS_SQL, "ranked_titles": TITLES_SQL, "suite_manifest": MANIFEST_SQL,
+    "vendor_margins": MARGINS_SQL, "ranked_titles": TITLES_SQL, "suite_problems": SUITE_PROBLEMS_SQL, "suite_manifest": MANIFEST_SQL,
 }
