@@ -75,6 +75,8 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: flo
             F.col("source").isNull().alias("_null"),
             (word_count() if size is None else size).alias("size"),
             hash_key(seed).alias("_key"),
+            # Rows that agree in identifier and size, but not in what is kept, have an order, too.
+            (F.xxhash64(*keep) if keep else F.lit(0)).alias("_tie"),
         ).withColumn("_part", F.floor(F.col("_key") * F.lit(ranges) / F.lit(16.0**DIGITS)).cast("int")),
         "sized",
     )
@@ -82,7 +84,7 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: flo
     targets = source_targets(parts.groupBy("_src", "_null").agg(F.sum("_words").alias("source_size")), weights, share, cap)
     ahead = W.partitionBy("_src", "_null").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     plan = parts.withColumn("_start", F.coalesce(F.sum("_words").over(ahead), F.lit(0))).join(targets, ["_src", "_null"]).drop("_words")
-    inside = W.partitionBy(*part).orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*part).orderBy("_key", "doc_id", "size", "_tie").rowsBetween(W.unboundedPreceding, -1)
     budget = F.round("target").cast("long")
     rows = (
         sized.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))

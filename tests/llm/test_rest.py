@@ -393,3 +393,21 @@ def test_empty_tables_and_clashing_names(spark):
     turns = spark.createDataFrame([(1, 0, "user", "hi", 3, "n"), (1, 1, "assistant", "ho", 3, "n")], "conv_id long, turn long, role string, text string, place int, node string")
     nodes, membership = chat_tree.prefix_tree(turns, RANKS)
     assert [(r.conv_id, r.loss_text) for r in chat_tree.read_back(nodes, membership, RANKS).collect()] == [(1, "ho")]
+
+
+@pytest.mark.parametrize(("written", "word"), [("1d1ot", "idiot"), ("i" * 300 + "diot", "idiot"), ("k!1!1!1!1!1!1ller", "killer"), ("k" + "1" * 200 + "!ler", "killer")])
+def test_long_runs_of_look_alikes(written, word):
+    """Of a run the decoder sees eight characters; the whole run is still what is replaced."""
+    words = ["idiot", "killer", "moron", "chapter", "wonder"]
+    reader = toxicity.Reader({"=idiot": 5.0, "=killer": 5.0}, {w: 50 for w in words} | {"thing": 20, "other": 20, "with": 30})
+    assert reader.restored(f"an {written} here").split() == ["an", word, "here"]
+
+
+def test_rows_that_agree_in_identifier_and_size_are_cut_in_one_order(spark):
+    """What a mix takes of such rows does not depend on how they are dealt."""
+    rows = [(1, "a", f"w{k} x y") for k in range(40)] + [(k, "b", "one two three four " * 5) for k in range(2, 60)]
+    took = []
+    for parts in (1, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(parts)
+        took.append(Counter((r.text, r.taken) for r in mix_sources(docs, share=0.7, keep=("text",)).where("doc_id = 1").collect()))
+    assert took[0] == took[1]
