@@ -27,13 +27,16 @@ from lodestone.llm.queries import rank_file
 def chosen(docs: DataFrame, stay: DataFrame) -> DataFrame:
     """The rows of docs whose identifier and text are in stay (doc_id, text_sha256); of rows that are equal in both, one.
 
-    Texts move once: the choice of one row needs no other partitioning than the join.
+    That one has the smallest hash of all other columns, so a retried task chooses
+    it again. Texts move once: the choice of one row needs no other partitioning
+    than the join.
     """
     ident = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NULL_ID))
     text = F.coalesce(F.col("row.text"), F.lit(""))
-    rows = docs.select(F.struct("*").alias("row")).select("row", ident("row.doc_id").alias("id"), F.sha2(text.cast("binary"), 256).alias("digest"))
+    others = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select(F.struct("*").alias("row")).select("row", F.xxhash64(F.lit(0), *others).alias("tie"), ident("row.doc_id").alias("id"), F.sha2(text.cast("binary"), 256).alias("digest"))
     rows = rows.join(stay.select(ident("doc_id").alias("id"), F.col("text_sha256").alias("digest")), ["id", "digest"], "left_semi")
-    same = W.partitionBy("id", "digest").orderBy(F.lit(0))
+    same = W.partitionBy("id", "digest").orderBy("tie")
     return rows.withColumn("number", F.row_number().over(same)).where("number = 1").select("row.*")
 
 
