@@ -183,8 +183,28 @@ def scanner(k: int):
     return run
 
 
-def meet(index: VectorIndex, probes: DataFrame, k: int) -> DataFrame:
-    """question, vec_id, distance, scanned of the blocks that probes (number, by..., query_vector, worst, cell, away) ask for."""
+def closer(batches):
+    """Rows (low, high, ids, data, queries): all vectors of a block within each query's own distance `worst`."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for r in range(len(batch)):
+            asked = batch.column("queries")[r].values
+            away, worst = asked.field("away").to_numpy(), asked.field("worst").to_numpy(zero_copy_only=False)
+            own = np.flatnonzero((away - batch.column("high")[r].as_py() <= worst + SLACK) & (batch.column("low")[r].as_py() - away <= worst + SLACK))
+            if not len(own):
+                continue
+            ids = np.frombuffer(batch.column("ids")[r].as_buffer(), "<i8")
+            data = np.frombuffer(batch.column("data")[r].as_buffer(), "<f8").reshape(len(ids), -1)
+            wanted, most = matrix(asked.field("query_vector"))[own], worst[own] ** 2
+            q, v = np.nonzero(squares(wanted, data) <= most[:, None] + SLACK)
+            exact = ((wanted[q] - data[v]) ** 2).sum(axis=1)
+            kept = exact <= most[q] * (1 + 1e-12)
+            yield pa.RecordBatch.from_arrays([pa.array(asked.field("number").to_numpy()[own][q[kept]]), pa.array(ids[v[kept]]), pa.array(exact[kept]), pa.array(np.zeros(int(kept.sum()), np.int64))], ["question", "vec_id", "distance", "scanned"])
+
+
+def meet(index: VectorIndex, probes: DataFrame, look) -> DataFrame:
+    """question, vec_id, distance, scanned, as `look` finds them in the blocks that probes (number, by..., query_vector, worst, cell, away) ask for."""
     keys = [*index.by, "cell"]
     order = W.partitionBy(*keys, F.pmod(F.xxhash64("number"), F.lit(64))).orderBy("number")
     batch = F.struct(F.pmod(F.xxhash64("number"), F.lit(64)), F.floor((F.row_number().over(order) - 1) / QUERIES)).alias("batch")
@@ -192,7 +212,7 @@ def meet(index: VectorIndex, probes: DataFrame, k: int) -> DataFrame:
     asked = asked.groupBy(*keys, "batch").agg(F.collect_list("q").alias("queries")).drop("batch")
     on = [index.blocks[c].eqNullSafe(asked[c]) for c in keys]
     pairs = index.blocks.join(asked, on).select("low", "high", "ids", "data", "queries")
-    return pairs.mapInArrow(scanner(k), "question long, vec_id long, distance double, scanned long")
+    return pairs.mapInArrow(look, "question long, vec_id long, distance double, scanned long")
 
 
 def search_index(index: VectorIndex, queries: DataFrame, k: int, probes: tuple[int, ...] = (4,), exact: bool = True) -> DataFrame:
@@ -220,7 +240,7 @@ def search_index(index: VectorIndex, queries: DataFrame, k: int, probes: tuple[i
         else:
             worst = found.where(f"rank = {k}").select("number", F.sqrt("distance").alias("worst"))
             known = known.join(worst, "number", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf"))))
-        rows = meet(index, known.mapInArrow(prober(means, reach, first, last), schema), k).withColumnRenamed("question", "number")
+        rows = meet(index, known.mapInArrow(prober(means, reach, first, last), schema), scanner(k)).withColumnRenamed("question", "number")
         if found is not None:
             rows = rows.unionByName(found.select("number", "vec_id", "distance", "scanned"))
         scanned = F.sum("scanned").over(W.partitionBy("number"))
@@ -233,3 +253,15 @@ def search_index(index: VectorIndex, queries: DataFrame, k: int, probes: tuple[i
     out = found.join(asked.select("number", "question_id"), "number")
     total = F.sum("scanned").over(W.partitionBy("number")).alias("scanned")
     return out.select("question_id", "vec_id", "distance", similarity_of("distance").alias("dense"), "rank", total)
+
+
+def within(index: VectorIndex, queries: DataFrame, distance: float) -> DataFrame:
+    """question_id, vec_id, distance of all vectors whose squared distance to a query (question_id: long, query_vector) is at most `distance`."""
+    spark = queries.sparkSession
+    asked = queries.where(F.col("query_vector").isNotNull() & ~F.exists("query_vector", lambda x: x.isNull()))
+    asked = asked.select(F.col("question_id").cast("long").alias("number"), *index.by, F.col("query_vector").cast("array<double>").alias("query_vector"), F.lit(float(np.sqrt(distance))).alias("worst"))
+    kinds = dict(asked.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in asked.columns) + ", cell int, away double"
+    means, reach = spark.sparkContext.broadcast(index.centroids), spark.sparkContext.broadcast(index.reach)
+    found = meet(index, asked.mapInArrow(prober(means, reach, 0, None), schema), closer)
+    return found.select(F.col("question").alias("question_id"), "vec_id", "distance")

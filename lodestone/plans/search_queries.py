@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions import constants as C
 from ..functions import questions as Q
 from ..functions import text as T
-from ..operators import answers, search
+from ..operators import answers, search, semantic_cache
 from .text_queries import DOCS, SQUASH, any_of, documents, quoted, table
 
 
@@ -75,6 +75,25 @@ def knn_by_label(spark, sf_dir):
     return hits.select("question_id", "vec_id", F.round("distance", 8).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+def semantic_cache_hits(spark, sf_dir):
+    """All vectors as questions, one after the other: which are answered by an earlier one within a squared distance of 1.2, and by which."""
+    rows = vectors(spark, sf_dir).select(F.col("vec_id").alias("question_id"), F.col("vec_id").alias("position"), F.col("embedding").alias("vector"))
+    found = semantic_cache.elect(rows, 1.2)
+    return found.select("question_id", "hit", F.col("entry_id").cast("long").alias("entry_id"), F.round("distance", 8).alias("distance"))
+
+
+SEMANTIC_CACHE_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings),
+p AS (SELECT b.vec_id AS later, a.vec_id AS earlier, {DISTANCE} AS distance FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id AND distance <= 1.2),
+n AS (SELECT v.vec_id, v.i, coalesce(list(earlier) FILTER (earlier IS NOT NULL), []) AS near FROM v LEFT JOIN p ON later = v.vec_id GROUP BY ALL),
+s AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS entries
+  UNION ALL SELECT n.i, CASE WHEN list_has_any(near, entries) THEN entries ELSE list_append(entries, n.vec_id) END FROM s JOIN n ON n.i = s.i + 1),
+e AS (SELECT unnest(entries) AS id FROM (SELECT entries FROM s ORDER BY i DESC LIMIT 1)),
+b AS (SELECT later, earlier, distance FROM p JOIN e ON e.id = earlier WHERE later NOT IN (SELECT id FROM e) QUALIFY row_number() OVER (PARTITION BY later ORDER BY distance, earlier) = 1)
+SELECT vec_id AS question_id, later IS NOT NULL AS hit, coalesce(earlier, vec_id) AS entry_id, round(distance, 8) AS distance FROM v LEFT JOIN b ON later = vec_id
+"""
+
+
 def dense_scope(spark, sf_dir):
     """What is left of ten nearest when the scope (the query's label) applies after the search, and what a scope before it finds."""
     queries = vector_queries(spark, sf_dir)
@@ -275,7 +294,7 @@ def extractive_answers(spark, sf_dir):
 
 
 QUERIES = {
-    "tfidf_search": tfidf_search, "knn_l2": knn_l2, "knn_by_label": knn_by_label, "dense_scope": dense_scope, "rrf_fusion": rrf_fusion, "relaxing_filter": relaxing_filter,
+    "tfidf_search": tfidf_search, "knn_l2": knn_l2, "knn_by_label": knn_by_label, "semantic_cache_hits": semantic_cache_hits, "dense_scope": dense_scope, "rrf_fusion": rrf_fusion, "relaxing_filter": relaxing_filter,
     "score_shapes": score_shapes, "query_profiles": query_profiles, "query_plans": query_plans, "overlaps": overlaps, "evidence_status": evidence_status,
     "extractive_answers": extractive_answers,
 }
@@ -284,6 +303,7 @@ ORACLE_SQL = {
     "tfidf_search": f"WITH {TFIDF_CTES} SELECT question_id, doc_id, round(lexical, 6) AS lexical, rank FROM top WHERE rank <= 4",
     "knn_l2": f"WITH {KNN}, t AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, vec_id) AS rank FROM k) SELECT question_id, vec_id, round(distance, 8) AS distance, round(1 / (1 + distance), 8) AS dense, rank FROM t WHERE rank <= 5",
     "knn_by_label": f"WITH {KNN}, t AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, vec_id) AS rank FROM k WHERE label = query_label) SELECT question_id, vec_id, round(distance, 8) AS distance, rank FROM t WHERE rank <= 3",
+    "semantic_cache_hits": SEMANTIC_CACHE_SQL,
     "dense_scope": DENSE_SCOPE_SQL,
     "rrf_fusion": RRF_SQL,
     "relaxing_filter": RELAXING_SQL,
