@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions import text as T
 from ..operators import evaluate, retention, search
 from ..sources.tables import new_folder
-from ..streaming import expiry
+from ..streaming import expiry, indexing
 from .search_queries import TFIDF_CTES, lexical_hits, questions_of
-from .text_queries import DOCS, documents, table
+from .text_queries import DOCS, SEMANTIC_BLOCKS_SQL, documents, table
 
 
 def labelled(spark, sf_dir) -> DataFrame:
@@ -147,6 +147,24 @@ HAVING max(ts) + INTERVAL 24 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM even
 """
 
 
+def index_build(spark, sf_dir):
+    """All documents as arriving files: what the stream builds, each text once, and how many files brought it."""
+    docs = table(spark, sf_dir, "documents")
+    at = new_folder(spark, "index")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents.parquet*").select(F.col("doc_id").cast("string").alias("file_name"), "text")
+    store = indexing.IndexStore(f"{at}/store")
+    indexing.index_stream(stream, store, f"{at}/check").awaitTermination()
+    brought = store.table(spark, "arrivals").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("files"))
+    return store.table(spark, "catalogue").join(brought, "fingerprint").select("fingerprint", "document_id", "files", "chars", "pages", "chunks")
+
+
+INDEX_BUILD_SQL = f"""
+WITH b AS ({SEMANTIC_BLOCKS_SQL}), c AS (SELECT doc_id, sum(1 + greatest(0, ceil((chars - 1200) / 1020.0)))::BIGINT AS chunks FROM b WHERE chars > 0 GROUP BY doc_id)
+SELECT sha256(coalesce(text, '')) AS fingerprint, left(sha256(coalesce(text, '')), 16) AS document_id, count(*) AS files, max(length(coalesce(text, ''))) AS chars, 1::BIGINT AS pages, coalesce(max(chunks), 0)::BIGINT AS chunks
+FROM documents LEFT JOIN c USING (doc_id) GROUP BY 1, 2
+"""
+
+
 def workspaces(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Orders as workspaces of customers, and the instant to look at them from."""
     orders = table(spark, sf_dir, "orders")
@@ -278,14 +296,14 @@ def customer_top_orders(spark, sf_dir):
 
 QUERIES = {
     "passage_hits": passage_hits, "dataset_averages": dataset_averages, "suite_summary": suite_summary, "latency_summary": latency_summary, "abstention": abstention,
-    "threshold_sweep": threshold_sweep, "sessions_24h": sessions_24h, "workspace_expiry": workspace_expiry, "active_workspaces": active_workspaces, "sweep_counts": sweep_counts, "workspace_sweep": workspace_sweep, "props_json": props_json,
+    "threshold_sweep": threshold_sweep, "sessions_24h": sessions_24h, "workspace_expiry": workspace_expiry, "index_build": index_build, "active_workspaces": active_workspaces, "sweep_counts": sweep_counts, "workspace_sweep": workspace_sweep, "props_json": props_json,
     "type_deltas": type_deltas, "duplicate_texts": duplicate_texts, "pricing_summary": pricing_summary, "region_revenue": region_revenue, "customer_top_orders": customer_top_orders,
 }
 
 ORACLE_SQL = {
     "passage_hits": PASSAGE_SQL,
     "dataset_averages": AVERAGES_SQL, "suite_summary": SUITE_SQL, "latency_summary": LATENCY_SQL, "abstention": ABSTENTION_SQL, "threshold_sweep": SWEEP_SQL, "sessions_24h": SESSIONS_SQL,
-    "workspace_expiry": EXPIRY_SQL, "active_workspaces": ACTIVE_SQL, "sweep_counts": SWEEP_COUNTS_SQL, "workspace_sweep": WORKSPACE_SWEEP_SQL, "type_deltas": DELTAS_SQL, "pricing_summary": PRICING_SQL, "region_revenue": REGION_SQL,
+    "workspace_expiry": EXPIRY_SQL, "index_build": INDEX_BUILD_SQL, "active_workspaces": ACTIVE_SQL, "sweep_counts": SWEEP_COUNTS_SQL, "workspace_sweep": WORKSPACE_SWEEP_SQL, "type_deltas": DELTAS_SQL, "pricing_summary": PRICING_SQL, "region_revenue": REGION_SQL,
     "props_json": "SELECT try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY 1",
     "duplicate_texts": f"WITH {DOCS} SELECT sha256(text) AS fingerprint, count(*) AS n FROM d GROUP BY 1 HAVING count(*) > 1",
     "customer_top_orders": "SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 3",
