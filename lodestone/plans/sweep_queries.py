@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import search, sweeps
+from ..operators import metrics, search, sweeps
 from ..sources.tables import written
 from .search_queries import QUERY_PLANS_SQL, RRF_SQL, lexical_hits, query_plans, questions_of, rrf_fusion
 from .text_queries import documents
@@ -118,6 +118,32 @@ fell AS (SELECT question_id, hit, mrr, 1 AS hit_after, CASE WHEN hit > 0 THEN mr
 SELECT fallbacks, {averages('coalesce(place <= fallbacks, false)')} FROM fell, {values(FALLBACKS, 'fallbacks')} GROUP BY fallbacks
 """
 
-QUERIES = {"planner_threshold_sweep": planner_threshold_sweep, "selector_gap_sweep": selector_gap_sweep, "fallback_sweep": fallback_sweep}
+def run_report(spark, sf_dir):
+    """What the stages of one retrieval run let through: questions, plans by route and those that a model would be asked about, hits, and fused candidates."""
+    run = metrics.Run()
+    questions = run.stage("questions", questions_of(spark, sf_dir), empty=F.count_if(F.col("question") == ""))
+    unsure = (F.col("confidence") < 0.7) & (F.col("route_confidence") <= 0.62)
+    routes = {r: F.count_if(F.col("preferred_route") == r) for r in ("chunk_first", "synopsis_first", "hybrid_both")}
+    run.stage("plans", query_plans(spark, sf_dir).where("question_id LIKE 'b%'"), model_calls=F.count_if(unsure), deterministic=F.count_if(~unsure), **routes)
+    fused = run.stage("fused", rrf_fusion(spark, sf_dir), by_both=F.count_if((F.col("lexical") > 0) & (F.col("dense") > 0)))
+    judged_ = run.stage("judged", judged(spark, sf_dir, fused), whole=F.count_if("whole"), first=F.count_if(F.col("whole") & (F.col("rank") == 1)))
+    run.stage("answered", questions.join(judged_.where("whole"), "question_id", "left_semi"))
+    return run.report(spark).select("stage", "metric", "value")
+
+
+RUN_REPORT_SQL = f"""
+WITH {CASES}, plans AS (SELECT *, confidence < 0.7 AND route_confidence <= 0.62 AS unsure FROM ({QUERY_PLANS_SQL}) WHERE question_id LIKE 'b%'),
+fused AS (SELECT * FROM r WHERE rank <= 12), judged AS (SELECT question_id, rank, {WHOLE} AS whole FROM fused t JOIN benchmark b ON b.item_id = question_id JOIN d ON d.doc_id = t.doc_id),
+m(stage, metric, value) AS (
+  SELECT 'questions', unnest(['rows', 'empty']), unnest([count(*), count(*) FILTER (coalesce(text, '') = '')]) FROM benchmark
+  UNION ALL SELECT 'plans', unnest(['rows', 'model_calls', 'deterministic', 'chunk_first', 'synopsis_first', 'hybrid_both']), unnest([count(*), count(*) FILTER (unsure), count(*) FILTER (NOT unsure),
+    count(*) FILTER (preferred_route = 'chunk_first'), count(*) FILTER (preferred_route = 'synopsis_first'), count(*) FILTER (preferred_route = 'hybrid_both')]) FROM plans
+  UNION ALL SELECT 'fused', unnest(['rows', 'by_both']), unnest([count(*), count(*) FILTER (round(lexical, 6) > 0 AND dense > 0)]) FROM fused
+  UNION ALL SELECT 'judged', unnest(['rows', 'whole', 'first']), unnest([count(*), count(*) FILTER (whole), count(*) FILTER (whole AND rank = 1)]) FROM judged
+  UNION ALL SELECT 'answered', 'rows', count(DISTINCT question_id) FILTER (whole) FROM judged)
+FROM m
+"""
+
+QUERIES = {"run_report": run_report, "planner_threshold_sweep": planner_threshold_sweep, "selector_gap_sweep": selector_gap_sweep, "fallback_sweep": fallback_sweep}
 
-ORACLE_SQL = {"planner_threshold_sweep": PLANNER_SWEEP_SQL, "selector_gap_sweep": GAP_SWEEP_SQL, "fallback_sweep": FALLBACK_SWEEP_SQL}
+ORACLE_SQL = {"run_report": RUN_REPORT_SQL, "planner_threshold_sweep": PLANNER_SWEEP_SQL, "selector_gap_sweep": GAP_SWEEP_SQL, "fallback_sweep": FALLBACK_SWEEP_SQL}
