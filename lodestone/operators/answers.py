@@ -182,6 +182,11 @@ def cached(questions: DataFrame, cache: DataFrame, *versions) -> tuple[DataFrame
     return keyed.join(cache, "cache_key"), keyed.join(cache.select("cache_key"), "cache_key", "left_anti")
 
 
+def without_fingerprints(cache: DataFrame, gone: DataFrame) -> DataFrame:
+    """A cache (cache_key, fingerprint, ...) without the answers on documents whose index is gone (fingerprint)."""
+    return cache.join(gone.select("fingerprint").distinct(), "fingerprint", "left_anti")
+
+
 def nearest_cached(distances: DataFrame, within: float = 0.2) -> DataFrame:
     """distances: question_id, cached_id, distance. The nearest cached question, if it is near enough."""
     nearest = distances.groupBy("question_id").agg(F.min(F.struct("distance", "cached_id")).alias("m"))

@@ -44,6 +44,11 @@ def access(requests: DataFrame, documents: DataFrame, now: Column) -> DataFrame:
     return rows.select("document_id", "user", F.when(~own, 404).when(expired("expires_at", now), 410).otherwise(200).alias("status"))
 
 
+def listing(documents: DataFrame, owner: Column, now: Column) -> DataFrame:
+    """An owner's documents that have not expired, the ones touched last first; ties by name."""
+    return visible(documents, owner, now).orderBy(F.col("last_activity_at").desc_nulls_last(), "document_id")
+
+
 def with_visible_parent(rows: DataFrame, documents: DataFrame, owner: Column, now: Column) -> DataFrame:
     """Rows of a child table for which a visible document exists."""
     return rows.join(visible(documents, owner, now).select("document_id"), "document_id", "left_semi")

@@ -164,3 +164,13 @@ def in_hard_scope(candidates: DataFrame, plans: DataFrame) -> DataFrame:
     allowed = hard.select("question_id", F.explode("targets").alias("section_id"))
     free = candidates.join(hard.select("question_id"), "question_id", "left_anti")
     return free.unionByName(candidates.join(allowed, ["question_id", "section_id"], "left_semi").select(*free.columns))
+
+
+def scope_notes(candidates: DataFrame, plans: DataFrame) -> DataFrame:
+    """question_id, removed, note of the questions with a hard scope: how many candidates in_hard_scope() takes out."""
+    kept = in_hard_scope(candidates, plans).groupBy("question_id").agg(F.count(F.lit(1)).alias("kept"))
+    had = candidates.groupBy("question_id").agg(F.count(F.lit(1)).alias("had"))
+    removed = F.coalesce("had", F.lit(0)) - F.coalesce("kept", F.lit(0))
+    hard = plans.where("strictness = 'hard' AND size(targets) > 0").select("question_id").join(had, "question_id", "left").join(kept, "question_id", "left")
+    rows = hard.select("question_id", removed.alias("removed"))
+    return rows.withColumn("note", F.when(F.col("removed") > 0, F.concat(F.lit("Hard scope removed "), F.col("removed").cast("string"), F.lit(" candidates from outside."))))

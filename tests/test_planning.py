@@ -219,3 +219,27 @@ def test_changed_questions_and_access(spark):
     now = F.lit(day).cast("timestamp")
     assert {(r.document_id, r.user): r.status for r in retention.access(asked, documents, now).collect()} == {("x", "u"): 200, ("y", "u"): 410, ("z", "u"): 404, ("none", "u"): 404, ("z", "v"): 200, ("y", "v"): 404}
     assert {r.document_id for r in retention.with_visible_parent(asked.select("document_id").distinct(), documents, F.lit("u"), now).collect()} == {"x"}
+
+
+def test_hard_scope_says_what_it_removed(spark):
+    plans = spark.createDataFrame([(1, "hard", ["a"]), (2, "hard", []), (3, "soft", ["a"]), (4, "hard", ["z"]), (5, "hard", ["a"])], "question_id int, strictness string, targets array<string>")
+    found = spark.createDataFrame([(1, "a", "r1"), (1, "b", "r2"), (1, None, "r3"), (2, "b", "r2"), (3, "b", "r2"), (4, "a", "r1"), (5, "a", "r1")], "question_id int, section_id string, record_id string")
+    assert {(r.question_id, r.record_id) for r in routes.in_hard_scope(found, plans).collect()} == {(1, "r1"), (2, "r2"), (3, "r2"), (5, "r1")}
+    notes = {r.question_id: (r.removed, r.note) for r in routes.scope_notes(found, plans).collect()}
+    assert notes == {1: (2, "Hard scope removed 2 candidates from outside."), 4: (1, "Hard scope removed 1 candidates from outside."), 5: (0, None)}
+
+
+def test_answers_of_gone_documents_and_an_owners_listing(spark):
+    cache = spark.createDataFrame([("k1", "f1"), ("k2", "f2"), ("k3", "f1")], "cache_key string, fingerprint string")
+    assert [r.cache_key for r in answers.without_fingerprints(cache, spark.createDataFrame([("f1",), ("f9",)], "fingerprint string")).collect()] == ["k2"]
+    at = datetime.datetime
+    rows = [("x", "u", at(2026, 1, 5), at(2026, 1, 1)), ("y", "u", at(2026, 1, 5), at(2026, 1, 2)), ("z", "u", at(2026, 1, 2), at(2026, 1, 1)), ("v", "w", None, None), ("n", "u", None, None)]
+    documents = spark.createDataFrame(rows, "document_id string, owner string, expires_at timestamp, last_activity_at timestamp")
+    now = F.lit(at(2026, 1, 2)).cast("timestamp")
+    assert [r.document_id for r in retention.listing(documents, F.lit("u"), now).collect()] == ["y", "x", "n"]
+
+
+def test_objective_of_planned_retrieval(spark):
+    rows = spark.createDataFrame([(1.0, 0.5, 1.0, 0.0, 1.0), (0.0, 0.0, 0.0, 1.0, 0.0)], "hit double, mrr double, section double, region double, plan double")
+    got = [r.o for r in rows.select(evaluate.objective_b("hit", "mrr", "section", "region", "plan").alias("o")).collect()]
+    assert got == pytest.approx([0.3 + 0.1 + 0.2 + 0.1, 0.2])
