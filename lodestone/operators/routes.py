@@ -156,12 +156,18 @@ def route_all(questions: DataFrame, chunks: DataFrame, synopses: DataFrame, edge
     return plans.withColumn("route_used", used), final, search.grade(questions, final)
 
 
+def hard_scopes(plans: DataFrame) -> DataFrame:
+    """question_id, scope of the plans whose scope is hard and named: the sections allowed, else the targets."""
+    named = F.when(F.coalesce(F.size("allowed"), F.lit(0)) > 0, F.col("allowed")).otherwise(F.col("targets")) if "allowed" in plans.columns else F.col("targets")
+    return plans.where("strictness = 'hard'").select("question_id", named.alias("scope")).where("size(scope) > 0")
+
+
 def in_hard_scope(candidates: DataFrame, plans: DataFrame) -> DataFrame:
     """Where a plan's scope is hard and named (column strictness), candidates from other sections go, after the merge."""
     if "strictness" not in plans.columns:
         return candidates
-    hard = plans.where("strictness = 'hard' AND size(targets) > 0")
-    allowed = hard.select("question_id", F.explode("targets").alias("section_id"))
+    hard = hard_scopes(plans)
+    allowed = hard.select("question_id", F.explode("scope").alias("section_id")).distinct()
     free = candidates.join(hard.select("question_id"), "question_id", "left_anti")
     return free.unionByName(candidates.join(allowed, ["question_id", "section_id"], "left_semi").select(*free.columns))
 
@@ -171,6 +177,6 @@ def scope_notes(candidates: DataFrame, plans: DataFrame) -> DataFrame:
     kept = in_hard_scope(candidates, plans).groupBy("question_id").agg(F.count(F.lit(1)).alias("kept"))
     had = candidates.groupBy("question_id").agg(F.count(F.lit(1)).alias("had"))
     removed = F.coalesce("had", F.lit(0)) - F.coalesce("kept", F.lit(0))
-    hard = plans.where("strictness = 'hard' AND size(targets) > 0").select("question_id").join(had, "question_id", "left").join(kept, "question_id", "left")
+    hard = hard_scopes(plans).select("question_id").join(had, "question_id", "left").join(kept, "question_id", "left")
     rows = hard.select("question_id", removed.alias("removed"))
     return rows.withColumn("note", F.when(F.col("removed") > 0, F.concat(F.lit("Hard scope removed "), F.col("removed").cast("string"), F.lit(" candidates from outside."))))

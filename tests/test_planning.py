@@ -225,6 +225,8 @@ def test_hard_scope_says_what_it_removed(spark):
     plans = spark.createDataFrame([(1, "hard", ["a"]), (2, "hard", []), (3, "soft", ["a"]), (4, "hard", ["z"]), (5, "hard", ["a"])], "question_id int, strictness string, targets array<string>")
     found = spark.createDataFrame([(1, "a", "r1"), (1, "b", "r2"), (1, None, "r3"), (2, "b", "r2"), (3, "b", "r2"), (4, "a", "r1"), (5, "a", "r1")], "question_id int, section_id string, record_id string")
     assert {(r.question_id, r.record_id) for r in routes.in_hard_scope(found, plans).collect()} == {(1, "r1"), (2, "r2"), (3, "r2"), (5, "r1")}
+    named = plans.where("question_id IN (1, 5)").withColumn("allowed", F.when(F.col("question_id") == 1, F.array(F.lit("b"))).otherwise(F.expr("CAST(array() AS array<string>)")))
+    assert {(r.question_id, r.record_id) for r in routes.in_hard_scope(found.where("question_id IN (1, 5)"), named).collect()} == {(1, "r2"), (5, "r1")}
     notes = {r.question_id: (r.removed, r.note) for r in routes.scope_notes(found, plans).collect()}
     assert notes == {1: (2, "Hard scope removed 2 candidates from outside."), 4: (1, "Hard scope removed 1 candidates from outside."), 5: (0, None)}
 
