@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions import constants as C
 from ..functions import rules as R
 from ..functions import text as T
-from ..operators import chunking, search, structure, topology
+from ..operators import chunking, scan, search, structure, topology
 from ..sources.tables import written
 
 
@@ -313,13 +313,39 @@ SELECT user_id, event_type, count(*) AS events, min(event_id) AS first_id FROM r
 """
 
 
+#: Of each event type, how much of a user's path it leaves; other types leave all and are not on it.
+CUTS = {"signup": 0, "view": 1, "click": 2, "purchase": 3}
+
+
+def event_paths(spark, sf_dir):
+    """For each event the path of its user after it, the error before it, and its number: carries as from page to page."""
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    cut = F.element_at(F.create_map(*[F.lit(x) for p in CUTS.items() for x in p]), F.col("event_type"))
+    failed = F.when(F.col("event_type") == "error", F.col("event_id"))
+    events = scan.ranged(rows, ["user_id"], ["ts", "event_id"]).sums({"number": F.lit(1)}).last({"error_before": failed})
+    paths = events.stacks("path", F.when(cut.isNotNull(), F.array(F.struct(cut.alias("cut"), F.col("event_type").alias("value")))))
+    return paths.rows.select("user_id", "event_id", "number", "error_before", F.array_join("path", ">").alias("path"))
+
+
+EVENT_PATHS_SQL = f"""
+WITH e AS (SELECT *, CASE event_type {" ".join(f"WHEN '{t}' THEN {c}" for t, c in CUTS.items())} END AS cut FROM events),
+k AS (SELECT *, count(cut) OVER o AS k FROM e WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT *, k + least(0, coalesce(min(cut + 1 - k) OVER o, 0)) AS depth FROM k WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS number,
+  last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS error_before,
+  [{", ".join(f"last_value(CASE WHEN cut IS NOT NULL AND depth = {i} THEN event_type END IGNORE NULLS) OVER o" for i in range(1, max(CUTS.values()) + 2))}] AS a
+  FROM d WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+SELECT user_id, event_id, number, error_before, coalesce(array_to_string(a[1:depth], '>'), '') AS path FROM p
+"""
+
+
 def enriched_pages(spark, sf_dir) -> DataFrame:
     pages = as_pages(documents(spark, sf_dir)).withColumn("document_id", F.col("document_id").cast("string"))
     return structure.enrich_pages(written(pages, "pages"))
 
 
 def page_structure(spark, sf_dir):
-    """Headings, kinds and clauses of all pages, by the fold over each document."""
+    """Headings, kinds and clauses of all pages, carried through each document."""
     return enriched_pages(spark, sf_dir).select("document_id", "page_no", "page_label", "section_heading", F.array_join("section_path", " > ").alias("section_path"), F.array_join("clause_ids", ",").alias("clause_ids"), "section_kind", "content_type")
 
 
@@ -341,7 +367,7 @@ QUERIES = {
     "doc_fingerprint": doc_fingerprint, "doc_lines": doc_lines, "line_flags": line_flags, "page_heading_guess": page_heading_guess, "overlap_chunks": overlap_chunks,
     "semantic_blocks": semantic_blocks, "line_continuations": line_continuations, "sentences_top3": sentences_top3, "key_terms": key_terms, "doc_classes": doc_classes,
     "region_kinds": region_kinds, "front_section": front_section, "section_adjacency": section_adjacency, "similar_turns": similar_turns, "neighbour_turns": neighbour_turns,
-    "role_runs": role_runs, "page_structure": page_structure, "section_topology": section_topology, "chunk_table": chunk_table,
+    "role_runs": role_runs, "event_paths": event_paths, "page_structure": page_structure, "section_topology": section_topology, "chunk_table": chunk_table,
 }
 
 ORACLE_SQL = {
@@ -360,4 +386,5 @@ ORACLE_SQL = {
     "similar_turns": SIMILAR_TURNS_SQL,
     "neighbour_turns": NEIGHBOUR_TURNS_SQL,
     "role_runs": ROLE_RUNS_SQL,
+    "event_paths": EVENT_PATHS_SQL,
 }

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lodestone.operators import chunking, structure
 from lodestone.operators.scan import play, ranged
 
 SCHEMA = "g string, n int, v string, c int, events array<struct<cut: int, value: string>>, _x int"
@@ -70,3 +71,38 @@ def test_summaries_merge_in_any_grouping():
         play(whole, events)
         play(short, parts)
         assert whole == short
+
+
+def test_long_document(spark):
+    """A document of 3,000 pages, in many ranges: paths, clauses and chunk numbers go through it whole."""
+    pick = random.Random(4)
+    heads = ["References", "1.1 Study Design", "1.2.1 Outcome Measures", "2.1.3.4 Dose Levels", "3.1 Follow Up", "", "", ""]
+    taken = [pick.choice(heads) for _ in range(3000)]
+    text = lambda h: (h + "\n" if h else "") + "the patients in this group were seen again after some weeks."
+    rows = [("long", i, f"Page {i + 1}", text(h), "") for i, h in enumerate(taken)] + [("short", 0, "Page 1", text("References"), "")]
+    table = spark.createDataFrame(rows, "document_id string, page_no int, page_label string, text string, section_heading string")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        found = structure.enrich_pages(table).collect()
+        got = {(r.document_id, r.page_no): (r.section_heading, r.section_path, r.clause_ids) for r in found}
+        chunks = chunking.chunk_pages(table.withColumn("section_kind", F.lit("general"))).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    path, clauses, heading, want = [], [], "", {}
+    for i, h in enumerate(taken):
+        number, _, title = h.partition(" ") if h[:1].isdigit() else ("", "", h)
+        if h:
+            parts = number.count(".") + 1
+            path = (path[: max(parts - 2, 0)] if number else []) + [title]
+            heading = title
+        if number:
+            clauses = clauses[: parts - 1] + [number]
+        want[i] = heading, path, [number] if number else clauses[-2:]
+    first = next(i for i, h in enumerate(taken) if h)
+    assert first < 100 and {i: got["long", i] for i in range(first, 3000)} == {i: w for i, w in want.items() if i >= first}
+    assert got["short", 0][:2] == ("References", ["References"])
+    numbers = sorted((r.page_no, r.chunk_index) for r in chunks if r.document_id == "long")
+    assert [n for _, n in numbers] == list(range(len(numbers))) and len(numbers) >= 3000
