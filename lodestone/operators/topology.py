@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import constants as C
 from ..functions import rules as R
 from ..functions.text import col, contains_any, distinct_by_case, first_distinct, key_tokens, keyword_overlap, let, page_number, question_terms, sentences, shared
+from .similar_sets import most_similar
 
 
 def key_terms(rows: DataFrame, key: list[str], text: Column, top: int = 8) -> DataFrame:
@@ -74,23 +75,10 @@ def build_edges(synopses: DataFrame, least: float = 0.2, top: int = 2) -> DataFr
         edge(after, "previous_next", F.lit(1.0))
         .unionByName(edge(up, "parent_child", F.lit(1.0)))
         .unionByName(edge(kin, "same_region_family", F.lit(0.75)))
-        .unionByName(edge(similar_pairs(synopses, ["document_id"], "section_id", "key_terms", least, top), "semantic_neighbor", F.col("similarity")))
+        .unionByName(edge(most_similar(synopses, ["document_id"], "section_id", "key_terms", least, top), "semantic_neighbor", F.col("similarity")))
     )
 
 
-def similar_pairs(rows: DataFrame, within: list[str], key: str, terms: str, least: float, top: int) -> DataFrame:
-    """Per row the most similar others by Jaccard similarity of their terms.
-
-    Only pairs that share a term are formed: an equi-join on terms, not a cross join.
-    """
-    one = rows.select(*within, F.col(key).alias("source"), F.size(F.array_distinct(terms)).alias("_n"), F.explode(F.array_distinct(terms)).alias("_t"))
-    two = one.select(*within, F.col("source").alias("target"), F.col("_n").alias("_m"), "_t")
-    pairs = one.join(two, [*within, "_t"]).where("source != target").groupBy(*within, "source", "target", "_n", "_m").agg(F.count(F.lit(1)).alias("_c"))
-    scored = pairs.withColumn("similarity", F.col("_c") / (F.col("_n") + F.col("_m") - F.col("_c"))).where(F.col("similarity") >= least)
-    ranked = scored.withColumn("_r", F.row_number().over(W.partitionBy(*within, "source").orderBy(F.desc("similarity"), "target")))
-    return ranked.where(F.col("_r") <= top).select(*within, "source", "target", "similarity")
-
-
 def expand_scope(seeds: DataFrame, edges: DataFrame, edge_types: tuple[str, ...] = (), top: int = 2) -> DataFrame:
     """Neighbours of seed sections over one edge, the heaviest first. seeds: document_id, source and what else should stay."""
     own = edges.where(F.col("edge_type").isin(*edge_types)) if edge_types else edges

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions import constants as C
 from ..functions import rules as R
 from ..functions import text as T
-from ..operators import chunking, scan, search, structure, topology
+from ..operators import chunking, scan, search, similar_sets, structure, topology
 from ..sources.tables import written
 
 
@@ -264,7 +264,7 @@ def similar_turns(spark, sf_dir):
     """Of the turns of a conversation the two most alike to each, by key terms."""
     rows = sections_of(spark, sf_dir)
     terms = topology.key_terms(rows, ["conv_id", "turn"], F.col("text"))
-    pairs = topology.similar_pairs(terms, ["conv_id"], "turn", "key_terms", 0.2, 2)
+    pairs = similar_sets.most_similar(terms, ["conv_id"], "turn", "key_terms", 0.2, 2)
     return pairs.select("conv_id", "source", "target", F.round("similarity", 9).alias("similarity"))
 
 
