@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lodestone.operators.similar_sets import distinct_sets, meetings, most_similar
+from lodestone.operators.similar_sets import bucketed, distinct_sets, meetings, most_similar
 
 SCHEMA = "d string, k int, terms array<string>, _t int"
 
@@ -28,10 +28,10 @@ def made(seed: int) -> list:
     return rows + [(None, 1, ["x"], 1), (None, 2, ["x"], 1), ("hot", None, ["all"], 1)]
 
 
-@pytest.mark.parametrize("least, top", [(0.2, 2), (0.5, 1), (0.7, 3)])
-def test_against_all_pairs(spark, least, top):
+@pytest.mark.parametrize("least, top, often", [(0.2, 2, 256), (0.2, 2, 8), (0.2, 3, 0), (0.5, 1, 20), (0.7, 3, 256)])
+def test_against_all_pairs(spark, least, top, often):
     rows = made(top)
-    got = most_similar(spark.createDataFrame(rows, SCHEMA), ["d"], "k", "terms", least, top).collect()
+    got = most_similar(spark.createDataFrame(rows, SCHEMA), ["d"], "k", "terms", least, top, often).collect()
     assert len(got) == len({(r.d, r.source, r.target) for r in got})
     assert {(r.d, r.source, r.target, r.similarity) for r in got} == plain(rows, least, top)
 
@@ -40,9 +40,18 @@ def test_none(spark):
     assert most_similar(spark.createDataFrame([], SCHEMA), ["d"], "k", "terms", 0.2, 2).collect() == []
 
 
-def test_a_common_term_makes_no_pairs(spark):
-    """400 sets with three terms in common and five of their own each: similar by 3/13, which asks for the common terms, but not by 0.35."""
+def test_common_terms_make_no_pairs(spark):
+    """400 sets with three terms in common and five of their own each: all pairs are similar, none is made but those kept."""
     rows = [("d", k, ["x", "y", "z"] + [f"{k}-{i}" for i in range(5)], 0) for k in range(400)]
-    _, sets = distinct_sets(spark.createDataFrame(rows, SCHEMA), ["d"], "k", "terms", 2)
-    assert meetings(sets, sets, ["d"], 0.35).count() == 0
-    assert meetings(sets, sets, ["d"], 0.2).count() == 400 * 399
+    table = spark.createDataFrame(rows, SCHEMA)
+    _, sets = distinct_sets(table, ["d"], "k", "terms", 2)
+    assert meetings(sets, sets, ["d"], 0.2).count() == 0
+    assert bucketed(sets, sets, ["d"], 0.2, 2).count() <= 3 * 400
+    got = most_similar(table, ["d"], "k", "terms", 0.2, 2).collect()
+    assert {(r.d, r.source, r.target, r.similarity) for r in got} == plain(rows, 0.2, 2)
+
+
+def test_large_sets_are_an_error(spark):
+    table = spark.createDataFrame([("d", 1, [str(i) for i in range(17)], 0)], SCHEMA)
+    with pytest.raises(Exception, match="more than 16 terms"):
+        most_similar(table, ["d"], "k", "terms", 0.2, 2).collect()
