@@ -23,10 +23,10 @@ restored words of a document, each by its strongest evidence, are counted; with
 n words in all, k of a kind of evidence and a rate r of it among the words of
 clean rows, each kind with k > n r says k log(k / (n r)) - k + n r: how far the
 count lies over what a clean text of that length has. The sum goes through a
-logistic curve fitted on the same rows. Labels are learnt from a sample of
-`sample_rows` labelled rows (a bound, chosen by a hash of the identifier), of
-which only copies with the same label go: texts with equal sets of words, and
-such as share 80 % of them. Scoring covers all rows and whole texts.
+logistic curve fitted on the same rows. Labels are learnt from all labelled rows
+outside the held-out fold, of which only copies with the same label go: texts
+with equal sets of words, and such as share 80 % of them. Scoring covers all rows
+and whole texts.
 
 Defined results: a null or empty text has no evidence and gets the curve's
 value at 0; without training rows of both labels every score is 0; rows with
@@ -44,9 +44,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructType
 
-from .common import crc_mod, materialize, whole_text, wider
+from .common import C1, C2, crc_mod, drop_frame, materialize, mix, whole_text, wider
 
 #: Letters that other characters are written for.
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t"}
@@ -307,30 +307,133 @@ class Reader:
         return n, found
 
 
-def feature_counts(batches):
-    """(feature, rows and occurrences, toxic and clean) of each batch; the empty feature counts all rows and words."""
-    import pyarrow as pa
+def feature_counts(wanted=None, most: int = 300_000):
+    """(feature, n, words): the rows and occurrences of each feature of some rows (text), summed over a part of them.
+
+    The empty feature counts all rows and words; "~" and three letters is a
+    trigram, counted once for each word of each row. With a filter (see
+    bits_of()), features that it denies are left out.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        bits = None if wanted is None else np.frombuffer(wanted.value, np.uint8)
+        known: dict[str, tuple[str, ...]] = {}
+        counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+        seen: Counter = Counter()
+
+        def passes(f: str) -> bool:
+            at = xxhash.xxh64_intdigest(f.encode(), 42) % FILTER_BITS
+            return bool(bits[at >> 3] >> (at & 7) & 1)
+
+        def flushed():
+            for word, n in seen.items():
+                w = f"^^{word}$"
+                for i in range(len(w) - 2):
+                    counts["~" + w[i : i + 3]][0] += n
+            out = pa.RecordBatch.from_pydict({"feature": pa.array(list(counts), pa.string())} | {c: pa.array([v[i] for v in counts.values()], pa.int64()) for i, c in enumerate(("n", "words"))})
+            counts.clear()
+            seen.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                text, own = text.lower(), {}
+                for word, k in Counter(LETTERS.findall(text)).items():
+                    seen[word] += 1
+                    of = known.get(word)
+                    if of is None:
+                        of = known[word] = tuple(f for f in features(word) if bits is None or passes(f))
+                    for f in of:
+                        own[f] = own.get(f, 0) + k
+                own[""] = len(text.split())
+                for f, k in own.items():
+                    both = counts[f]
+                    both[0] += 1
+                    both[1] += k
+                if len(counts) + len(seen) > most:
+                    yield flushed()
+                if len(known) > most:
+                    known.clear()
+        if counts:
+            yield flushed()
+
+    return run
 
-    for batch in batches:
-        counts: dict = defaultdict(lambda: [0, 0, 0, 0])
-        for text, toxic in set(zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist())):
-            text, own = text.lower(), Counter()
-            for word, k in Counter(LETTERS.findall(text)).items():
-                for f in features(word):
-                    own[f] += k
-            own[""] = len(text.split())
-            for f, k in own.items():
-                counts[f][1 - toxic] += 1
-                counts[f][3 - toxic] += k
-        yield pa.RecordBatch.from_pydict({"feature": pa.array(list(counts), pa.string())} | {c: pa.array([v[i] for v in counts.values()], pa.int64()) for i, c in enumerate(("toxic", "clean", "toxic_words", "clean_words"))})
 
+#: Bits of the filters that keep rows and features out of shuffles. They never deny what they were made of.
+FILTER_BITS = 1 << 24
 
-def training_rows(docs: DataFrame, labels: DataFrame, folds: int, sample_rows: int) -> DataFrame:
-    """(doc_id, text, toxic) of at most sample_rows labelled rows whose crc32 modulo folds is not 0."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sample = known.where(crc_mod("doc_id", folds) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    # At most sample_rows pairs of integers: the bound is the parameter.
-    return docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(sample), "doc_id")
+
+def bits_of(rows: DataFrame, name: str):
+    """A filter of the strings in a column, for tasks: its size does not depend on the rows."""
+    at = F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
+    found = rows.select(at.alias("at")).groupBy(F.shiftright("at", 3).alias("byte")).agg(F.expr("bit_or(shiftleft(1, CAST(at % 8 AS INT)))").alias("bits")).toPandas()
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    bits[found["byte"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return rows.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
+def keeper(wanted):
+    """The rows whose identifier passes a filter."""
+
+    def run(batches):
+        bits = np.frombuffer(wanted.value, np.uint8)
+        import pyarrow as pa
+
+        for batch in batches:
+            at = batch.column("_at").to_numpy()
+            yield batch.filter(pa.array(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)).select(["doc_id", "text"])
+
+    return run
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, folds: int) -> DataFrame:
+    """(doc_id, text, toxic) of all labelled rows whose crc32 modulo folds is not 0."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(crc_mod("doc_id", folds) != 0)
+    name = F.col("doc_id").cast("string")
+    wanted = bits_of(known.select(name.alias("name")), "name")
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", whole_text().alias("text"), F.pmod(F.xxhash64(name), F.lit(FILTER_BITS)).alias("_at"))
+    # Texts without a label stay where they are; the join is by the identifier itself.
+    rows = rows.mapInArrow(keeper(wanted), StructType([f for f in rows.schema.fields if f.name != "_at"]))
+    return rows.join(known, "doc_id")
+
+
+#: Salts of the min-hashes, two for each band.
+SALTS = np.array([(k * 0x9E3779B97F4A7C15 + 0x1234567) & (2**64 - 1) for k in range(1, 17)], np.uint64)
+
+
+def signer(bands: int):
+    """Rows with a digest of their set of words, 32-bit hashes of it and a hash for each band of two min-hashes."""
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            digests, sets, hashes = [], [], []
+            for text in batch.column("text").to_pylist():
+                words = sorted(set(LETTERS.findall(text.lower())))
+                digests.append(hashlib.sha256(" ".join(words).encode()).digest())
+                h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in words), np.uint64, len(words))
+                sets.append(np.unique(h.astype(np.uint32)).view(np.int32))
+                if len(h):
+                    t = (h[None, :] ^ SALTS[: 2 * bands, None]) * C2
+                    t ^= t >> np.uint64(32)
+                    t *= C1
+                    t ^= t >> np.uint64(29)
+                    least = t.min(1)
+                    hashes.append(mix(least[0::2], least[1::2]).view(np.int64))
+                else:
+                    hashes.append(None)
+            new = [pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "_set", "_words", "_bands"])
+
+    return run
 
 
 def without_copies(rows: DataFrame, percent: int = 80, bands: int = 8) -> DataFrame:
@@ -342,49 +445,56 @@ def without_copies(rows: DataFrame, percent: int = 80, bands: int = 8) -> DataFr
     each row is held against the smallest of each of its bands' groups, so that a
     group of thousands of near copies makes no more pairs than rows and bands.
     """
-    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))))
-    rows = rows.withColumn("_set", F.sha2(F.array_join(words, " ").cast("binary"), 256))
-    rows = materialize(rows.groupBy("toxic", "_set").agg(F.min(F.struct("doc_id", "text")).alias("_row")).select("toxic", "_set", "_row.*"), "labelled")
-    sets = rows.select("toxic", F.struct("doc_id", "_set").alias("_key"), F.transform(words, lambda w: F.xxhash64(w)).alias("_words")).where(F.size("_words") > 0)
-    least = lambda k: F.array_min(F.transform("_words", lambda w: F.xxhash64(w, F.lit(k))))
-    hashes = sets.select("toxic", "_key", F.posexplode(F.array(*[F.xxhash64(least(2 * k), least(2 * k + 1)) for k in range(bands)])).alias("_band", "_hash"))
-    first = hashes.groupBy("toxic", "_band", "_hash").agg(F.min("_key").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    pairs = hashes.join(first, ["toxic", "_band", "_hash"]).where("_key != _first").select("toxic", "_key", "_first").distinct()
-    other = sets.select("toxic", F.col("_key").alias("_first"), F.col("_words").alias("_others"))
+    rows = rows.select("doc_id", "text", "toxic")
+    schema = wider(rows, ("_set", BinaryType()), ("_words", ArrayType(IntegerType())), ("_bands", ArrayType(LongType())))
+    signed = materialize(rows.mapInArrow(signer(bands), schema).withColumn("_id", F.monotonically_increasing_id()), "labelled")
+    key = F.struct("doc_id", "_id")
+    first = signed.groupBy("toxic", "_set").agg(F.min(key).alias("_key")).select("toxic", "_key")
+    one = signed.select("toxic", key.alias("_key"), "_bands").join(first, ["toxic", "_key"], "left_semi")
+    hashes = one.where("_bands IS NOT NULL").select("toxic", "_key", F.posexplode("_bands").alias("_band", "_hash"))
+    least = hashes.groupBy("toxic", "_band", "_hash").agg(F.min("_key").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    pairs = hashes.join(least, ["toxic", "_band", "_hash"]).where("_key != _first").select("_key", "_first").distinct()
+    sets = signed.select(key.alias("_key"), "_words")
+    other = sets.select(F.col("_key").alias("_first"), F.col("_words").alias("_others"))
     both = F.size(F.array_intersect("_words", "_others"))
-    alike = pairs.join(sets, ["toxic", "_key"]).join(other, ["toxic", "_first"]).where(100 * both >= percent * (F.size("_words") + F.size("_others") - both))
-    gone = alike.select("toxic", F.col("_key.doc_id").alias("doc_id"), F.col("_key._set").alias("_set")).distinct()
-    return rows.join(gone, ["toxic", "doc_id", "_set"], "left_anti").select("doc_id", "text", "toxic")
+    alike = pairs.join(sets, "_key").join(other, "_first").where(100 * both >= percent * (F.size("_words") + F.size("_others") - both))
+    stay = materialize(first.select("_key").join(alike.select("_key"), "_key", "left_anti").select("_key._id"), "kept")
+    kept = materialize(signed.join(stay, "_id", "left_semi").select("doc_id", "text", "toxic"), "training")
+    drop_frame(signed)
+    return kept
 
 
-def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = 12_000, least_count: int = 3, least_odds: float = 4.5, often: tuple[int, float, float] = (8, 1.0, 2.5)) -> dict:
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, least_count: int = 3, least_odds: float = 4.5, often: tuple[int, float, float] = (8, 1.0, 2.5)) -> dict:
     """The model: weights and clean rates of evidence, counts for the letters, the curve.
 
     Evidence is in least_count toxic rows or more with smoothed log odds of
     least_odds, or in often[0] with log odds of often[1] by rows and often[2] by
-    occurrences.
+    occurrences. Features of fewer toxic rows can't be any, so clean rows count
+    only the others, and those that a filter of them lets through.
     """
     # Near copies would make every word of theirs look like evidence.
-    rows = materialize(without_copies(training_rows(docs, labels, folds, sample_rows)), "training")
-    kinds = ["toxic", "clean", "toxic_words", "clean_words"]
-    counts = rows.select("text", "toxic").mapInArrow(feature_counts, "feature string, toxic long, clean long, toxic_words long, clean_words long").groupBy("feature").agg(*[F.sum(c).alias(c) for c in kinds])
-    counts = materialize(counts, "features")
+    rows = without_copies(training_rows(docs, labels, folds))
+    count = lambda toxic, wanted=None: rows.where(F.col("toxic") == toxic).select("text").mapInArrow(feature_counts(wanted), "feature string, n long, words long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    toxic = materialize(count(1), "toxic-features").selectExpr("feature", "n AS toxic", "words AS toxic_words")
+    enough = toxic.where((F.col("toxic") >= min(least_count, often[0])) | (F.col("feature") == "") | F.startswith("feature", F.lit("~")))
+    clean = count(0, bits_of(enough.where(~F.startswith("feature", F.lit("~"))), "feature")).selectExpr("feature", "n AS clean", "words AS clean_words")
+    clean = materialize(clean, "clean-features")
+    counts = materialize(enough.join(clean, "feature", "left").fillna(0).unionByName(clean.where("feature LIKE '~%'").join(enough, "feature", "left_anti").withColumns({"toxic": F.lit(0).cast("long"), "toxic_words": F.lit(0).cast("long")})), "features")
     total = counts.where("feature = ''").first()
     if not total or not total["toxic"] or not total["clean"]:
         return {"weights": {}, "rates": {}, "letters": {}, "slope": 0.0, "base": -math.inf}
     share = lambda c: F.log((F.col(c) + 0.5) / (total[c] + 1.0))
-    odds = counts.where("feature != ''").withColumn("by_rows", share("toxic") - share("clean")).withColumn("w", share("toxic_words") - share("clean_words"))
+    odds = counts.where("feature != '' AND feature NOT LIKE '~%'").withColumn("by_rows", share("toxic") - share("clean")).withColumn("w", share("toxic_words") - share("clean_words"))
     strong = (F.col("toxic") >= least_count) & (F.col("by_rows") >= least_odds)
     frequent = (F.col("toxic") >= often[0]) & (F.col("by_rows") >= often[1]) & (F.col("w") >= often[2])
     found = odds.where(strong | frequent).orderBy("feature").collect()
     weights = specific({r["feature"]: (r["w"], r["toxic"]) for r in found})
     rates = {r["feature"]: (r["clean_words"] + 0.5) / (total["clean_words"] + 1.0) for r in found if r["feature"] in weights}
     # The letters' model counts all words; those of the evidence weigh as the most frequent
-    # one: an obfuscated word is rather one of these.
-    words = counts.where("feature LIKE '=%'").select(F.concat(F.lit("^^"), F.substr("feature", F.lit(2)), F.lit("$")).alias("w"), (F.col("toxic") + F.col("clean")).alias("n"))
-    each = words.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substr("w", i, F.lit(3)))).alias("x"))
-    trigrams = {r["x"]: r["n"] for r in each.groupBy("x").agg(F.sum("n").alias("n")).orderBy("x").collect()}
-    heavy = words.agg(F.max("n").alias("n")).first()["n"] or 1
+    # one of toxic rows: an obfuscated word is rather one of these.
+    n = F.col("toxic") + F.col("clean")
+    trigrams = {r["x"]: r["n"] for r in counts.where("feature LIKE '~%'").select(F.substr("feature", F.lit(2)).alias("x"), n.alias("n")).orderBy("x").collect()}
+    heavy = counts.where("feature LIKE '=%'").agg(F.max(n).alias("n")).first()["n"] or 1
     letters = {f.lstrip("="): heavy for f in weights}
     model = {"weights": weights, "rates": rates, "letters": letters, "trigrams": trigrams}
     seen = rows.select("text", "toxic").mapInArrow(sum_maker(model), "s double, toxic int").groupBy("s", "toxic").count().collect()

@@ -380,6 +380,19 @@ def test_toxicity_keeps_rare_evidence_of_many_rows(spark):
     assert all(f"^^{once}$"[i : i + 3] in model["trigrams"] for i in range(len(once)))
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 9))
+    rows = [(k, " ".join([*(word() for _ in range(6)), *(["zorgle"] if k % 50 == 0 else [])]), int(k % 50 == 0)) for k in range(20_000)]
+    unlabelled = [(10**6 + k, "zorgle " + word()) for k in range(50)]
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    model = toxicity.learn(frame(spark, [r[:2] for r in rows] + unlabelled), labels)
+    learnt = [x for i, _, x in rows if zlib.crc32(str(i).encode()) % 5]
+    t, c = sum(learnt), len(learnt) - sum(learnt)
+    assert abs(model["weights"]["=zorgle"] - np.log((t + 0.5) / (7 * t + 1)) + np.log(0.5 / (6 * c + 1))) < 1e-9
+    assert abs(model["rates"]["=zorgle"] - 0.5 / (6 * c + 1)) < 1e-12
+
+
 def test_empty_tables_and_clashing_names(spark):
     kinds = "doc_id long, text string, source string"
     empty = spark.createDataFrame([], kinds + ", ids int, _id string")
