@@ -41,10 +41,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import C1, C2, crc_mod, drop_frame, materialize, mix, whole_text, wider
 
@@ -320,44 +321,62 @@ def feature_counts(wanted=None, most: int = 300_000):
         import xxhash
 
         bits = None if wanted is None else np.frombuffer(wanted.value, np.uint8)
-        known: dict[str, tuple[str, ...]] = {}
-        counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        seen: Counter = Counter()
+        seen, occurs, rows, all_of = Counter(), Counter(), Counter(), [0, 0]
 
-        def passes(f: str) -> bool:
-            at = xxhash.xxh64_intdigest(f.encode(), 42) % FILTER_BITS
-            return bool(bits[at >> 3] >> (at & 7) & 1)
+        class Passing(dict):
+            def __missing__(self, f: str) -> bool:
+                at = xxhash.xxh64_intdigest(f.encode(), 42) % FILTER_BITS
+                self[f] = found = bits is None or bool(bits[at >> 3] >> (at & 7) & 1)
+                return found
+
+        class Heads(dict):
+            """The beginnings of words; a longer one has no more rows than a shorter one, so the first that fails ends them."""
+
+            def __missing__(self, word: str) -> tuple[str, ...]:
+                out = []
+                for n in BEGINNINGS:
+                    if len(word) < n or not passing[word[:n]]:
+                        break
+                    out.append(word[:n])
+                self[word] = found = tuple(out)
+                return found
+
+        passing, heads = Passing(), Heads()
 
         def flushed():
+            counts: dict[str, list[int]] = {f: [n, 0] for f, n in rows.items()}
+            for word, k in occurs.items():
+                for f in heads[word]:
+                    counts[f][1] += k
+                if (len(word) < BEGINNINGS[0] or heads[word]) and passing["=" + word]:
+                    counts["=" + word] = [seen[word], k]
+            by_number, trigrams = defaultdict(list), Counter()
             for word, n in seen.items():
-                w = f"^^{word}$"
-                for i in range(len(w) - 2):
-                    counts["~" + w[i : i + 3]][0] += n
-            out = pa.RecordBatch.from_pydict({"feature": pa.array(list(counts), pa.string())} | {c: pa.array([v[i] for v in counts.values()], pa.int64()) for i, c in enumerate(("n", "words"))})
-            counts.clear()
-            seen.clear()
-            return out
+                by_number[n].append(word)
+            for n, words in by_number.items():
+                line = "^^" + "$^^".join(words) + "$"
+                for x, k in Counter(zip(line, line[1:], line[2:])).items():
+                    if x[0] != "$" and x[1:] != ("$", "^"):
+                        trigrams["~" + "".join(x)] += n * k
+            counts |= {f: [n, 0] for f, n in trigrams.items()} | {"": list(all_of)}
+            all_of[:] = 0, 0
+            for memory in (seen, occurs, rows, passing, heads):
+                memory.clear()
+            return pa.RecordBatch.from_pydict({"feature": pa.array(list(counts), pa.string())} | {c: pa.array([v[i] for v in counts.values()], pa.int64()) for i, c in enumerate(("n", "words"))})
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                text, own = text.lower(), {}
-                for word, k in Counter(LETTERS.findall(text)).items():
-                    seen[word] += 1
-                    of = known.get(word)
-                    if of is None:
-                        of = known[word] = tuple(f for f in features(word) if bits is None or passes(f))
-                    for f in of:
-                        own[f] = own.get(f, 0) + k
-                own[""] = len(text.split())
-                for f, k in own.items():
-                    both = counts[f]
-                    both[0] += 1
-                    both[1] += k
-                if len(counts) + len(seen) > most:
+                text = text.lower()
+                words = LETTERS.findall(text)
+                occurs.update(words)
+                own = set(words)
+                seen.update(own)
+                rows.update(set(chain.from_iterable(map(heads.__getitem__, own))))
+                all_of[0] += 1
+                all_of[1] += len(text.split())
+                if len(seen) + len(rows) > most:
                     yield flushed()
-                if len(known) > most:
-                    known.clear()
-        if counts:
+        if all_of[0]:
             yield flushed()
 
     return run
@@ -390,15 +409,29 @@ def keeper(wanted):
     return run
 
 
+def only(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents whose identifier is in rows, and of few others, without a shuffle."""
+    name = F.col("doc_id").cast("string")
+    wanted = bits_of(rows.select(name.alias("name")), "name")
+    near = docs.where("doc_id IS NOT NULL").select("doc_id", whole_text().alias("text"), F.pmod(F.xxhash64(name), F.lit(FILTER_BITS)).alias("_at"))
+    return near.mapInArrow(keeper(wanted), StructType([f for f in near.schema.fields if f.name != "_at"]))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, folds: int) -> DataFrame:
-    """(doc_id, text, toxic) of all labelled rows whose crc32 modulo folds is not 0."""
+    """(doc_id, text, toxic) of all labelled rows whose crc32 modulo folds is not 0, without copies."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(crc_mod("doc_id", folds) != 0)
-    name = F.col("doc_id").cast("string")
-    wanted = bits_of(known.select(name.alias("name")), "name")
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", whole_text().alias("text"), F.pmod(F.xxhash64(name), F.lit(FILTER_BITS)).alias("_at"))
-    # Texts without a label stay where they are; the join is by the identifier itself.
-    rows = rows.mapInArrow(keeper(wanted), StructType([f for f in rows.schema.fields if f.name != "_at"]))
-    return rows.join(known, "doc_id")
+    known = materialize(known, "labels")
+    # Signatures meet the labels; a text moves once, if its row stays.
+    signed = materialize(signatures(only(docs, known)).join(known, "doc_id"), "labelled")
+    kept = materialize(distinct_rows(signed), "kept")
+    drop_frame(signed)
+    return with_texts(only(docs, kept), kept)
+
+
+def with_texts(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic) of the rows kept (doc_id, _hash, toxic); rows equal in identifier and text once."""
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash")).join(kept, ["doc_id", "_hash"])
+    return materialize(rows.dropDuplicates(["doc_id", "_hash", "toxic"]).select("doc_id", "text", "toxic"), "training")
 
 
 #: Salts of the min-hashes, two for each band.
@@ -406,7 +439,7 @@ SALTS = np.array([(k * 0x9E3779B97F4A7C15 + 0x1234567) & (2**64 - 1) for k in ra
 
 
 def signer(bands: int):
-    """Rows with a digest of their set of words, 32-bit hashes of it and a hash for each band of two min-hashes."""
+    """Rows with, instead of the text, a digest of its set of words, 32-bit hashes of it and a hash for each band of two min-hashes."""
 
     def run(batches):
         import hashlib
@@ -431,11 +464,36 @@ def signer(bands: int):
                 else:
                     hashes.append(None)
             new = [pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))]
+            batch = batch.drop_columns(["text"])
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "_set", "_words", "_bands"])
 
     return run
 
 
+def signatures(rows: DataFrame, bands: int = 8) -> DataFrame:
+    """The rows with signatures instead of their texts, and a number of each row."""
+    rows = rows.withColumn("_hash", F.xxhash64("text"))
+    plain = StructType([f for f in rows.schema.fields if f.name != "text"])
+    fields = [("_set", BinaryType()), ("_words", ArrayType(IntegerType())), ("_bands", ArrayType(LongType()))]
+    schema = StructType([*plain.fields, *(StructField(n, t) for n, t in fields)])
+    return rows.mapInArrow(signer(bands), schema).withColumn("_id", F.monotonically_increasing_id())
+
+
+def distinct_rows(signed: DataFrame, percent: int = 80) -> DataFrame:
+    """(doc_id, _hash, toxic) of written signatures with toxic, without copies (see without_copies)."""
+    key = F.struct("doc_id", "_id")
+    first = signed.groupBy("toxic", "_set").agg(F.min(F.struct("doc_id", "_id", "_hash")).alias("_row")).select("toxic", "_row.*")
+    one = signed.select("toxic", "_id", key.alias("_key"), "_bands").where("_bands IS NOT NULL").join(first.select("_id"), "_id", "left_semi")
+    hashes = one.select("toxic", "_key", F.posexplode("_bands").alias("_band", "_hash"))
+    least = hashes.groupBy("toxic", "_band", "_hash").agg(F.min("_key").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    pairs = hashes.join(least, ["toxic", "_band", "_hash"]).where("_key != _first").select("_key._id", F.col("_first._id").alias("_first")).distinct()
+    sets = signed.select("_id", "_words")
+    other = sets.select(F.col("_id").alias("_first"), F.col("_words").alias("_others"))
+    both = F.size(F.array_intersect("_words", "_others"))
+    alike = pairs.join(sets, "_id").join(other, "_first").where(100 * both >= percent * (F.size("_words") + F.size("_others") - both))
+    return first.join(alike.select("_id"), "_id", "left_anti").select("doc_id", "_hash", "toxic")
+
+
 def without_copies(rows: DataFrame, percent: int = 80, bands: int = 8) -> DataFrame:
     """The rows (doc_id, text, toxic) without copies of others with the same label.
 
@@ -445,27 +503,12 @@ def without_copies(rows: DataFrame, percent: int = 80, bands: int = 8) -> DataFr
     each row is held against the smallest of each of its bands' groups, so that a
     group of thousands of near copies makes no more pairs than rows and bands.
     """
-    rows = rows.select("doc_id", "text", "toxic")
-    schema = wider(rows, ("_set", BinaryType()), ("_words", ArrayType(IntegerType())), ("_bands", ArrayType(LongType())))
-    signed = materialize(rows.mapInArrow(signer(bands), schema).withColumn("_id", F.monotonically_increasing_id()), "labelled")
-    key = F.struct("doc_id", "_id")
-    first = signed.groupBy("toxic", "_set").agg(F.min(key).alias("_key")).select("toxic", "_key")
-    one = signed.select("toxic", key.alias("_key"), "_bands").join(first, ["toxic", "_key"], "left_semi")
-    hashes = one.where("_bands IS NOT NULL").select("toxic", "_key", F.posexplode("_bands").alias("_band", "_hash"))
-    least = hashes.groupBy("toxic", "_band", "_hash").agg(F.min("_key").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    pairs = hashes.join(least, ["toxic", "_band", "_hash"]).where("_key != _first").select("_key", "_first").distinct()
-    sets = signed.select(key.alias("_key"), "_words")
-    other = sets.select(F.col("_key").alias("_first"), F.col("_words").alias("_others"))
-    both = F.size(F.array_intersect("_words", "_others"))
-    alike = pairs.join(sets, "_key").join(other, "_first").where(100 * both >= percent * (F.size("_words") + F.size("_others") - both))
-    stay = materialize(first.select("_key").join(alike.select("_key"), "_key", "left_anti").select("_key._id"), "kept")
-    kept = materialize(signed.join(stay, "_id", "left_semi").select("doc_id", "text", "toxic"), "training")
-    drop_frame(signed)
-    return kept
+    signed = materialize(signatures(rows.select("doc_id", "text", "toxic"), bands), "labelled")
+    return with_texts(rows.select("doc_id", "text"), distinct_rows(signed, percent))
 
 
-def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, least_count: int = 3, least_odds: float = 4.5, often: tuple[int, float, float] = (8, 1.0, 2.5)) -> dict:
-    """The model: weights and clean rates of evidence, counts for the letters, the curve.
+def evidence_of(docs: DataFrame, labels: DataFrame, folds: int = 5, least_count: int = 3, least_odds: float = 4.5, often: tuple[int, float, float] = (8, 1.0, 2.5)) -> tuple[dict, DataFrame]:
+    """The model without its curve (weights and clean rates of evidence, counts for the letters), and the training rows.
 
     Evidence is in least_count toxic rows or more with smoothed log odds of
     least_odds, or in often[0] with log odds of often[1] by rows and often[2] by
@@ -473,7 +516,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, least_count: int =
     only the others, and those that a filter of them lets through.
     """
     # Near copies would make every word of theirs look like evidence.
-    rows = without_copies(training_rows(docs, labels, folds))
+    rows = training_rows(docs, labels, folds)
     count = lambda toxic, wanted=None: rows.where(F.col("toxic") == toxic).select("text").mapInArrow(feature_counts(wanted), "feature string, n long, words long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     toxic = materialize(count(1), "toxic-features").selectExpr("feature", "n AS toxic", "words AS toxic_words")
     enough = toxic.where((F.col("toxic") >= min(least_count, often[0])) | (F.col("feature") == "") | F.startswith("feature", F.lit("~")))
@@ -482,7 +525,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, least_count: int =
     counts = materialize(enough.join(clean, "feature", "left").fillna(0).unionByName(clean.where("feature LIKE '~%'").join(enough, "feature", "left_anti").withColumns({"toxic": F.lit(0).cast("long"), "toxic_words": F.lit(0).cast("long")})), "features")
     total = counts.where("feature = ''").first()
     if not total or not total["toxic"] or not total["clean"]:
-        return {"weights": {}, "rates": {}, "letters": {}, "slope": 0.0, "base": -math.inf}
+        return {"weights": {}, "rates": {}, "letters": {}, "slope": 0.0, "base": -math.inf}, rows
     share = lambda c: F.log((F.col(c) + 0.5) / (total[c] + 1.0))
     odds = counts.where("feature != '' AND feature NOT LIKE '~%'").withColumn("by_rows", share("toxic") - share("clean")).withColumn("w", share("toxic_words") - share("clean_words"))
     strong = (F.col("toxic") >= least_count) & (F.col("by_rows") >= least_odds)
@@ -496,11 +539,37 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, least_count: int =
     trigrams = {r["x"]: r["n"] for r in counts.where("feature LIKE '~%'").select(F.substr("feature", F.lit(2)).alias("x"), n.alias("n")).orderBy("x").collect()}
     heavy = counts.where("feature LIKE '=%'").agg(F.max(n).alias("n")).first()["n"] or 1
     letters = {f.lstrip("="): heavy for f in weights}
-    model = {"weights": weights, "rates": rates, "letters": letters, "trigrams": trigrams}
-    seen = rows.select("text", "toxic").mapInArrow(sum_maker(model), "s double, toxic int").groupBy("s", "toxic").count().collect()
+    return {"weights": weights, "rates": rates, "letters": letters, "trigrams": trigrams}, rows
+
+
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, **bounds) -> dict:
+    """The model: what evidence_of() finds, and the curve."""
+    model, rows = evidence_of(docs, labels, folds, **bounds)
+    if "base" in model:
+        return model
+    return with_curve(model, rows.select("text", "toxic").mapInArrow(sum_maker(model), "s double, toxic int"))
+
+
+def with_curve(model: dict, sums: DataFrame) -> dict:
+    seen = sums.groupBy("s", "toxic").count().collect()
     return model | curve([(r["s"], r["toxic"], r["count"]) for r in seen])
 
 
+def learn_and_score(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
+    """What score() returns with the model of learn(); every text is read once, and the curve is fitted on what came out."""
+    model, rows = evidence_of(docs, labels, folds)
+    if "base" in model:
+        return score(docs, model)
+    # On a line of slope 1 through 0 a score's logit is the sum itself.
+    read = docs.select("doc_id", whole_text().alias("text"))
+    schema = wider(read, ("s", DoubleType()), ("evidence", ArrayType(StringType())))
+    sums = read.mapInArrow(scorer(model | {"slope": 1.0, "base": 0.0}, 1, False, True), schema)
+    sums = materialize(sums.select("doc_id", F.xxhash64("text").alias("_hash"), "s", "evidence"), "sums")
+    learnt = sums.select("doc_id", "_hash", F.round("s", 2).alias("s")).distinct().join(rows.select("doc_id", F.xxhash64("text").alias("_hash"), "toxic"), ["doc_id", "_hash"])
+    model = with_curve(model, learnt.select("s", "toxic"))
+    return sums.select("doc_id", (1 / (1 + F.exp(-(F.col("s") * model["slope"] + model["base"])))).alias("score"), "evidence")
+
+
 def specific(found: dict[str, tuple[float, int]], share: float = 0.9) -> dict[str, float]:
     """A beginning goes if one longer form of it accounts for nearly all of its toxic documents."""
     toxic = {f: n for f, (_, n) in found.items()}
@@ -538,7 +607,7 @@ def curve(rows: list[tuple[float, int, int]]) -> dict:
     return {"slope": float(a), "base": float(b)}
 
 
-def scorer(model, text_at: int, reject: bool):
+def scorer(model, text_at: int, reject: bool, bare: bool = False):
     def run(batches):
         import pyarrow as pa
 
@@ -549,7 +618,7 @@ def scorer(model, text_at: int, reject: bool):
             for i in range(len(texts)):
                 n, found = reader.evidence(texts[i].as_py() or "")
                 s = model["slope"] * surprise(n, found, model["rates"]) + model["base"]
-                scores.append(1 / (1 + math.exp(-s)) if s > -700 else 0.0)
+                scores.append(s if bare else 1 / (1 + math.exp(-s)) if s > -700 else 0.0)
                 evidence.append(sorted(found))
             if reject:
                 yield batch.filter(pa.array([s < 0.5 for s in scores], pa.bool_()))

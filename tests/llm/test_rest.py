@@ -391,6 +391,10 @@ def test_toxicity_learns_from_every_labelled_row(spark):
     t, c = sum(learnt), len(learnt) - sum(learnt)
     assert abs(model["weights"]["=zorgle"] - np.log((t + 0.5) / (7 * t + 1)) + np.log(0.5 / (6 * c + 1))) < 1e-9
     assert abs(model["rates"]["=zorgle"] - 0.5 / (6 * c + 1)) < 1e-12
+    assert model["trigrams"]["^^z"] == t and model["trigrams"]["le$"] == t
+    docs = frame(spark, [r[:2] for r in rows[:2000]] + unlabelled + [(None, None), (0, rows[0][1])])
+    once = {(r.doc_id, round(r.score, 9), *r.evidence) for r in toxicity.learn_and_score(docs, labels).collect()}
+    assert once == {(r.doc_id, round(r.score, 9), *r.evidence) for r in toxicity.score(docs, toxicity.learn(docs, labels)).collect()}
 
 
 def test_empty_tables_and_clashing_names(spark):
