@@ -560,7 +560,6 @@ def learn_and_score(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataF
     model, rows = evidence_of(docs, labels, folds)
     if "base" in model:
         return score(docs, model)
-    # On a line of slope 1 through 0 a score's logit is the sum itself.
     read = docs.select("doc_id", whole_text().alias("text"))
     schema = wider(read, ("s", DoubleType()), ("evidence", ArrayType(StringType())))
     sums = read.mapInArrow(scorer(model | {"slope": 1.0, "base": 0.0}, 1, False, True), schema)

@@ -36,10 +36,15 @@ def outcomes(rows: DataFrame, suffix: str = "", first: int = 4) -> DataFrame:
     return per.select("question_id", F.col("best").isNotNull().cast("double").alias(f"hit{suffix}"), F.coalesce(1.0 / F.col("best"), F.lit(0.0)).alias(f"mrr{suffix}"))
 
 
-def cases(spark, sf_dir) -> DataFrame:
-    """question_id, hit, mrr and hit_after, mrr_after of every passage."""
-    own = lexical_hits(spark, sf_dir).select("question_id", F.col("record_id").alias("doc_id"), "rank")
-    other = rrf_fusion(spark, sf_dir).where("rank <= 4").select("question_id", "doc_id", "rank")
+def first_hits(spark, sf_dir) -> DataFrame:
+    """The first twelve of every passage by TF-IDF, searched once: those of any smaller number are among them."""
+    return written(lexical_hits(spark, sf_dir, 12), "hits")
+
+
+def cases(spark, sf_dir, hits: DataFrame) -> DataFrame:
+    """question_id, hit, mrr and hit_after, mrr_after of every passage; hits are first_hits()."""
+    own = hits.where("rank <= 4").select("question_id", F.col("record_id").alias("doc_id"), "rank")
+    other = written(rrf_fusion(spark, sf_dir, hits).where("rank <= 4").select("question_id", "doc_id", "rank"), "fused")
     every = questions_of(spark, sf_dir).select("question_id")
     rows = every.join(outcomes(judged(spark, sf_dir, own)), "question_id", "left").join(outcomes(judged(spark, sf_dir, other), "_after"), "question_id", "left")
     return rows.fillna(0.0)
@@ -56,7 +61,7 @@ def planner_threshold_sweep(spark, sf_dir):
     rules' own route is no surer than the router's.
     """
     plans = query_plans(spark, sf_dir).where("question_id LIKE 'b%'").select(F.substring("question_id", 2, 1 << 30).alias("key"), "confidence", "route_confidence")
-    rows = cases(spark, sf_dir).withColumn("key", F.col("question_id").cast("string")).join(plans, "key")
+    rows = cases(spark, sf_dir, first_hits(spark, sf_dir)).withColumn("key", F.col("question_id").cast("string")).join(plans, "key")
     axes = [sweeps.Axis("planner", PLANNER, "confidence"), sweeps.Axis("router", ROUTER, "route_confidence", reached=True)]
     return report(sweeps.step_sweep(written(rows, "cases"), axes, ["hit", "mrr"]), "planner", "router")
 
@@ -87,10 +92,10 @@ FROM cases JOIN plans ON plans.question_id = 'b' || cases.question_id, {values(P
 
 def selector_gap_sweep(spark, sf_dir):
     """At every gap: for how many passages the first two scores are that close, and what is found if those take the other ranking instead."""
-    hits = lexical_hits(spark, sf_dir)
+    hits = first_hits(spark, sf_dir)
     of = lambda k: F.max(F.when(F.col("rank") == k, F.col("lexical")))
     gaps = hits.groupBy("question_id").agg(F.round(of(1) - of(2), 6).alias("gap"))
-    rows = cases(spark, sf_dir).join(gaps, "question_id", "left")
+    rows = cases(spark, sf_dir, hits).join(gaps, "question_id", "left")
     return report(sweeps.step_sweep(written(rows, "cases"), [sweeps.Axis("threshold", GAPS, "gap", reached=True)], ["hit", "mrr"]), "threshold")
 
 
@@ -102,8 +107,9 @@ SELECT threshold, {averages('coalesce(gap <= threshold, false)')} FROM cases LEF
 
 def fallback_sweep(spark, sf_dir):
     """For every number of fallback documents: what is found if so many of the other ranking's follow the four of the plan, without those that it has already."""
-    own = lexical_hits(spark, sf_dir).select("question_id", F.col("record_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"))
-    other = rrf_fusion(spark, sf_dir).select("question_id", "doc_id", "rank").join(own.select("question_id", "doc_id"), ["question_id", "doc_id"], "left_anti")
+    hits = first_hits(spark, sf_dir)
+    own = hits.where("rank <= 4").select("question_id", F.col("record_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"))
+    other = written(rrf_fusion(spark, sf_dir, hits).select("question_id", "doc_id", "rank"), "fused").join(own.select("question_id", "doc_id"), ["question_id", "doc_id"], "left_anti")
     ranked = search.top(other.withColumnRenamed("rank", "old"), "question_id", 12, "old")
     first = judged(spark, sf_dir, ranked).where("whole").groupBy("question_id").agg(F.min("rank").alias("place"))
     rows = questions_of(spark, sf_dir).select("question_id").join(outcomes(judged(spark, sf_dir, own)), "question_id", "left").fillna(0.0).join(first, "question_id", "left")

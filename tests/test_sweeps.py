@@ -55,3 +55,14 @@ def test_prefix_sums(spark):
         want[k] = (i, total)
         total += c or 0
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["selector_gap_sweep", "fallback_sweep", "planner_threshold_sweep"])
+def test_a_sweep_searches_once(spark, monkeypatch, name):
+    from lodestone.operators import search
+    from lodestone.plans import catalogue
+
+    calls, real = [], search.lexical_search
+    monkeypatch.setattr(search, "lexical_search", lambda *a, **k: calls.append(1) or real(*a, **k))
+    assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(calls) == 1
