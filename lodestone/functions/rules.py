@@ -10,6 +10,10 @@ from .text import clean_lines, col, contains_any, count_in, count_of, digit_rati
 CLAUSE = r"^(\d+(?:\.\d+)+)\b"
 LEADERS = r"\.{4,}\s*\d+\s*$"
 NUMBER_HEAD = r"^\d+(?:\.\d+)*\s*"
+#: How every known heading starts once it is in lower case: other lines need no closer look.
+KNOWN_START = rf"(?U)^[\s.:\-\d]*+(?:appendix|{'|'.join(sorted({h.split()[0] for h in C.PAGE_HEADINGS}))})"
+#: 15 words or more that heading_text() leaves, the first without a digit in front: unless it is a known heading, such a line is none.
+LONG_LINE = r"(?U)^[\s.:\-]*+[^\s.:\-\d]\S*+(?:\s++(?:[.:\-\d]++\s++)*+[.:\-\d]*+[^\s.:\-\d]\S*+){14}"
 
 
 def starts_upper(w: Column) -> Column:
@@ -30,7 +34,8 @@ def is_author_line(line) -> Column:
     line = col(line)
     w = F.filter(F.split(squash(F.translate(line, ",", " ")), " "), lambda x: x != "")
     names = let(w, lambda v: F.size(v).between(1, 12) & F.forall(v, starts_upper) & F.exists(v, lambda x: x.rlike("[123]$")))
-    return F.contains(line, F.lit("@")) | contains_any(F.lower(line), ("department of", "university", "institute", "center for")) | contains_any(line, ("1,3", "2,3", "1)", "2)", "3)")) | names
+    marked = F.when(line.rlike("[123]"), names).otherwise(False)  # the words of other lines aren't looked at
+    return F.contains(line, F.lit("@")) | contains_any(F.lower(line), ("department of", "university", "institute", "center for")) | contains_any(line, ("1,3", "2,3", "1)", "2)", "3)")) | marked
 
 
 def is_reference_line(line) -> Column:
@@ -49,11 +54,16 @@ def page_heading(line) -> Column:
     known = F.create_map(*[x for h in C.PAGE_HEADINGS for x in (F.lit(h), F.lit(" ".join(w if w == "and" else w.capitalize() for w in h.split())))])
     bare = lambda text: F.lower(F.trim(F.regexp_replace(text, NUMBER_HEAD, "")))
     named = lambda text: let(bare(text), lambda b: F.when(b.startswith("appendix"), title_case(text)).otherwise(F.coalesce(F.element_at(known, b), F.lit(""))))
-    return let(heading_text(line), named)
+    return F.when(may_be_known(line), let(heading_text(line), named)).otherwise("")
+
+
+def may_be_known(line) -> Column:
+    return F.lower(col(line)).rlike(KNOWN_START)
 
 
 def is_heading(line) -> Column:
-    return let(heading_text(line), lambda text: let(words(text), lambda w: heading_test(line, text, w)))
+    tested = let(heading_text(line), lambda text: let(words(text), lambda w: heading_test(line, text, w)))
+    return F.when(col(line).rlike(LONG_LINE) & ~may_be_known(line), False).otherwise(tested)
 
 
 def heading_test(line, text: Column, w: Column) -> Column:
@@ -118,8 +128,10 @@ def document_style(text) -> Column:
 
 
 def is_noise_line(line) -> Column:
-    line = col(line)
-    low = F.lower(line)
+    return let(F.lower(col(line)), lambda low: noise_test(col(line), low))
+
+
+def noise_test(line: Column, low: Column) -> Column:
     digits, letters = count_in(line, "Nd"), count_in(line, "L")
     # The cheap tests come first: words are only counted where they decide.
     return (
@@ -173,7 +185,8 @@ def canonical_section_heading(text) -> Column:
 
 def best_title(fallback, text, label) -> Column:
     bare = F.transform(F.slice(clean_lines(text), 1, 15), lambda x: strip_of(F.regexp_replace(x, NUMBER_HEAD, ""), " :-"))
-    fits = F.filter(bare, lambda x: ~is_noise_line(x) & (F.size(words(x)) <= 12) & (is_upper(x) | is_title(x)))
+    # What prose fails at once comes first.
+    fits = F.filter(bare, lambda x: (is_upper(x) | is_title(x)) & (F.size(words(x)) <= 12) & ~is_noise_line(x))
     return F.coalesce(F.nullif(canonical_section_heading(text), F.lit("")), F.get(fits, F.lit(0)), F.nullif(col(fallback), F.lit("")), col(label))
 
 
@@ -220,8 +233,12 @@ def section_aliases(title, kind, path) -> Column:
 
 def front_matter(title, text, label) -> Column:
     """(kind, score, low_value) of a page or section."""
-    low_title, low_text = F.lower(squash(title)), F.lower(col(text))
-    both = F.concat(low_title, F.lit(" "), F.left(low_text, F.lit(1600)))
+    facts = F.struct(F.lower(squash(title)).alias("title"), F.lower(col(text)).alias("text"))
+    joined = lambda f: F.concat(f["title"], F.lit(" "), F.left(f["text"], F.lit(1600)))
+    return let(facts, lambda f: let(joined(f), lambda both: matter_of(f["title"], f["text"], both, label)))
+
+
+def matter_of(low_title: Column, low_text: Column, both: Column, label) -> Column:
     row = lambda kind, score, low: F.struct(F.lit(kind).alias("kind"), F.lit(score).alias("score"), F.lit(low).alias("low_value"))
     out = F.when(low_title.isin("contents", "table of contents"), row("contents", 0.98, True))
     for kind, score, phrases in C.FRONT_MATTER:
@@ -238,7 +255,10 @@ def chunk_role(text) -> Column:
 
 def role_of(text: Column, own: Column) -> Column:
     """A chunk's role from its text and its lines."""
-    low = F.lower(text)
+    return let(F.lower(text), lambda low: role_by(text, own, low))
+
+
+def role_by(text: Column, own: Column, low: Column) -> Column:
     n = F.size(own)
     closed = text.rlike(r"[A-Za-z][.!?](?:\s|$)")
     leaders = text.rlike(r"(?m)\.{4,}\s*\d+$") | F.exists(own, lambda x: x.rlike(r"\.{3,}\s*\d+$"))
