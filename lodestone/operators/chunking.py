@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import rules as R
 from ..functions.text import lines, raw_lines, strip, windows
+from ..sources.tables import written
 from .scan import ranged
 
 # How artifacts may be shown, and what they are worth as evidence.
@@ -29,13 +30,17 @@ def table_blocks(pages: DataFrame) -> DataFrame:
     A caption's table reaches to the first line after three of its lines that
     closes one (a blank line, or a heading that isn't tabular). Captions inside
     a table open none: a fold over a page's captions, of which there are few,
-    gives the spans; lines fall into spans, and what is left into runs.
+    gives the spans; lines fall into spans, and what is left into runs. Pages
+    without a caption and without three tabular lines have no tables, so their
+    lines are not spread; headings close only tables that a caption opens.
     """
     page = ["document_id", "page_no"]
-    rows = pages.select(F.col("document_id").cast("string").alias("document_id"), F.col("page_no").cast("int").alias("page_no"), F.posexplode(raw_lines("text")).alias("i", "line"))
+    split = pages.select(F.col("document_id").cast("string").alias("document_id"), F.col("page_no").cast("int").alias("page_no"), raw_lines("text").alias("_lines"))
+    split = split.withColumn("_opens", F.exists("_lines", R.is_table_caption)).withColumn("_tabular", F.size(F.filter("_lines", R.is_tabular_line)))
+    rows = written(split.where(F.col("_opens") | (F.col("_tabular") >= 3)), "tabular").select(*page, "_opens", F.posexplode("_lines").alias("i", "line"))
     filled = F.col("line") != ""
     before = W.partitionBy(*page).orderBy("i").rowsBetween(W.unboundedPreceding, -1)
-    facts = rows.select(*page, "i", "line", R.is_table_caption("line").alias("caption"), R.is_tabular_line("line").alias("tabular"), R.is_heading_line("line").alias("heading"))
+    facts = rows.select(*page, "i", "line", R.is_table_caption("line").alias("caption"), R.is_tabular_line("line").alias("tabular"), F.when(F.col("_opens"), R.is_heading_line("line")).otherwise(False).alias("heading"))
     facts = facts.withColumn("above", F.coalesce(F.count_if(filled).over(before), F.lit(0)))
     spot = F.struct("i", "above")
     closes = ~filled | (F.col("heading") & ~F.col("tabular"))
@@ -92,7 +97,8 @@ def chunk_pages(pages: DataFrame, size: int = 1200, overlap: int = 180) -> DataF
     keys = ["document_id", "page_no"]
     pages = pages.withColumn("document_id", F.col("document_id").cast("string")).withColumn("page_no", F.col("page_no").cast("int"))
     blocks = semantic_blocks(pages).select(*keys, F.col("block").cast("int").alias("kind_no"), F.posexplode(windows("text", size, overlap)).alias("at", "text")).withColumn("artifact_type", F.lit(None).cast("string"))
-    found = artifacts(pages).unionByName(blocks)
+    # Ranges are found by a look at the rows first: written, these are made once.
+    found = written(artifacts(pages).unionByName(blocks), "found")
     counted = ranged(found.withColumn("_block", F.col("artifact_type").isNull()), ["document_id"], ["page_no", "_block", "kind_no", "at"])
     found = counted.sums({"chunk_index": F.lit(1)}, own=False).rows.withColumn("chunk_index", F.col("chunk_index").cast("int")).drop("_range", "_block")
     found = found.withColumn("artifact_index", F.when(F.col("artifact_type").isNotNull(), F.row_number().over(W.partitionBy(*keys, "artifact_type").orderBy("at"))))

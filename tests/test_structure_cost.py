@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import rules as R
 from lodestone.functions import text as T
-from lodestone.operators import structure
+from lodestone.operators import chunking, structure
 
 WHITE = [chr(c) for c in range(0x3100) if chr(c).isspace() and not 0x1C <= c <= 0x1F]
 
@@ -35,3 +35,15 @@ def test_prose_gets_no_title_and_late_lines_no_text(spark):
     assert facts[0]["title"] == "Results" and facts[0]["section"] == "results" and facts[0]["line"] == "Results"
     assert all(f["title"] is None and f["section"] is None and f["line"] is None for f in facts[1:13])
     assert facts[13]["title"] == "Late Heading" and facts[13]["line"] is None and facts[13]["prose"] is None
+
+
+def test_only_pages_that_can_have_tables_are_spread(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(chunking, "written", lambda df, name: kept.append((name, df.select("page_no").collect())) or df, raising=False)
+    table = "Table 1 Rates\na | 1 | 2 | 3\nb | 4 | 5 | 6\nc | 7 | 8 | 9"
+    runs = "x\na | 1 | 2 | 3\nb | 4 | 5 | 6\nc | 7 | 8 | 9"
+    texts = ["plain prose\nand more of it", table, runs, "a | 1 | 2 | 3\nb | 4 | 5 | 6"]
+    pages = spark.createDataFrame([("d", i, t) for i, t in enumerate(texts)], "document_id string, page_no int, text string")
+    found = {r["page_no"]: r["text"] for r in chunking.table_blocks(pages).collect()}
+    assert found == {1: table, 2: runs.removeprefix("x\n")}
+    assert [(n, sorted(r["page_no"] for r in rows)) for n, rows in kept] == [("tabular", [1, 2])]
