@@ -12,7 +12,10 @@ from .similar_sets import most_similar
 
 def key_terms(rows: DataFrame, key: list[str], text: Column, top: int = 8) -> DataFrame:
     """key columns, key_terms: the most frequent terms, earlier ones first among equals."""
-    counted = rows.select(*key, F.posexplode(key_tokens(text)).alias("pos", "term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
+    # A text moves once, to its key's task, where its terms are counted and ranked; they don't move.
+    texts = rows.select(*key, text.alias("_text")).repartition(*key)
+    placed = texts.select(*key, F.posexplode(key_tokens("_text")).alias("pos", "term"))
+    counted = placed.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
     ranked = counted.withColumn("rank", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("n"), "pos"))).where(F.col("rank") <= top)
     return ranked.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("key_terms"))
 

@@ -4,7 +4,7 @@ import pytest
 from test_operators import tfidf
 
 from lodestone.operators import search
-from lodestone.plans import search_queries
+from lodestone.plans import search_queries, text_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,3 +46,8 @@ def test_texts_of_all_documents_do_not_move_to_their_hits(spark):
             assert "SortMergeJoin [doc_id" not in plan_of(query(spark, SF)) and "SortMergeJoin [record_id" not in plan_of(query(spark, SF))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+
+
+def test_terms_of_a_text_are_counted_and_ranked_where_it_is(spark):
+    plan = plan_of(text_queries.key_terms(spark, SF))
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")  # the plan's lower part comes last
