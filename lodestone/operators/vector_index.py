@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions.text import similarity_of
 from ..sources.tables import written
 
+#: A search within a distance deals cells into GROUPS and queries into PARTS: a vector goes once to each group, and a block to each part.
+GROUPS, PARTS = 8, 8
 BLOCK = 1024
 QUERIES = 256
 #: Distances that a product of matrices gives may be off by this much; what is near the k-th is taken again, exactly.
@@ -124,8 +126,11 @@ def build_index(vectors: DataFrame, cells: int = 64, sample: int = 8192, by: tup
     return VectorIndex(centroids, reach, blocks, by)
 
 
-def prober(centroids, reach, first: int, last: int | None):
-    """For queries (question_id, by..., query_vector, worst): the cells of rank first to last whose outermost ring may be near enough."""
+def prober(centroids, reach, first: int, last: int | None, groups: int):
+    """For queries (question_id, by..., query_vector, worst): the groups of cells of which some have rank first to last and an outermost ring that may be near enough.
+
+    away: the distances to the group's cells (those that are equal modulo groups, in their order); NaN if a cell is ruled out.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -140,15 +145,20 @@ def prober(centroids, reach, first: int, last: int | None):
             near = (rank >= first) & (high >= 0) & (far - high <= worst[:, None] + SLACK)
             if last is not None:
                 near &= rank < last
-            row, cell = np.nonzero(near)
-            rows = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cell.astype(np.int32)), pa.array(far[row, cell])], [*rows.schema.names, "cell", "away"])
+            # Cells in rows of one group each; what is missing in the last row is ruled out.
+            wide = np.full((len(far), -(-len(means) // groups) * groups), np.nan)
+            wide[:, : len(means)] = np.where(near, far, np.nan)
+            wide = wide.reshape(len(far), -1, groups).transpose(0, 2, 1)
+            row, group = np.nonzero(~np.isnan(wide).all(axis=2))
+            rows, away = batch.take(pa.array(row)), wide[row, group]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(away) + 1, dtype=np.int32) * away.shape[1]), pa.array(away.ravel()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(group.astype(np.int32)), lists], [*rows.schema.names, "group", "away"])
 
     return run
 
 
 def scanner(k: int):
-    """Rows (ids, data, n, low, high, queries): the k nearest of a block to each query that its ring may concern, and how many vectors were looked at."""
+    """Rows (ids, data, at, low, high, queries): the k nearest of a block to each query that its ring may concern, and how many vectors were looked at."""
 
     def run(batches):
         import pyarrow as pa
@@ -157,7 +167,7 @@ def scanner(k: int):
         for batch in batches:
             for r in range(len(batch)):
                 asked = batch.column("queries")[r].values
-                away, worst = asked.field("away").to_numpy(), asked.field("worst").to_numpy(zero_copy_only=False)
+                away, worst = matrix(asked.field("away"))[:, batch.column("at")[r].as_py()], asked.field("worst").to_numpy(zero_copy_only=False)
                 low, high = batch.column("low")[r].as_py(), batch.column("high")[r].as_py()
                 own = np.flatnonzero((away - high <= worst + SLACK) & (low - away <= worst + SLACK))
                 if not len(own):
@@ -184,13 +194,13 @@ def scanner(k: int):
 
 
 def closer(batches):
-    """Rows (low, high, ids, data, queries): all vectors of a block within each query's own distance `worst`."""
+    """Rows (at, low, high, ids, data, queries): all vectors of a block within each query's own distance `worst`."""
     import pyarrow as pa
 
     for batch in batches:
         for r in range(len(batch)):
             asked = batch.column("queries")[r].values
-            away, worst = asked.field("away").to_numpy(), asked.field("worst").to_numpy(zero_copy_only=False)
+            away, worst = matrix(asked.field("away"))[:, batch.column("at")[r].as_py()], asked.field("worst").to_numpy(zero_copy_only=False)
             own = np.flatnonzero((away - batch.column("high")[r].as_py() <= worst + SLACK) & (batch.column("low")[r].as_py() - away <= worst + SLACK))
             if not len(own):
                 continue
@@ -203,15 +213,20 @@ def closer(batches):
             yield pa.RecordBatch.from_arrays([pa.array(asked.field("number").to_numpy()[own][q[kept]]), pa.array(ids[v[kept]]), pa.array(exact[kept]), pa.array(np.zeros(int(kept.sum()), np.int64))], ["question", "vec_id", "distance", "scanned"])
 
 
-def meet(index: VectorIndex, probes: DataFrame, look) -> DataFrame:
-    """question, vec_id, distance, scanned, as `look` finds them in the blocks that probes (number, by..., query_vector, worst, cell, away) ask for."""
-    keys = [*index.by, "cell"]
-    order = W.partitionBy(*keys, F.pmod(F.xxhash64("number"), F.lit(64))).orderBy("number")
-    batch = F.struct(F.pmod(F.xxhash64("number"), F.lit(64)), F.floor((F.row_number().over(order) - 1) / QUERIES)).alias("batch")
-    asked = probes.select(*keys, batch, F.struct("number", "query_vector", "worst", "away").alias("q"))
-    asked = asked.groupBy(*keys, "batch").agg(F.collect_list("q").alias("queries")).drop("batch")
-    on = [index.blocks[c].eqNullSafe(asked[c]) for c in keys]
-    pairs = index.blocks.join(asked, on).select("low", "high", "ids", "data", "queries")
+def meet(index: VectorIndex, probes: DataFrame, look, groups: int, parts: int = 1) -> DataFrame:
+    """question, vec_id, distance, scanned, as `look` finds them in the blocks that probes (number, by..., query_vector, worst, group, away) ask for.
+
+    A task has a group's blocks and a part of its queries. Queries are dealt once:
+    they are numbered, put into batches and met by the blocks where they are.
+    """
+    keys = [*index.by, "group", "part"]
+    order = W.partitionBy(*keys).orderBy("number")
+    asked = probes.withColumn("part", F.pmod(F.xxhash64("number"), F.lit(parts)).cast("int"))
+    asked = asked.select(*keys, F.floor((F.row_number().over(order) - 1) / QUERIES).alias("batch"), F.struct("number", "query_vector", "worst", "away").alias("q"))
+    asked = asked.groupBy(*keys, "batch").agg(F.collect_list("q").alias("queries"))
+    blocks = index.blocks.withColumns({"group": F.col("cell") % groups, "at": (F.col("cell") / groups).cast("int"), "part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))})
+    on = [*[blocks[c].eqNullSafe(asked[c]) for c in index.by], *[blocks[c] == asked[c] for c in ("group", "part")]]
+    pairs = blocks.join(asked, on).select("at", "low", "high", "ids", "data", "queries")
     return pairs.mapInArrow(look, "question long, vec_id long, distance double, scanned long")
 
 
@@ -227,7 +242,7 @@ def search_index(index: VectorIndex, queries: DataFrame, k: int, probes: tuple[i
     asked = whole.select(F.monotonically_increasing_id().alias("number"), "question_id", *index.by, F.col("query_vector").cast("array<double>").alias("query_vector"))
     asked = written(asked, "queries")
     kinds = dict(asked.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("number", *index.by, "query_vector")) + ", worst double, cell int, away double"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("number", *index.by, "query_vector")) + ", worst double, group int, away array<double>"
     means, reach = spark.sparkContext.broadcast(index.centroids), spark.sparkContext.broadcast(index.reach)
     rounds = [min(p, count) for p in probes] + [None] * exact
     found, first = None, 0
@@ -240,7 +255,7 @@ def search_index(index: VectorIndex, queries: DataFrame, k: int, probes: tuple[i
         else:
             worst = found.where(f"rank = {k}").select("number", F.sqrt("distance").alias("worst"))
             known = known.join(worst, "number", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf"))))
-        rows = meet(index, known.mapInArrow(prober(means, reach, first, last), schema), scanner(k)).withColumnRenamed("question", "number")
+        rows = meet(index, known.mapInArrow(prober(means, reach, first, last, count), schema), scanner(k), count).withColumnRenamed("question", "number")
         if found is not None:
             rows = rows.unionByName(found.select("number", "vec_id", "distance", "scanned"))
         scanned = F.sum("scanned").over(W.partitionBy("number"))
@@ -261,7 +276,7 @@ def within(index: VectorIndex, queries: DataFrame, distance: float) -> DataFrame
     asked = queries.where(F.col("query_vector").isNotNull() & ~F.exists("query_vector", lambda x: x.isNull()))
     asked = asked.select(F.col("question_id").cast("long").alias("number"), *index.by, F.col("query_vector").cast("array<double>").alias("query_vector"), F.lit(float(np.sqrt(distance))).alias("worst"))
     kinds = dict(asked.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in asked.columns) + ", cell int, away double"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in asked.columns) + ", group int, away array<double>"
     means, reach = spark.sparkContext.broadcast(index.centroids), spark.sparkContext.broadcast(index.reach)
-    found = meet(index, asked.mapInArrow(prober(means, reach, 0, None), schema), closer)
+    found = meet(index, asked.mapInArrow(prober(means, reach, 0, None, GROUPS), schema), closer, GROUPS, PARTS)
     return found.select(F.col("question").alias("question_id"), "vec_id", "distance")

@@ -72,3 +72,18 @@ def test_many_queries_meet_a_cell_in_batches(spark, monkeypatch):
     queries = [(k, rows[k][1], None) for k in range(120)]
     got = dense_search(asked(spark, queries).drop("label"), frame(spark, rows), 3).collect()
     assert {(r.question_id, r.vec_id, r.rank) for r in got} == nearest(rows, queries, 3)
+
+
+def test_a_vector_goes_once_to_each_group_of_cells(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(300, 8))  # no cell is ruled out
+    rows = [(i, v, None) for i, v in enumerate(points)]
+    probed, real = [], vector_index.meet
+    monkeypatch.setattr(vector_index, "meet", lambda index, probes, *a: probed.append(probes) or real(index, probes, *a))
+    index = build_index(frame(spark, rows), cells=37)
+    found = vector_index.within(index, frame(spark, rows[:50]).select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query_vector")), 9.0)
+    far = ((points[:50, None, :] - points[None, :, :]) ** 2).sum(axis=2)
+    assert {(r.question_id, r.vec_id) for r in found.collect()} == {(int(a), int(b)) for a, b in np.argwhere(far <= 9.0)}
+    assert 50 < probed[0].count() <= 50 * vector_index.GROUPS
+    # Batches are made where the blocks meet them.
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
