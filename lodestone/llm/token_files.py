@@ -12,7 +12,10 @@ of a range.
 Texts are cut at blanks: there the tokenizer's pattern always cuts too, unless
 white space stands on both sides of the blank. Texts with such a place are
 encoded whole. Of the others each distinct part of a worker's texts is encoded
-once; a worker remembers MOST parts at most, then begins anew.
+once; a worker remembers MOST parts at most, then begins anew. Parts without
+white space go to the library as lines of one text, LINES at a time: a line feed
+that stands alone is a token of its own, so its id tells where each part ends.
+Where it is not, as the number of such ids tells, each part is encoded by itself.
 
 Defined results: a null text is empty, and has only the end id; null
 identifiers come first and are read back as null; rows with equal identifiers
@@ -38,8 +41,11 @@ STRETCH = 4 << 20
 MOST = 1 << 20
 #: Parts that the library gets at a time, so that what it makes of them stays small.
 CALL = 10_000
+#: Parts that go to the library as lines of one text.
+LINES = 100
+WHITE = r"[\s\v\x1c-\x1f\x{85}\p{Z}]"
 #: A blank with white space on both sides, or on its left and the end on its right.
-WIDE_BLANK = r"[\s\v\x1c-\x1f\x{85}\p{Z}] (?:[\s\v\x1c-\x1f\x{85}\p{Z}]|$)"
+WIDE_BLANK = rf"{WHITE} (?:{WHITE}|$)"
 
 
 class Parts:
@@ -71,6 +77,24 @@ class Parts:
             ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(counts[-1].sum())))
         return np.concatenate(ids), np.concatenate(counts)
 
+    def encode_lines(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """What encode() returns, for parts that have no white space but a blank before others, and are not empty."""
+        end = self.library.encode("\n", add_special_tokens=False).ids
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(parts), CALL):
+            own = parts[at : at + CALL]
+            found = self.library.encode_batch_fast(["\n".join([*own[k : k + LINES], ""]) for k in range(0, len(own), LINES)], add_special_tokens=False)
+            got = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+            is_end = got == end[0] if len(end) == 1 else np.zeros(len(got), bool)
+            ends = np.flatnonzero(is_end)
+            if len(ends) == len(own):
+                got, n = got[~is_end], np.diff(ends, prepend=-1) - 1
+            else:
+                got, n = self.encode(own)
+            ids.append(got)
+            counts.append(n)
+        return np.concatenate(ids), np.concatenate(counts)
+
     def enter(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Numbers for new ids."""
         first = len(self.off) - 1
@@ -89,7 +113,11 @@ class Parts:
         is_new = at.is_null().to_numpy(zero_copy_only=False)
         out[~is_new] = self.number[lead][at.drop_null().to_numpy()]
         if len(new):
-            out[is_new] = more = self.enter(*self.encode([lead + x for x in new.to_pylist()]))
+            white = pc.or_(pc.match_substring_regex(new, WHITE), pc.equal(new, ""))
+            more = np.empty(len(new), np.int64)
+            for how, which in ((self.encode_lines, pc.invert(white)), (self.encode, white)):
+                more[which.to_numpy(zero_copy_only=False)] = self.enter(*how([lead + x for x in new.filter(which).to_pylist()]))
+            out[is_new] = more
             self.known[lead] = pa.concat_arrays([self.known[lead], new])
             self.number[lead] = np.concatenate([self.number[lead], more])
         return out

@@ -104,6 +104,50 @@ def test_every_character_is_cut_as_the_library_does():
     assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
 
 
+def test_parts_go_to_the_library_as_lines_of_a_text():
+    parts = Parts(open(PATH, encoding="utf-8").read())
+    own = [" " + x for x in ["a", "word,", "'s", "won't've", ".", "...'", "<|endoftext|>", "\u00e9\u00e0", "\U0001f600", "12,5", "\x00", "\u200b", "a\u0301", *(f"w{k}" for k in range(230))]]
+    own += [x[1:] for x in own]
+    texts, plain = [], parts.library
+
+    class Counting:
+        encode = staticmethod(plain.encode)
+
+        @staticmethod
+        def encode_batch_fast(given, **more):
+            texts.extend(given)
+            return plain.encode_batch_fast(given, **more)
+
+    parts.library = Counting
+    for given in (own[: len(own) // 2], own[len(own) // 2 :]):
+        texts.clear()
+        ids, counts = parts.encode_lines(given)
+        assert len(texts) == 3
+        want = [plain.encode(x, add_special_tokens=False).ids for x in given]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+def test_parts_stay_alone_where_a_line_feed_is_no_token():
+    parts = Parts(open(PATH, encoding="utf-8").read())
+    plain = parts.library
+
+    class Joining:
+        """A library that drops line feeds inside of texts."""
+
+        @staticmethod
+        def encode(x, **more):
+            return plain.encode(x, **more)
+
+        @staticmethod
+        def encode_batch_fast(given, **more):
+            return plain.encode_batch_fast([x.replace("\n", "") for x in given], **more)
+
+    parts.library = Joining
+    ids, counts = parts.encode_lines(["ab", "cd,", "e"])
+    want = [plain.encode(x, add_special_tokens=False).ids for x in ("ab", "cd,", "e")]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
 def test_no_rows(spark):
     assert read_files(write_files(frame(spark, []), PATH)).collect() == []
 
