@@ -47,7 +47,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import C1, C2, crc_mod, drop_frame, materialize, mix, whole_text, wider
+from .common import C1, C2, crc_mod, drop_frame, materialize, mix, tidy, whole_text, wider
 
 #: Letters that other characters are written for.
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t"}
@@ -396,7 +396,7 @@ def bits_of(rows: DataFrame, name: str):
 
 
 def keeper(wanted):
-    """The rows whose identifier passes a filter."""
+    """The rows whose place _at passes a filter."""
 
     def run(batches):
         bits = np.frombuffer(wanted.value, np.uint8)
@@ -404,26 +404,32 @@ def keeper(wanted):
 
         for batch in batches:
             at = batch.column("_at").to_numpy()
-            yield batch.filter(pa.array(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)).select(["doc_id", "text"])
+            yield batch.filter(pa.array(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)).drop_columns(["_at"])
 
     return run
 
 
+def near(rows: DataFrame, name, wanted: DataFrame) -> DataFrame:
+    """The rows whose value of the expression name is in the one column of wanted, and few others, without a shuffle."""
+    bits = bits_of(wanted, wanted.columns[0])
+    placed = rows.withColumn("_at", F.pmod(F.xxhash64(name), F.lit(FILTER_BITS)))
+    return placed.mapInArrow(tidy(keeper(bits)), rows.schema)
+
+
 def only(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(doc_id, text) of the documents whose identifier is in rows, and of few others, without a shuffle."""
     name = F.col("doc_id").cast("string")
-    wanted = bits_of(rows.select(name.alias("name")), "name")
-    near = docs.where("doc_id IS NOT NULL").select("doc_id", whole_text().alias("text"), F.pmod(F.xxhash64(name), F.lit(FILTER_BITS)).alias("_at"))
-    return near.mapInArrow(keeper(wanted), StructType([f for f in near.schema.fields if f.name != "_at"]))
+    return near(docs.where("doc_id IS NOT NULL").select("doc_id", whole_text().alias("text")), name, rows.select(name.alias("name")))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, folds: int) -> DataFrame:
     """(doc_id, text, toxic) of all labelled rows whose crc32 modulo folds is not 0, without copies."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(crc_mod("doc_id", folds) != 0)
     known = materialize(known, "labels")
-    # Signatures meet the labels; a text moves once, if its row stays.
-    signed = materialize(signatures(only(docs, known)).join(known, "doc_id"), "labelled")
-    kept = materialize(distinct_rows(signed), "kept")
+    # What is short of the signatures meets the labels; a text moves once, if its row stays.
+    signed = materialize(signatures(only(docs, known)), "signed")
+    rows = materialize(short_of(signed).join(known, "doc_id"), "labelled")
+    kept = materialize(distinct_rows(rows, signed), "kept")
     drop_frame(signed)
     return with_texts(only(docs, kept), kept)
 
@@ -434,12 +440,15 @@ def with_texts(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return materialize(rows.dropDuplicates(["doc_id", "_hash", "toxic"]).select("doc_id", "text", "toxic"), "training")
 
 
+#: Bits of a sketch of a set of words: those that its words' hashes name are set.
+SKETCH_BITS = 1024
+
 #: Salts of the min-hashes, two for each band.
 SALTS = np.array([(k * 0x9E3779B97F4A7C15 + 0x1234567) & (2**64 - 1) for k in range(1, 17)], np.uint64)
 
 
 def signer(bands: int):
-    """Rows with, instead of the text, a digest of its set of words, 32-bit hashes of it and a hash for each band of two min-hashes."""
+    """Rows with, instead of the text, a digest of its set of words, 32-bit hashes of it, a sketch of these and a hash for each band of two min-hashes."""
 
     def run(batches):
         import hashlib
@@ -448,12 +457,16 @@ def signer(bands: int):
         import xxhash
 
         for batch in batches:
-            digests, sets, hashes = [], [], []
+            digests, sets, sketches, hashes = [], [], [], []
             for text in batch.column("text").to_pylist():
                 words = sorted(set(LETTERS.findall(text.lower())))
                 digests.append(hashlib.sha256(" ".join(words).encode()).digest())
                 h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in words), np.uint64, len(words))
-                sets.append(np.unique(h.astype(np.uint32)).view(np.int32))
+                short = np.unique(h.astype(np.uint32))
+                sets.append(short.view(np.int32))
+                bits = np.zeros(SKETCH_BITS, bool)
+                bits[short % SKETCH_BITS] = True
+                sketches.append(np.packbits(bits).view(np.int64))
                 if len(h):
                     t = (h[None, :] ^ SALTS[: 2 * bands, None]) * C2
                     t ^= t >> np.uint64(32)
@@ -463,9 +476,9 @@ def signer(bands: int):
                     hashes.append(mix(least[0::2], least[1::2]).view(np.int64))
                 else:
                     hashes.append(None)
-            new = [pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))]
+            new = [pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.int64())), pa.array(hashes, pa.list_(pa.int64()))]
             batch = batch.drop_columns(["text"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "_set", "_words", "_bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "_set", "_words", "_sketch", "_bands"])
 
     return run
 
@@ -474,23 +487,39 @@ def signatures(rows: DataFrame, bands: int = 8) -> DataFrame:
     """The rows with signatures instead of their texts, and a number of each row."""
     rows = rows.withColumn("_hash", F.xxhash64("text"))
     plain = StructType([f for f in rows.schema.fields if f.name != "text"])
-    fields = [("_set", BinaryType()), ("_words", ArrayType(IntegerType())), ("_bands", ArrayType(LongType()))]
+    fields = [("_set", BinaryType()), ("_words", ArrayType(IntegerType())), ("_sketch", ArrayType(LongType())), ("_bands", ArrayType(LongType()))]
     schema = StructType([*plain.fields, *(StructField(n, t) for n, t in fields)])
-    return rows.mapInArrow(signer(bands), schema).withColumn("_id", F.monotonically_increasing_id())
+    return rows.mapInArrow(tidy(signer(bands)), schema).withColumn("_id", F.monotonically_increasing_id())
+
 
+def short_of(signed: DataFrame) -> DataFrame:
+    """Written signatures with the number of words instead of words and sketches."""
+    return signed.withColumn("_n", F.size("_words")).drop("_words", "_sketch")
 
-def distinct_rows(signed: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, _hash, toxic) of written signatures with toxic, without copies (see without_copies)."""
-    key = F.struct("doc_id", "_id")
-    first = signed.groupBy("toxic", "_set").agg(F.min(F.struct("doc_id", "_id", "_hash")).alias("_row")).select("toxic", "_row.*")
-    one = signed.select("toxic", "_id", key.alias("_key"), "_bands").where("_bands IS NOT NULL").join(first.select("_id"), "_id", "left_semi")
+
+def distinct_rows(rows: DataFrame, signed: DataFrame, percent: int = 80) -> DataFrame:
+    """(doc_id, _hash, toxic) of rows (short_of() signed, and toxic) without copies (see without_copies).
+
+    Most rows that share a band are not alike. Their sizes tell of most of them,
+    and the sketches of nearly all the rest: each bit that only one set has
+    stands for a word at least that the other lacks. Only the words of rows that
+    neither tells apart move.
+    """
+    key = F.struct("doc_id", "_id", "_n")
+    first = rows.groupBy("toxic", "_set").agg(F.min(F.struct("doc_id", "_id", "_hash")).alias("_row")).select("toxic", "_row.*")
+    one = rows.select("toxic", "_id", key.alias("_key"), "_bands").where("_bands IS NOT NULL").join(first.select("_id"), "_id", "left_semi")
     hashes = one.select("toxic", "_key", F.posexplode("_bands").alias("_band", "_hash"))
-    least = hashes.groupBy("toxic", "_band", "_hash").agg(F.min("_key").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    pairs = hashes.join(least, ["toxic", "_band", "_hash"]).where("_key != _first").select("_key._id", F.col("_first._id").alias("_first")).distinct()
-    sets = signed.select("_id", "_words")
-    other = sets.select(F.col("_id").alias("_first"), F.col("_words").alias("_others"))
+    least = hashes.groupBy("toxic", "_band", "_hash").agg(F.min("_key").alias("_first"), F.count(F.lit(1)).alias("_all")).where("_all > 1").drop("_all")
+    pairs = hashes.join(least, ["toxic", "_band", "_hash"]).where("_key != _first").select("_key._id", "_key._n", F.col("_first._id").alias("_first"), F.col("_first._n").alias("_o"))
+    pairs = pairs.where(100 * F.least("_n", "_o") >= percent * F.greatest("_n", "_o")).distinct()
+    other = lambda c, name: signed.select(F.col("_id").alias("_first"), F.col(c).alias(name))
+    lacks = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda n, x: n + x)
+    most = F.least(F.col("_n") - lacks("_sketch", "_other"), F.col("_o") - lacks("_other", "_sketch"))
+    close = pairs.join(signed.select("_id", "_sketch"), "_id").join(other("_sketch", "_other"), "_first").where(most * (100 + percent) >= percent * (F.col("_n") + F.col("_o")))
+    close = materialize(close.select("_id", "_first"), "close")
+    sets = near(signed.select("_id", "_words"), "_id", close.select("_id").unionByName(close.select(F.col("_first").alias("_id"))))
     both = F.size(F.array_intersect("_words", "_others"))
-    alike = pairs.join(sets, "_id").join(other, "_first").where(100 * both >= percent * (F.size("_words") + F.size("_others") - both))
+    alike = close.join(sets, "_id").join(sets.select(F.col("_id").alias("_first"), F.col("_words").alias("_others")), "_first").where(100 * both >= percent * (F.size("_words") + F.size("_others") - both))
     return first.join(alike.select("_id"), "_id", "left_anti").select("doc_id", "_hash", "toxic")
 
 
@@ -503,8 +532,8 @@ def without_copies(rows: DataFrame, percent: int = 80, bands: int = 8) -> DataFr
     each row is held against the smallest of each of its bands' groups, so that a
     group of thousands of near copies makes no more pairs than rows and bands.
     """
-    signed = materialize(signatures(rows.select("doc_id", "text", "toxic"), bands), "labelled")
-    return with_texts(rows.select("doc_id", "text"), distinct_rows(signed, percent))
+    signed = materialize(signatures(rows.select("doc_id", "text", "toxic"), bands), "signed")
+    return with_texts(rows.select("doc_id", "text"), distinct_rows(short_of(signed), signed, percent))
 
 
 def evidence_of(docs: DataFrame, labels: DataFrame, folds: int = 5, least_count: int = 3, least_odds: float = 4.5, often: tuple[int, float, float] = (8, 1.0, 2.5)) -> tuple[dict, DataFrame]:
@@ -517,7 +546,7 @@ def evidence_of(docs: DataFrame, labels: DataFrame, folds: int = 5, least_count:
     """
     # Near copies would make every word of theirs look like evidence.
     rows = training_rows(docs, labels, folds)
-    count = lambda toxic, wanted=None: rows.where(F.col("toxic") == toxic).select("text").mapInArrow(feature_counts(wanted), "feature string, n long, words long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    count = lambda toxic, wanted=None: rows.where(F.col("toxic") == toxic).select("text").mapInArrow(tidy(feature_counts(wanted)), "feature string, n long, words long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     toxic = materialize(count(1), "toxic-features").selectExpr("feature", "n AS toxic", "words AS toxic_words")
     enough = toxic.where((F.col("toxic") >= min(least_count, often[0])) | (F.col("feature") == "") | F.startswith("feature", F.lit("~")))
     clean = count(0, bits_of(enough.where(~F.startswith("feature", F.lit("~"))), "feature")).selectExpr("feature", "n AS clean", "words AS clean_words")
@@ -547,7 +576,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, **bounds) -> dict:
     model, rows = evidence_of(docs, labels, folds, **bounds)
     if "base" in model:
         return model
-    return with_curve(model, rows.select("text", "toxic").mapInArrow(sum_maker(model), "s double, toxic int"))
+    return with_curve(model, rows.select("text", "toxic").mapInArrow(tidy(sum_maker(model)), "s double, toxic int"))
 
 
 def with_curve(model: dict, sums: DataFrame) -> dict:
@@ -562,7 +591,7 @@ def learn_and_score(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataF
         return score(docs, model)
     read = docs.select("doc_id", whole_text().alias("text"))
     schema = wider(read, ("s", DoubleType()), ("evidence", ArrayType(StringType())))
-    sums = read.mapInArrow(scorer(model | {"slope": 1.0, "base": 0.0}, 1, False, True), schema)
+    sums = read.mapInArrow(tidy(scorer(model | {"slope": 1.0, "base": 0.0}, 1, False, True)), schema)
     sums = materialize(sums.select("doc_id", F.xxhash64("text").alias("_hash"), "s", "evidence"), "sums")
     learnt = sums.select("doc_id", "_hash", F.round("s", 2).alias("s")).distinct().join(rows.select("doc_id", F.xxhash64("text").alias("_hash"), "toxic"), ["doc_id", "_hash"])
     model = with_curve(model, learnt.select("s", "toxic"))
@@ -631,9 +660,9 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score, evidence (the words and beginnings that were found, as restored)."""
     rows = docs.select("doc_id", "text")
     schema = wider(rows, ("score", DoubleType()), ("evidence", ArrayType(StringType())))
-    return rows.mapInArrow(scorer(model, 1, False), schema).drop("text")
+    return rows.mapInArrow(tidy(scorer(model, 1, False)), schema).drop("text")
 
 
 def without_toxic(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of docs, all columns, whose score is under 0.5."""
-    return docs.mapInArrow(scorer(model, docs.columns.index("text"), True), docs.schema)
+    return docs.mapInArrow(tidy(scorer(model, docs.columns.index("text"), True)), docs.schema)

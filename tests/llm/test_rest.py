@@ -340,6 +340,25 @@ def test_toxicity_learns_from_all_but_copies(spark):
     assert abs(model["rates"]["=zorgle"] - 0.5 / (few + 1)) < 1e-12
 
 
+def test_toxicity_moves_the_words_of_likely_copies_only(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 9))
+    shared = [word() for _ in range(60)]  # of these come the smallest hashes of many, so bands are shared
+    texts = [" ".join([*shared, *(word() for _ in range(40 + 20 * (k % 3)))]) for k in range(90)]
+    rows = [(k, t, 0) for k, t in enumerate(texts)] + [(1000 + k, texts[k] + " more", 0) for k in range(4)]
+    frames = {}
+
+    def kept(df, tag, real=toxicity.materialize):
+        frames[tag] = out = real(df, tag)
+        return out
+
+    monkeypatch.setattr(toxicity, "materialize", kept)
+    got = toxicity.without_copies(frame(spark, rows, "doc_id long, text string, toxic int"))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(90))
+    moved = frames["close"].distinct().count()
+    assert moved == 4
+
+
 WORDS = ["stupid", "idiot", "worthless", "moron"]
 READER = toxicity.Reader({"=" + w: 5.0 for w in WORDS} | {"moro": 4.6}, {w: 50 for w in WORDS} | {"thing": 20, "other": 20, "with": 30})
 
