@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
-from .common import whole_text, wider
+from .common import tidy, whole_text, wider
 
 #: The cut before the merges, as the tokenizers that publish such ranks have it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -249,7 +249,7 @@ def encode(docs: DataFrame, path: str, pattern: str = PATTERN, stretch: int = 4
     names = [c for c in docs.columns if c not in ("text", "ids", "decoded")]
     rows = docs.select(*names, whole_text().alias("text"))
     schema = wider(docs.select(*names), ("ids", ArrayType(IntegerType())), *[("decoded", BinaryType())] * decoded)
-    return rows.mapInArrow(encoder(ranks, pattern, len(names), stretch, decoded), schema)
+    return rows.mapInArrow(tidy(encoder(ranks, pattern, len(names), stretch, decoded)), schema)
 
 
 def decoder(ranks, at: int):
@@ -269,7 +269,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds `decoded` (bytes) to rows that have `ids`."""
     ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(path))
     rows = encoded.drop("decoded")
-    return rows.mapInArrow(decoder(ranks, rows.columns.index("ids")), wider(rows, ("decoded", BinaryType())))
+    return rows.mapInArrow(tidy(decoder(ranks, rows.columns.index("ids"))), wider(rows, ("decoded", BinaryType())))
 
 
 def digest_columns(rows: DataFrame) -> DataFrame:

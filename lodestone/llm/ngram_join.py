@@ -46,9 +46,24 @@ from .words import words_of
 SHINGLE_BITS = 50
 #: Bits of a set's signature: those that its members' hashes name are set.
 SIGNATURE_BITS = 4096
+#: Bytes of a block's documents whose words are looked at together, so that a task holds the arrays of no more.
+STRETCH = 1 << 20
+
 
 def shingle_sets(body: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The documents' distinct shingles (50-bit hashes), sorted inside each, and the documents' numbers."""
+    n = len(off) - 1
+    cuts = np.unique(np.searchsorted(off, np.arange(STRETCH, int(off[-1]), STRETCH)).clip(0, n))
+    keys = [np.zeros(0, np.uint64)]
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), n]):
+        if a < b:
+            keys.append(shingle_keys(body[off[a] : off[b]], off[a : b + 1] - off[a], width) + (np.uint64(a) << np.uint64(SHINGLE_BITS)))
+    key = np.concatenate(keys)
+    return key & np.uint64((1 << SHINGLE_BITS) - 1), (key >> np.uint64(SHINGLE_BITS)).astype(np.int64)
+
+
+def shingle_keys(body: np.ndarray, off: np.ndarray, width: int) -> np.ndarray:
+    """The distinct shingles of some documents, with the documents' numbers in front, sorted."""
     words, counts = words_of(body, off)
     start = np.concatenate([[0], np.cumsum(counts)])
     n = len(words)
@@ -68,8 +83,7 @@ def shingle_sets(body: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndar
     h, doc = np.concatenate([h[full], alone]), np.concatenate([doc[full], short]).astype(np.uint64)
     # Documents of a block number under 2**14; the rest of the key is the shingle.
     key = np.sort((doc << np.uint64(SHINGLE_BITS)) | (h >> np.uint64(64 - SHINGLE_BITS)))
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-    return key & np.uint64((1 << SHINGLE_BITS) - 1), (key >> np.uint64(SHINGLE_BITS)).astype(np.int64)
+    return key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
 
 
 def keyed(h: np.ndarray, shards: int) -> np.ndarray:

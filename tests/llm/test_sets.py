@@ -11,6 +11,7 @@ from conftest import frame
 
 from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.lm_scoring import lm_score
+from lodestone.llm import ngram_join as ngrams
 from lodestone.llm.ngram_join import ngram_join
 from lodestone.llm.suffix_dedup import suffix_dedup
 
@@ -132,3 +133,21 @@ def test_components_settle(spark):
     for x in nodes:
         least.setdefault(root[at[x]], x)
     assert got == {x: least[root[at[x]]] for x in nodes if least[root[at[x]]] != x}
+
+
+def test_shingles_of_a_block_hold_the_arrays_of_a_stretch_only(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    words = np.array([b"w%d" % k for k in range(5000)])
+    texts = [b" ".join(rng.choice(words, n).tolist()) for n in [0, 1, 3, 4, *rng.integers(1, 3000, 560).tolist()]]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    body = np.frombuffer(b"".join(texts), np.uint8)
+    tracemalloc.start()
+    found = ngrams.shingle_sets(body, off, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * len(body)
+    monkeypatch.setattr(ngrams, "STRETCH", 1 << 40)
+    for a, b in zip(found, ngrams.shingle_sets(body, off, 4)):
+        assert (a == b).all()
