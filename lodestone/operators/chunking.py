@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import rules as R
 from ..functions.text import lines, raw_lines, strip, windows
-from ..sources.tables import written
+from ..sources.tables import bucketed, written
 from .scan import ranged
 
 # How artifacts may be shown, and what they are worth as evidence.
@@ -97,21 +97,21 @@ def chunk_pages(pages: DataFrame, size: int = 1200, overlap: int = 180) -> DataF
     keys = ["document_id", "page_no"]
     pages = pages.withColumn("document_id", F.col("document_id").cast("string")).withColumn("page_no", F.col("page_no").cast("int"))
     blocks = semantic_blocks(pages).select(*keys, F.col("block").cast("int").alias("kind_no"), F.posexplode(windows("text", size, overlap)).alias("at", "text")).withColumn("artifact_type", F.lit(None).cast("string"))
-    # Ranges are found by a look at the rows first: written, these are made once.
-    found = written(artifacts(pages).unionByName(blocks), "found")
-    counted = ranged(found.withColumn("_block", F.col("artifact_type").isNull()), ["document_id"], ["page_no", "_block", "kind_no", "at"])
-    found = counted.sums({"chunk_index": F.lit(1)}, own=False).rows.withColumn("chunk_index", F.col("chunk_index").cast("int")).drop("_range", "_block")
+    # Dealt by page for good: blocks and tables lie so already, and nothing that follows moves a chunk.
+    found = bucketed(artifacts(pages).unionByName(blocks), "found", *keys)
+    starts = ranged(found.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), ["document_id"], ["page_no"]).sums({"_before": F.col("_n")}, own=False).rows.select(*keys, "_before")
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.col("artifact_type").isNull(), "kind_no", "at"))
+    found = found.join(starts, keys).withColumn("chunk_index", (F.col("_before") + place - 1).cast("int")).drop("_before")
     found = found.withColumn("artifact_index", F.when(F.col("artifact_type").isNotNull(), F.row_number().over(W.partitionBy(*keys, "artifact_type").orderBy("at"))))
-    chunks = pages.drop("text").join(found, keys)
     matter = R.front_matter(F.coalesce(F.nullif("section_heading", F.lit("")), F.col("page_label")), F.col("_page"), "page_label")
-    chunks = chunks.join(pages.select(*keys, F.left("text", F.lit(1600)).alias("_page")), keys)
+    heads = pages.withColumn("_page", F.left("text", F.lit(1600))).withColumn("_m", matter).drop("text", "_page")
+    chunks = heads.join(found, keys)
     role = R.chunk_role("text")
     number = F.lpad(F.col("chunk_index").cast("string"), 4, "0")
     is_artifact = F.col("artifact_type").isNotNull()
     by_type = lambda table, other: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in table.items() for x in p]), F.col("artifact_type")), F.lit(other))
     chunks = (
         chunks.withColumn("_r", role)
-        .withColumn("_m", matter)
         .withColumn("chunk_id", F.concat("document_id", F.when(is_artifact, F.lit("-artifact-")).otherwise(F.lit("-chunk-")), F.when(F.length(F.col("chunk_index").cast("string")) > 4, F.col("chunk_index").cast("string")).otherwise(number)))
         .withColumn("chunk_role", F.when(is_artifact, F.concat("artifact_type", F.lit("_artifact"))).otherwise(F.col("_r.role")))
         .withColumn("body_score", F.when(is_artifact, by_type(BODY_SCORE, 0.4)).otherwise(F.col("_r.score")))
@@ -122,7 +122,7 @@ def chunk_pages(pages: DataFrame, size: int = 1200, overlap: int = 180) -> DataF
         .withColumn("visibility", F.when(is_artifact, by_type(VISIBILITY, "targeted_only")))
         .withColumn("artifact_id", F.when(is_artifact, F.concat_ws("-", "document_id", "artifact_type", F.replace(F.lower("page_label"), F.lit(" "), F.lit("-")), F.col("artifact_index").cast("string"))))
     )
-    return with_continuations(chunks).drop("_r", "_m", "_page")
+    return with_continuations(chunks).drop("_r", "_m")
 
 
 def with_continuations(chunks: DataFrame) -> DataFrame:

@@ -18,8 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import fingerprint
 from ..operators import chunking, structure
-from ..sources.tables import written
-
+from ..sources.tables import bucketed, scratch, written
 
 
 @dataclass(frozen=True)
@@ -60,31 +59,43 @@ class IndexStore:
         ended = [f.getPath() for f in files.listStatus(path) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
         return {int(p.getName().removeprefix("batch=")) for p in ended if p.getName().startswith("batch=")}
 
-    def built(self, spark: SparkSession, other_than: int) -> DataFrame:
-        """fingerprint of what other batches have built under these settings."""
+    def built(self, spark: SparkSession, other_than: int) -> DataFrame | None:
+        """fingerprint of what other batches have built under these settings; None if there is no other batch."""
         rows = self.table(spark, "catalogue")
         if rows is None:
-            return spark.createDataFrame([], "fingerprint string")
+            return None
         s = self.settings
         same = (F.col("schema_version") == s.schema_version) & (F.col("embedding_model") == s.embedding_model) & (F.col("chunk_size") == s.chunk_size) & (F.col("chunk_overlap") == s.chunk_overlap)
         return rows.where(same & (F.col("batch") != other_than)).select("fingerprint").distinct()
 
     def add(self, batch: DataFrame, number: int) -> None:
-        """batch: file_name, text."""
+        """batch: file_name, text.
+
+        Texts move once, to their pages: these are dealt by page for good, and what
+        else is found out about them is joined without them.
+        """
+        with scratch(batch.sparkSession):
+            self.build(batch, number)
+
+    def build(self, batch: DataFrame, number: int) -> None:
         spark, s = batch.sparkSession, self.settings
-        text = F.coalesce("text", F.lit(""))
-        rows = written(batch.select("file_name", text.alias("text"), fingerprint(text).alias("fingerprint")), "arrived")
-        new = rows.join(self.built(spark, number), "fingerprint", "left_anti")
-        new = written(new.groupBy("fingerprint").agg(F.min("file_name").alias("file_name"), F.any_value("text").alias("text")).withColumn("document_id", F.left("fingerprint", F.lit(16))), "new")
-        pages = written(structure.enrich_pages(written(self.cut(new.select("document_id", "text")), "pages")), "enriched")
-        chunks = chunking.chunk_pages(pages, s.chunk_size, s.chunk_overlap)
+        text, done = F.coalesce("text", F.lit("")), self.built(spark, number)
+        rows = batch.select("file_name", text.alias("text")).withColumn("fingerprint", fingerprint("text"))
+        arrived = written(rows.select("file_name", "fingerprint", F.length("text").cast("long").alias("chars")), "arrived")
+        only_new = lambda t: t if done is None else t.join(done, "fingerprint", "left_anti")
+        named = lambda t: t.withColumn("document_id", F.left("fingerprint", F.lit(16)))
+        new = written(named(only_new(arrived).groupBy("fingerprint").agg(F.min("file_name").alias("file_name"), F.max("chars").alias("chars"))), "new")
+        texts = named(only_new(rows)).select("document_id", "text")
+        # Copies have the same pages, of which one stays.
+        cut = bucketed(self.cut(texts).dropDuplicates(["document_id", "page_no"]), "pages", "document_id", "page_no")
+        pages = structure.enrich_pages(cut)
         self.write(pages, "pages", number)
-        self.write(chunks, "chunks", number)
-        self.write(rows.select("file_name", "fingerprint"), "arrivals", number)
+        self.write(chunking.chunk_pages(pages, s.chunk_size, s.chunk_overlap), "chunks", number)
+        self.write(arrived.select("file_name", "fingerprint"), "arrivals", number)
         count = lambda t, name: t.groupBy("document_id").agg(F.count(F.lit(1)).alias(name))
-        stored = spark.read.parquet(f"{self.path}/chunks/batch={number}")
-        found = new.select("fingerprint", "document_id", "file_name", F.length("text").cast("long").alias("chars"))
-        for more in (count(pages, "pages"), count(stored.where("artifact_type IS NULL"), "chunks"), structure.document_styles(pages)):
+        stored = {name: spark.read.parquet(f"{self.path}/{name}/batch={number}") for name in ("pages", "chunks")}
+        found = new.select("fingerprint", "document_id", "file_name", "chars")
+        for more in (count(stored["pages"], "pages"), count(stored["chunks"].where("artifact_type IS NULL"), "chunks"), structure.document_styles(stored["pages"])):
             found = found.join(more, "document_id", "left")
         found = found.fillna(0, ["pages", "chunks"])
         keys = [F.lit(v).alias(k) for k, v in (("schema_version", s.schema_version), ("embedding_model", s.embedding_model), ("chunk_size", s.chunk_size), ("chunk_overlap", s.chunk_overlap))]
